@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -93,11 +92,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to executors that don't have it installed."""
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="inkwell-ship-")) / "inkwell.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in root.rglob("*.py"):
-            z.write(p, os.path.join("inkwell", p.relative_to(root)))
-    spark.sparkContext.addPyFile(str(target))
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of bounded size together with its class's code; ``received`` unpacks it in a worker."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> object:
+    return cloudpickle.loads(sent.value)
