@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import survivors, term_counts
+from inkwell.llm import canonical, encodings, leaks, survivors, term_counts
+from inkwell.session import spread
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -35,6 +36,16 @@ def p1_judged_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.judged_values(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", SOURCES)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_mapped(spark, d).select("country", "iso3")
+
+
+def p6_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed country with its entry, score and number of rows; iso3 is NONE where there is none."""
+    typed = _read(spark, d, "authors").select("country")
+    return canonical.canonical(typed, "country", _read(spark, d, "countries"), "iso3", "name", "alt_names").select(F.col("value").alias("country"), "iso3", F.round("score", 4).alias("score"), "n_rows")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_term_counts(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
@@ -43,10 +54,41 @@ def p7_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_frequencies(_read(spark, d, "paragraphs"), "text", "cord_uid", "row_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they give away and the share of the item's words in them."""
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text"))
+    found = leaks.leaked_items(docs, "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "passage")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("share", 4).alias("share"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select(F.col("doc").alias("doc_id")).distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with the chains undone and the restored text."""
+    return _garbled(spark, d).select(F.col("doc").alias("doc_id"), F.array_join("chains", ", ").alias("chains"), "lost", "restored")
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    return encodings.garbled_texts(spread(docs), "doc_id", "text", encodings.fit(docs, "text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_source_quality": p1_source_quality,
     "p1_judged_values": p1_judged_values,
+    "p6_found": p6_found,
+    "p6_mapped": p6_mapped,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
     "p7_found": p7_found,
     "p7_term_counts": p7_term_counts,
 }
