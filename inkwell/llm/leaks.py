@@ -38,13 +38,6 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _constants(k: int):
-    import numpy as np
-
-    rng = np.random.default_rng(20_240_229)
-    return rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1), rng.integers(1, 1 << 63, k, dtype=np.uint64)
-
-
 def shingle_hashes(w, n: int = SHINGLE):
     """Hashes of all runs of n words of a uint64 array (n or fewer words: one hash over all)."""
     import numpy as np
@@ -56,7 +49,14 @@ def shingle_hashes(w, n: int = SHINGLE):
     out = np.zeros(len(w) - n + 1, dtype=np.uint64)
     for k in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + w[k : k + len(out)]
-    return out ^ (out >> np.uint64(29))
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def short_hash(h):
+    import numpy as np
+
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 class Items:
@@ -71,70 +71,91 @@ class Items:
             if p is not None and len(p):
                 self.ids.append(i)
                 self.words.append(np.asarray(p, dtype=np.int64).view(np.uint64))
-        self.mul, self.add = _constants(hashes)
-        self.classes: dict[int, list[tuple]] = {}
-        by_size: dict[int, list[int]] = {}
+        rng = np.random.default_rng(20_240_229)
+        self.mul = rng.integers(1, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1)
         shingles = [shingle_hashes(w) for w in self.words]
+        by_size: dict[int, list[int]] = {}
         for k, s in enumerate(shingles):
             size = BLOCK
             while size < len(s):
                 size *= 2
             by_size.setdefault(size, []).append(k)
-        for size, members in by_size.items():
-            sig = np.stack([self._mins(shingles[m]) for m in members])
+        #: by size class and hash function: sorted distinct minima, and the items that have each of them
+        self.classes: dict[int, list[tuple]] = {}
+        for size, members in sorted(by_size.items()):
+            sig = np.stack([(short_hash(shingles[m])[:, None] * self.mul).min(0) for m in members])
             tables = []
             for h in range(hashes):
                 order = np.argsort(sig[:, h], kind="stable")
-                tables.append((sig[order, h], np.array(members)[order]))
+                values, first, count = np.unique(sig[order, h], return_index=True, return_counts=True)
+                tables.append((values, first, count, np.array(members)[order]))
             self.classes[size] = tables
         self.at = [{} for _ in self.words]
         for k, s in enumerate(shingles):
             for pos, x in enumerate(s.tolist()):
                 self.at[k].setdefault(x, []).append(pos)
-        self.all = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, dtype=np.uint64)
         self.short = [k for k, w in enumerate(self.words) if len(w) < SHINGLE]
-
-    def _mins(self, s):
+        # inverted index of the exact shingles
+        pairs = sorted({(x, k) for k, s in enumerate(shingles) for x in s.tolist()})
+        self.all, first, count = np.unique(np.array([x for x, _ in pairs], dtype=np.uint64), return_index=True, return_counts=True)
+        self.holders, self.first, self.count = np.array([k for _, k in pairs], dtype=np.int64), first, count
+        self.bound = np.array([self.least * len(w) / (SHINGLE + BRIDGE) for w in self.words])
+
+    def block_minima(self, shingles: list):
+        """Minima of every hash function over the blocks of each document, (hashes, blocks), and the blocks' documents."""
         import numpy as np
 
-        return np.array([((s * m + a) >> np.uint64(32)).min() for m, a in zip(self.mul, self.add)], dtype=np.uint32)
-
-    def block_minima(self, shingles, starts):
-        """Minima of every hash function over the blocks that begin at ``starts``: (blocks, hashes)."""
+        padded, owner = [], []
+        for d, s in enumerate(shingles):
+            if len(s):
+                n = -(-len(s) // BLOCK)
+                block = np.full(n * BLOCK, short_hash(s[-1:])[0], dtype=np.uint32)
+                block[: len(s)] = short_hash(s)
+                padded.append(block.reshape(n, BLOCK))
+                owner.append(np.full(n, d))
+        if not padded:
+            return np.zeros((len(self.mul), 0), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        grid = np.ascontiguousarray(np.concatenate(padded).T)  # (BLOCK, blocks): minima run over whole rows
+        out, work = np.empty((len(self.mul), grid.shape[1]), dtype=np.uint32), np.empty_like(grid)
+        for k, m in enumerate(self.mul):
+            np.multiply(grid, m, out=work)
+            work.min(axis=0, out=out[k])
+        return out, np.concatenate(owner)
+
+    def candidates(self, minima, owner):
+        """Pairs (document, item) that share a minimum in some window of the item's size class, as document * items + item."""
         import numpy as np
 
-        out = np.empty((len(starts), len(self.mul)), dtype=np.uint32)
-        for k, (m, a) in enumerate(zip(self.mul, self.add)):
-            out[:, k] = np.minimum.reduceat((shingles * m + a) >> np.uint64(32), starts)
-        return out
-
-    def candidates(self, minima, doc_of_block):
-        """Pairs (document, item) that share a minimum in a window of the item's size class."""
-        import numpy as np
-
-        found: set[tuple[int, int]] = set()
+        found, wide, n = [np.zeros(0, dtype=np.int64)], 1, len(self.words)
         for size, tables in self.classes.items():
-            wide = size // BLOCK
-            # a minimum of the window is a minimum of one of its blocks: look blocks up once, then check the window
-            for h, (values, members) in enumerate(tables):
-                pos = np.searchsorted(values, minima[:, h])
+            while wide * BLOCK < size:  # windows twice as wide; beyond a document's end nothing is added
+                joined = minima.copy()
+                if minima.shape[1] > wide:
+                    same = owner[:-wide] == owner[wide:]
+                    joined[:, :-wide] = np.where(same, np.minimum(minima[:, :-wide], minima[:, wide:]), minima[:, :-wide])
+                minima, wide = joined, wide * 2
+            for h, (values, first, count, members) in enumerate(tables):
+                pos = np.searchsorted(values, minima[h])
                 pos[pos == len(values)] = 0
-                for b in np.flatnonzero(values[pos] == minima[:, h]):
-                    v, d = minima[b, h], doc_of_block[b]
-                    # some window of this class that holds block b has v as its minimum
-                    lo, hi = b, b
-                    while lo > 0 and b - lo < wide - 1 and doc_of_block[lo - 1] == d and minima[lo - 1, h] >= v:
-                        lo -= 1
-                    while hi + 1 < len(doc_of_block) and hi - b < wide - 1 and doc_of_block[hi + 1] == d and minima[hi + 1, h] >= v:
-                        hi += 1
-                    left = lo == 0 or doc_of_block[lo - 1] != d
-                    right = hi + 1 == len(doc_of_block) or doc_of_block[hi + 1] != d
-                    if hi - lo + 1 >= wide or left or right:
-                        p = pos[b]
-                        while p < len(values) and values[p] == v:
-                            found.add((int(d), int(members[p])))
-                            p += 1
-        return found
+                at = np.flatnonzero(values[pos] == minima[h])
+                if len(at):
+                    doc, p = owner[at], pos[at]
+                    reps = count[p]
+                    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                    found.append(np.repeat(doc, reps) * n + members[np.repeat(first[p], reps) + inner])
+        return np.unique(np.concatenate(found))
+
+    def hits(self, doc_shingles):
+        """Positions of the document's shingles that any item has, and how many of them each item has."""
+        import numpy as np
+
+        pos = np.searchsorted(self.all, doc_shingles)
+        pos[pos == len(self.all)] = 0
+        at = np.flatnonzero(self.all[pos] == doc_shingles)
+        p = pos[at]
+        reps = self.count[p]
+        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        return at, np.bincount(self.holders[np.repeat(self.first[p], reps) + inner], minlength=len(self.words))
 
     def share(self, item: int, doc, doc_shingles, hits=None) -> float:
         """Share of the item's words that stand in the document in the item's order, in stretches begun by exact shingles.
@@ -148,8 +169,7 @@ class Items:
         if n < SHINGLE:
             doc_shingles, hits = shingle_hashes(doc, n) if len(doc) >= n else doc[:0], None
         places = [(j, at[x]) for j, x in zip(range(len(doc_shingles)) if hits is None else hits.tolist(), (doc_shingles if hits is None else doc_shingles[hits]).tolist()) if x in at]
-        # no chain can cover more than a shingle and a bridge for each place
-        if len(places) * (SHINGLE + BRIDGE) < self.least * len(own):
+        if not places:
             return 0.0
         # exact runs along diagonals
         runs: dict[int, list[list[int]]] = {}
@@ -207,27 +227,20 @@ def _search(batches: Iterator, items: Items, id_type) -> Iterator:
             last = first + 1
             while last < len(offsets) - 1 and offsets[last + 1] - offsets[first] < 200_000:
                 last += 1
-            docs, shingles, starts, owner = [], [], [], []
-            at = 0
-            for d in range(first, last):
-                w = flat[offsets[d] : offsets[d + 1]]
-                docs.append(w)
-                s = shingle_hashes(w)
-                shingles.append(s)
-                if len(s):
-                    begin = np.arange(0, len(s), BLOCK)
-                    starts.append(begin + at)
-                    owner.append(np.full(len(begin), d - first))
-                    at += len(s)
-            if at:
-                minima = items.block_minima(np.concatenate(shingles), np.concatenate(starts))
-                pairs = items.candidates(minima, np.concatenate(owner))
-                pairs |= {(d, k) for k in items.short for d, w in enumerate(docs) if len(w)}
-                hits: dict = {}
-                for d, k in sorted(pairs):
-                    if d not in hits:
-                        hits = {d: np.flatnonzero(np.isin(shingles[d], items.all))}
-                    share = items.share(k, docs[d], shingles[d], hits[d])
+            docs = [flat[offsets[d] : offsets[d + 1]] for d in range(first, last)]
+            shingles = [shingle_hashes(w) for w in docs]
+            pairs = items.candidates(*items.block_minima(shingles))
+            by_doc: dict[int, set[int]] = {}
+            for d, k in zip((pairs // len(items.words)).tolist(), (pairs % len(items.words)).tolist()):
+                by_doc.setdefault(d, set()).add(k)
+            for d, w in enumerate(docs):
+                wanted = by_doc.get(d, set())
+                if not len(w) or not (wanted or items.short):
+                    continue
+                at, count = items.hits(shingles[d])
+                # no chain can cover more than a shingle and a bridge for each shingle found
+                for k in [*(k for k in wanted if count[k] >= items.bound[k]), *items.short]:
+                    share = items.share(k, w, shingles[d], at)
                     if share > 0:
                         out_doc.append(first + d)
                         out_item.append(items.ids[k])
