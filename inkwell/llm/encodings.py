@@ -1,7 +1,7 @@
 """Text that was decoded with the wrong encoding: find it, undo the chain of wrong steps, restore what can be restored.
 
 A multinomial classifier (naive Bayes over hashed byte bigrams) is trained on synthetically garbled sentences: sentences
-of a bounded sample (SAMPLE_ROWS, by hash order) are put through every chain of CHAINS, so each example's exact chain is
+of a bounded sample (about SAMPLE_ROWS texts, by hash) are put through every chain of CHAINS, so each example's exact chain is
 known. Every sentence with suspicious characters, of every text, is then classified; the most probable chain is undone
 step by step and accepted only if each step decodes strictly and the outcome isn't classed as garbled again.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from inkwell.session import received, send
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS, SAMPLE_SENTENCES = 3_000, 12
 BUCKETS = 1 << 14
 SMOOTHING = 0.02
 SUSPICIOUS = r"[^\x00-\x7f]{2}|�"
@@ -183,11 +183,15 @@ def _telltale(s: str) -> bool:
 
 
 def fit(docs: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> ChainClassifier:
-    """Trained on the suspicious-looking sentences of at most ``sample_rows`` texts, those of lowest hash."""
-    rows = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text).alias("t")).where(F.length("t") < 20_000).orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
-    clean: set[str] = set()
-    for r in rows:
-        clean.update(x.strip() for x in sentences(r.t) if re.search(r"[^\x00-\x7f]", x))
+    """Trained on the sentences with non-ASCII characters of about ``sample_rows`` texts, chosen by their hash.
+
+    At most SAMPLE_SENTENCES sentences of each reach the driver, so what it gets is bounded whatever the corpus is.
+    """
+    part = max(1, docs.count() // sample_rows)
+    pieces = F.filter(F.split(text, r"(?<=[.!?]) |(?<=\n)"), lambda x: x.rlike(r"[^\x00-\x7f]") & (F.length(x) < 600))
+    chosen = docs.where(F.col(text).rlike(r"[^\x00-\x7f]") & (F.pmod(F.xxhash64(text), F.lit(part)) == 0))
+    rows = chosen.select(F.slice(pieces, 1, SAMPLE_SENTENCES).alias("s")).limit(4 * sample_rows).collect()
+    clean = {x.strip() for r in rows for x in r.s}
     return ChainClassifier(sorted(clean) + SEEDS)
 
 
