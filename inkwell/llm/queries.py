@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, encodings, leaks, survivors, term_counts
+from inkwell.llm import canonical, encodings, leaks, names, scans, survivors, term_counts
 from inkwell.session import spread
 
 
@@ -36,6 +36,41 @@ def p1_judged_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.judged_values(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", SOURCES)
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that come from scanned pages: all paragraphs but those of pmc, and the bodies of pdf_json."""
+    cols = [F.lit("paragraphs").alias("tab"), F.col("row_id").alias("rec_id"), "para_idx", "text"]
+    rows = _read(spark, d, "paragraphs").where(F.coalesce(survivors.tidy_source(F.col("source")), F.lit("")) != "pmc").select(*cols)
+    return spread(rows).unionByName(spread(_bodies(spark, d)))
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    body = _read(spark, d, "pdf_json").select("rec_id", F.posexplode("body_text").alias("para_idx", "b"))
+    return body.select(F.lit("pdf_json").alias("tab"), "rec_id", "para_idx", F.col("b.text").alias("text"))
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    corpus = spread(_read(spark, d, "paragraphs").select("text")).unionByName(_bodies(spark, d).select("text"))
+    return scans.repaired(_scanned(spark, d), "text", scans.Lexicon(scans.vocabulary(corpus, "text")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("tab", "rec_id", "para_idx", F.explode("kinds").alias("kind")).distinct()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned paragraph as continuous text, with the kinds of damage that were removed."""
+    return _repaired(spark, d).select("tab", "rec_id", "para_idx", F.col("repaired_text").alias("text"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.linked_names(_read(spark, d, "authors"), "institution_norm", "settlement"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of an institution with the entity it belongs to and its rows."""
+    return names.linked_names(_read(spark, d, "authors"), "institution_norm", "settlement")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_mapped(spark, d).select("country", "iso3")
 
@@ -83,6 +118,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_source_quality": p1_source_quality,
     "p1_judged_values": p1_judged_values,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_found": p6_found,
     "p6_mapped": p6_mapped,
     "p9_found": p9_found,
