@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, encodings, leaks, names, scans, survivors, term_counts
+from inkwell.llm import canonical, encodings, leaks, names, neighbours, packing, scans, survivors, term_counts
 from inkwell.session import spread
 
 
@@ -36,6 +36,34 @@ def p1_judged_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.judged_values(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", SOURCES)
 
 
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "title_vectors").where("is_title_unique").select("cord_uid", "vec")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(_titled(spark, d), "cord_uid", "vec", 3).where("cosine >= 0.8")
+    return near.select(F.least("id", "other").alias("uid_a"), F.greatest("id", "other").alias("uid_b")).distinct()
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the three most similar others with a cosine of 0.8 or more, those that the index finds, and the share."""
+    found, true = (neighbours.nearest(_titled(spark, d), "cord_uid", "vec", 3, exact=e).where("cosine >= 0.8").select("id", "other") for e in (False, True))
+    both = true.withColumn("t", F.lit(1)).join(found.withColumn("f", F.lit(1)), ["id", "other"], "left")
+    return both.agg(F.count("t").alias("n_true"), F.count("f").alias("n_found"), F.round(F.count("f") / F.count("t"), 4).alias("recall"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container and position of every piece of every document, containers of 2,048 tokens."""
+    docs = _read(spark, d, "documents").select("doc_id", "text", "n_tokens")
+    return packing.packed(docs, "doc_id", "text", "n_tokens", 2_048).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    per = p8_packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / F.count(F.lit(1)) / 2048, 4).alias("filled"))
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     """Texts that come from scanned pages: all paragraphs but those of pmc, and the bodies of pdf_json."""
     cols = [F.lit("paragraphs").alias("tab"), F.col("row_id").alias("rec_id"), "para_idx", "text"]
@@ -118,6 +146,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_source_quality": p1_source_quality,
     "p1_judged_values": p1_judged_values,
+    "p2_found": p2_found,
+    "p2_recall": p2_recall,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p5_found": p5_found,
