@@ -1 +1 @@
-
+"""Structured Streaming: the batch operators over arriving files."""
