@@ -66,10 +66,8 @@ def read_papers(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def parsed_bodies(df: DataFrame, body: str) -> DataFrame:
-    """With ``paper`` (null where the text doesn't parse) and ``ok``."""
-    schema = T.StructType([*PAPER.fields, T.StructField("_bad", _TEXT)])
-    p = F.from_json(F.col(body), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return df.withColumn("paper", p).withColumn("ok", F.coalesce(F.col("paper").isNotNull() & F.col("paper._bad").isNull() & F.col(body).rlike(r"^\s*\{"), F.lit(False)))
+    """With ``paper`` and ``ok``: whether the text is JSON at all. Fields of another type than declared are null in ``paper``."""
+    return df.withColumns({"paper": F.from_json(F.col(body), PAPER), "ok": F.try_parse_json(F.col(body)).isNotNull()})
 
 
 def paragraph_rows(df: DataFrame, *keep: str) -> DataFrame:

@@ -19,7 +19,7 @@ def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None) ->
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for small reports."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_row(path: str | Path, row: dict) -> None:
