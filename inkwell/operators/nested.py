@@ -123,7 +123,7 @@ def dewey_nodes(df: DataFrame, key: str, wanted: list[Wanted]) -> DataFrame:
     parts = _below("", F.array().cast("array<string>"), None, root, by, objects, F.lit(True))
     empty = F.array().cast(NODE)
     nodes = F.concat(*[F.coalesce(p.cast(NODE), empty) for p in parts])
-    return df.select(F.col(key), F.explode(nodes).alias("n")).select(key, "n.path", "n.label", "n.filled", "n.own")
+    return df.select(F.col(key), F.explode(nodes).alias("_node")).select(key, "_node.path", "_node.label", "_node.filled", "_node.own")
 
 
 def _leaf_text(value: object) -> bool:
