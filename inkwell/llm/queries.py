@@ -78,7 +78,7 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     corpus = spread(_read(spark, d, "paragraphs").select("text")).unionByName(_bodies(spark, d).select("text"))
-    return scans.repaired(_scanned(spark, d), "text", scans.Lexicon(scans.vocabulary(corpus, "text")))
+    return scans.repaired(_scanned(spark, d), "text", scans.Lexicon(*scans.vocabulary(corpus, "text")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
