@@ -32,9 +32,44 @@ def p4_table_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_table_sizes": p4_table_sizes}
 
-_STRIP = r"regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') <> ''"
+WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SAID = "(regexp_replace(coalesce({0}, ''), '" + WS.replace("{", "{{").replace("}", "}}") + "', '', 'g') <> '')"
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN ({0})::JSON[] WHEN 'OBJECT' THEN [{0}] ELSE []::JSON[] END"
+
+
+def _any(*columns: str) -> str:
+    return "(" + " OR ".join(_SAID.format(c) for c in columns) + ")"
+
+
+_FOUND = f"""
+WITH a AS (SELECT rec_id, unnest(metadata.authors) AS x, generate_subscripts(metadata.authors, 1) - 1 AS i FROM pdf_json),
+b AS (SELECT rec_id, unnest(body_text) AS x, generate_subscripts(body_text, 1) - 1 AS i FROM pdf_json),
+c AS (SELECT rec_id, i, unnest(x.cite_spans) AS y, generate_subscripts(x.cite_spans, 1) - 1 AS k FROM b WHERE {_SAID.format('x.text')}),
+e AS (SELECT rec_id, unnest(map_entries(bib_entries)) AS m FROM pdf_json),
+f AS (SELECT rec_id, m.key AS key, unnest(m.value.authors) AS y, generate_subscripts(m.value.authors, 1) - 1 AS k FROM e WHERE m.value IS NOT NULL),
+v AS (SELECT rec_id, body::JSON AS j FROM raw_json WHERE json_valid(body)),
+ra AS (SELECT rec_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT rec_id, {_LIST.format("json_extract(j, '$.metadata.authors')")} AS l FROM v)),
+rb AS (SELECT rec_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT rec_id, {_LIST.format("json_extract(j, '$.body_text')")} AS l FROM v)),
+rc AS (SELECT rec_id, i, unnest(l) AS y, generate_subscripts(l, 1) - 1 AS k FROM (SELECT rec_id, i, {_LIST.format("json_extract(x, '$.cite_spans')")} AS l FROM rb WHERE json_type(x) = 'OBJECT' AND {_SAID.format("json_extract_string(x, '$.text')")})),
+rk AS (SELECT rec_id, j, unnest(json_keys(json_extract(j, '$.bib_entries'))) AS key FROM v WHERE json_type(json_extract(j, '$.bib_entries')) = 'OBJECT'),
+re AS (SELECT rec_id, key, json_extract(j, '$.bib_entries.' || '"' || key || '"') AS x FROM rk),
+rf AS (SELECT rec_id, key, unnest(l) AS y, generate_subscripts(l, 1) - 1 AS k FROM (SELECT rec_id, key, {_LIST.format("json_extract(x, '$.authors')")} AS l FROM re WHERE json_type(x) = 'OBJECT'))
+SELECT rec_id, 'author' AS child, '' AS parent_key, i::VARCHAR AS child_key FROM a WHERE x IS NOT NULL
+UNION ALL SELECT rec_id, 'affiliation', i::VARCHAR, '0' FROM a WHERE {_any(*(f'x.affiliation.{n}' for n in ('laboratory', 'institution', 'location.settlement', 'location.region', 'location.country', 'location.post_code')))}
+UNION ALL SELECT rec_id, 'paragraph', '', i::VARCHAR FROM b WHERE {_SAID.format('x.text')}
+UNION ALL SELECT rec_id, 'cite_span', i::VARCHAR, k::VARCHAR FROM c WHERE y IS NOT NULL
+UNION ALL SELECT rec_id, 'bib_entry', '', m.key FROM e WHERE m.value IS NOT NULL
+UNION ALL SELECT rec_id, 'bib_author', key, k::VARCHAR FROM f WHERE y IS NOT NULL
+UNION ALL SELECT rec_id, 'author', '', i::VARCHAR FROM ra WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT rec_id, 'affiliation', i::VARCHAR, '0' FROM ra WHERE json_type(json_extract(x, '$.affiliation')) = 'OBJECT' AND {_any(*(f"json_extract_string(x, '$.affiliation.{n}')" for n in ('laboratory', 'institution', 'location.settlement', 'location.region', 'location.country', 'location.post_code')))}
+UNION ALL SELECT rec_id, 'paragraph', '', i::VARCHAR FROM rb WHERE json_type(x) = 'OBJECT' AND {_SAID.format("json_extract_string(x, '$.text')")}
+UNION ALL SELECT rec_id, 'cite_span', i::VARCHAR, k::VARCHAR FROM rc WHERE json_type(y) <> 'NULL'
+UNION ALL SELECT rec_id, 'bib_entry', '', key FROM re WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT rec_id, 'bib_author', key, k::VARCHAR FROM rf WHERE json_type(y) <> 'NULL'
+"""
 
 SQL = {
+    "p4_found": _FOUND,
     "p4_table_sizes": """
 WITH a AS (SELECT rec_id, unnest(metadata.authors) AS x FROM pdf_json WHERE metadata IS NOT NULL),
 b AS (SELECT rec_id, unnest(body_text) AS x FROM pdf_json),
