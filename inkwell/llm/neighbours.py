@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from inkwell.session import received, send, task_slots, written
 
-BITS, SUBSTRING, RADIUS = 64, 16, 17
+BITS, SUBSTRING, RADIUS = 64, 16, 19
 SAMPLE_ROWS = 8_192
 BLOCK_ROWS, LEAST_BLOCK = 32_768, 1_500
 DENSE_SHARE = 0.3

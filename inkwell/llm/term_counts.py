@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import shared_folder, written
+from inkwell.session import scratch, written
 
 HOT_SHARE = 64
 CHUNK_ROWS = 400_000
@@ -188,7 +188,7 @@ def term_frequencies(
     reduced = pairs.mapInArrow(reduce_chunks, "term string, n long, hot string, cold long")
     first = 12  # leading bits that Spark's own partitioning may use
     radix = reduced.withColumn("h", F.xxhash64("term")).repartition(parts, F.shiftrightunsigned("h", 64 - first))
-    folder = f"{shared_folder(spark).rstrip('/')}/inkwell-radix-{uuid.uuid4().hex}"
+    folder = scratch(spark, "radix")
     counted = written(radix.mapInArrow(RadixAggregator(folder, spill_rows, first_bit=first), "term string, n_occurrences long, n_records long"), "terms")
     records = (counted.where("term = ''").agg(F.max("n_records")).first() or [0])[0] or 0
     return counted.where("term <> ''").select(
