@@ -5,7 +5,6 @@ SQL that needs Unicode normalisation spells out the four characters of the test
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import words
 from inkwell.functions.text import clean_str, collapse, strip
 from inkwell.operators import affiliations, dimensions, embeddings, partitioning, profile, quality, silver, wordcount
-from inkwell.session import shared_folder, spread, written
+from inkwell.session import scratch, spread, written
 from inkwell.sources import files, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,7 +193,7 @@ _NA = f"CASE WHEN {{0}} NOT IN ({_list(readers.NULL_TOKENS)}) THEN {{0}} END AS
 def csv_catalogue(spark, d):
     """The catalogue written as CSV and read back: quoted line breaks, quotes, missing values."""
     rows = _read(spark, d, "papers")
-    path = f"{shared_folder(spark).rstrip('/')}/inkwell-csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     writers.write_csv(rows, path)
     return readers.read_catalogue(spark, path, rows.columns).select("cord_uid", "title", "publish_time", "license", "abstract")
 
@@ -419,7 +418,7 @@ def cosine_next(spark, d):
 def vector_file(spark, d):
     """The vectors as a text file 'word f1 f2 ...' with a header line, read back."""
     rows = _read(spark, d, "embeddings").select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
-    path = f"{shared_folder(spark).rstrip('/')}/inkwell-vec-{uuid.uuid4().hex}"
+    path = scratch(spark, "vec")
     spark.createDataFrame([("500 64",)], "value string").unionByName(rows).write.text(path)
     return readers.read_vectors(spark, path).select("word", F.size("vec").alias("dims"), F.round(F.col("vec")[0].cast("double"), 4).alias("first"))
 
@@ -585,7 +584,7 @@ def key_partitions(spark, d):
 @query("SELECT row_id, cord_uid, para_idx, text FROM paragraphs")
 def parquet_sink(spark, d):
     """Written as zstd Parquet with at most 20,000 rows a file and read back."""
-    path = f"{shared_folder(spark).rstrip('/')}/inkwell-sink-{uuid.uuid4().hex}"
+    path = scratch(spark, "sink")
     writers.write_parquet(_read(spark, d, "paragraphs").select("row_id", "cord_uid", "para_idx", "text"), path, 20_000)
     return spark.read.parquet(path)
 

@@ -56,17 +56,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/inkwell-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written once as zstd Parquet into the shared folder and read back.
 
     Cuts the lineage, survives the loss of executors and lets several consumers read what was computed once.
-    The table is removed when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/inkwell-{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
