@@ -130,7 +130,8 @@ def block_neighbours(units_a, codes_a, units_b, codes_b, k: int, same: bool, exa
             q, b = np.repeat(np.arange(len(part)), n), best_b.ravel()
             if not same:  # the other block's rows need their best too
                 best_a = np.argpartition(-scores, min(k, len(part)) - 1, axis=0)[: min(k, len(part))]
-                q, b = np.concatenate([q, best_a.ravel()]), np.concatenate([b, np.tile(np.arange(scores.shape[1]), best_a.shape[0])])
+                both = np.unique(np.r_[q * len(units_b) + b, best_a.ravel() * len(units_b) + np.tile(np.arange(scores.shape[1]), best_a.shape[0])])
+                q, b = both // len(units_b), both % len(units_b)
             c = scores[q, b]
         else:
             q, b = pairs

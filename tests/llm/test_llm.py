@@ -114,6 +114,17 @@ def test_full_buckets_are_scored_whole():
     assert all(np.allclose(np.sort(c[a == k])[-3:], best[k], atol=1e-5) for k in range(0, 600, 50))
 
 
+def test_two_blocks_scored_whole():
+    u = vectors(800, 16)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x, y = u[:300], u[300:]
+    a, b, c = neighbours.block_neighbours(x, None, y, None, 3, False, True, chunk=128)
+    s = x @ y.T
+    assert all(np.allclose(np.sort(c[a == k])[-3:], np.sort(s[k])[-3:], atol=1e-5) for k in range(300))
+    assert all(np.allclose(np.sort(c[b == k])[-3:], np.sort(s[:, k])[-3:], atol=1e-5) for k in range(500))
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+
+
 def test_pigeonhole_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 1 << 62, (300, 1), dtype=np.uint64)
