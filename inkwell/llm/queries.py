@@ -18,10 +18,17 @@ SOURCES = ["pmc", "pdf"]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "paragraphs").select("row_id", "cord_uid", "para_idx", "source", "section", "text", "parsed_at")
-    best = survivors.best_records(rows, ["cord_uid", "para_idx"], "row_id", "text", ["section"], "source", SOURCES, "parsed_at")
+    best = survivors.best_records(rows, ["cord_uid", "para_idx"], "row_id", "text", ["section"], "source", SOURCES, "parsed_at", with_values=False)
     return best.select("cord_uid", "para_idx", "text_row_id", "section_row_id")
 
 
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per paragraph, its text and section each from the best row that has them; single rows too."""
+    rows = _read(spark, d, "paragraphs").select("row_id", "cord_uid", "para_idx", "source", "section", "text", "parsed_at")
+    best = survivors.best_records(rows, ["cord_uid", "para_idx"], "row_id", "text", ["section"], "source", SOURCES, "parsed_at", least_rows=1)
+    return best.select("cord_uid", "para_idx", "n_rows", "text", "section")
+
+
 def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
     """Sensitivity and specificity of the sources by field."""
     rows = _read(spark, d, "paragraphs")
@@ -144,6 +151,7 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_survivors": p1_survivors,
     "p1_source_quality": p1_source_quality,
     "p1_judged_values": p1_judged_values,
     "p2_found": p2_found,
@@ -171,16 +179,23 @@ c AS (SELECT term, count(*)::BIGINT AS n_occurrences, count(DISTINCT cord_uid)::
 m AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records > 0.5 * (SELECT count(DISTINCT cord_uid) FROM t) THEN 'common' END AS mark FROM c)
 """
 
-SQL = {
-    "p1_found": """
+_P1 = """
 WITH o AS (SELECT *, regexp_replace(coalesce(text, ''), '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]', '', 'g') = '' AS tb,
     regexp_replace(coalesce(section, ''), '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]', '', 'g') = '' AS sb,
     CASE regexp_replace(lower(coalesce(source, '')), '^\\s+|\\s+$', '', 'g') WHEN 'pmc' THEN 0 WHEN 'pdf' THEN 1 ELSE 2 END AS sr FROM paragraphs),
 r AS (SELECT *, row_number() OVER (PARTITION BY cord_uid, para_idx ORDER BY tb, sr, parsed_at DESC NULLS LAST, row_id) AS rn,
     row_number() OVER (PARTITION BY cord_uid, para_idx ORDER BY sb, tb, sr, parsed_at DESC NULLS LAST, row_id) AS rs FROM o)
+"""
+
+SQL = {
+    "p1_found": _P1 + """
 SELECT cord_uid, para_idx, max(CASE WHEN rn = 1 THEN row_id END)::BIGINT AS text_row_id,
     max(CASE WHEN rs = 1 AND NOT sb THEN row_id ELSE -1 END)::BIGINT AS section_row_id
 FROM r GROUP BY cord_uid, para_idx HAVING count(*) >= 2
+""",
+    "p1_survivors": _P1 + """
+SELECT cord_uid, para_idx, count(*)::BIGINT AS n_rows, max(CASE WHEN rn = 1 THEN text END) AS text, max(CASE WHEN rs = 1 AND NOT sb THEN section END) AS section
+FROM r GROUP BY cord_uid, para_idx
 """,
     "p7_found": _P7 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p7_term_counts": _P7 + "SELECT term, n_occurrences, n_records, mark FROM m",
