@@ -187,7 +187,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cord_uid, para_idx ORDER BY tb,
     row_number() OVER (PARTITION BY cord_uid, para_idx ORDER BY sb, tb, sr, parsed_at DESC NULLS LAST, row_id) AS rs FROM o)
 """
 
+#: An independent rule: parts equal to a name, or one typing error away from names of one entry only.
+_P6 = """
+WITH v AS (SELECT DISTINCT country FROM authors WHERE country IS NOT NULL),
+s AS (SELECT country, regexp_split_to_array(country, '[,;/|()&]|\\s[-–—]\\s') AS l FROM v),
+p AS (SELECT country, unnest(l) AS part, generate_subscripts(l, 1) AS pos FROM s),
+q AS (SELECT country, pos, trim(regexp_replace(regexp_replace(lower(strip_accents(part)), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS f FROM p),
+n AS (SELECT iso3, trim(regexp_replace(regexp_replace(lower(strip_accents(x)), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS n FROM (SELECT iso3, name AS x FROM countries UNION ALL SELECT iso3, unnest(alt_names) FROM countries)),
+e AS (SELECT country, pos, min(iso3) AS iso3 FROM q JOIN n ON n = f OR (length(replace(f, ' ', '')) <= 3 AND n = replace(f, ' ', '')) WHERE f <> '' GROUP BY 1, 2),
+d AS (SELECT country, pos, min(iso3) AS iso3 FROM q JOIN n ON length(f) >= 4 AND length(n) >= 4 AND damerau_levenshtein(f, n) <= 1 GROUP BY 1, 2 HAVING count(DISTINCT iso3) = 1),
+b AS (SELECT country, pos, coalesce(e.iso3, d.iso3) AS iso3 FROM q LEFT JOIN e USING (country, pos) LEFT JOIN d USING (country, pos)),
+r AS (SELECT country, min(pos) AS pos FROM b WHERE iso3 IS NOT NULL GROUP BY country)
+SELECT v.country, coalesce(b.iso3, 'NONE') AS iso3 FROM v LEFT JOIN r USING (country) LEFT JOIN b ON b.country = v.country AND b.pos = r.pos
+"""
+
 SQL = {
+    "p6_found": _P6,
     "p1_found": _P1 + """
 SELECT cord_uid, para_idx, max(CASE WHEN rn = 1 THEN row_id END)::BIGINT AS text_row_id,
     max(CASE WHEN rs = 1 AND NOT sb THEN row_id ELSE -1 END)::BIGINT AS section_row_id

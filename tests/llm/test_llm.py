@@ -375,7 +375,8 @@ def test_llm_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW paragraphs AS SELECT * FROM '{data}/paragraphs.parquet'")
+    for table in ("paragraphs", "authors", "countries"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     rel = con.sql(Q.SQL[name])
     df = Q.QUERIES[name](spark, data).select(*rel.columns)
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, map(tuple, rel.fetchall())))
