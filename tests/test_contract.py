@@ -9,6 +9,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from inkwell.plans import reference, training
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -21,7 +22,7 @@ def value(v):
     return repr(round(v, 6) + 0.0) if isinstance(v, float) and not math.isinf(v) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("p")) + ["p4_table_sizes", "paragraphs_silver", "papers_silver", "parquet_sink"])
+@pytest.mark.parametrize("name", sorted({**reference.QUERIES, **training.QUERIES}))
 def test_query(spark, data, name):
     import duckdb
 
