@@ -6,8 +6,10 @@ known. Every sentence with suspicious characters, of every text, is then classif
 step by step and accepted only if each step decodes strictly and the outcome isn't classed as garbled again.
 
 What is suspicious costs nothing to find: wrongly decoded bytes above 127 come in runs of two or more non-ASCII
-characters, and lost characters leave U+FFFD. Correct foreign letters also pass that test and are then told apart by the
-classifier and the strict decoding.
+characters, and lost characters leave U+FFFD. Western text of one byte a character that was read with another such set
+(WESTERN) has single wrong characters instead: Cyrillic letters touching Latin ones, signs between letters, capitals after
+small letters. Correct foreign letters also pass these tests and are then told apart by the classifier and the strict
+decoding.
 
 Null and empty texts are left alone. A sentence with U+FFFD, or with a mis-read quotation mark that has lost its last
 byte, counts as garbled; its other characters stay.
@@ -26,7 +28,13 @@ from inkwell.session import received, send
 SAMPLE_ROWS, SAMPLE_SENTENCES = 3_000, 12
 BUCKETS = 1 << 14
 SMOOTHING = 0.02
-SUSPICIOUS = r"[^\x00-\x7f]{2}|�"
+#: What follows a non-ASCII character that is odd in its word: Cyrillic touching Latin letters, a sign between letters, an
+#: accented capital after a small letter. Signs that stand between letters in correct text as well are left out. The patterns
+#: begin with the rare character and look back from there, as ASCII text is then passed over quickly; Java reads them alike.
+_SIGN = r"[^\x00-\x7fÀ-ÖØ-öø-ɏЀ-ӿ\u0300-\u036f’‘“”‐-―…·´±≤≥×°µ®™ﬀ-ﬄ\u00a0\u00ad\u2000-\u200b�]"
+_ODD = rf"(?<=[Ѐ-ӿ])(?=[A-Za-z])|(?<=[A-Za-z][Ѐ-ӿ])|(?<=[A-Za-z]{_SIGN})(?=[a-z])|(?<=[a-z][À-ÖØ-Þ])"
+ODD = rf"[^\x00-\x7f](?:{_ODD})"
+SUSPICIOUS = rf"[^\x00-\x7f](?:(?=[^\x00-\x7f])|(?<=�)|{_ODD})"
 
 
 def _cp1252(b: bytes) -> str:
@@ -64,7 +72,17 @@ CHAINS = {
     "koi8-r>cp1252": [("koi8-r", "cp1252")],
     "cp1251>koi8-r": [("cp1251", "koi8-r")],
     "koi8-r>cp1251": [("koi8-r", "cp1251")],
+    "cp1252>cp1251": [("cp1252", "cp1251")],
+    "cp1252>koi8-r": [("cp1252", "koi8-r")],
+    "cp1252>mac-roman": [("cp1252", "mac-roman")],
+    "cp1252>cp437": [("cp1252", "cp437")],
+    "cp1252>cp850": [("cp1252", "cp850")],
 }
+#: Chains that leave single wrong characters in Western text; of these, the ones that leave Cyrillic letters.
+WESTERN = {c for c in CHAINS if c.startswith("cp1252>")}
+TO_CYRILLIC = {"cp1252>cp1251", "cp1252>koi8-r"}
+#: Log odds in favour of a chain where one or two letters fit several: Windows sets are taken for each other most often.
+USUAL = {"cp1252>cp1251": 3.0}
 CLEAN = "clean"
 
 
@@ -115,13 +133,13 @@ class ChainClassifier:
         counts = np.full((len(self.names), BUCKETS), SMOOTHING)
         self.known = {c for x in SEEDS for c in x if c > "\x7f"}
         for s in clean:
-            if re.search("[\x80-\x9f�]", s) or any(undo(w, c) for c in CHAINS if c.startswith("utf-8") for w in s.split(" ") if re.search(r"[^\x00-\x7f]{2}", w)):
+            if re.search("[\x80-\x9f�]", s) or any(undo(w, c) for c in CHAINS if c.startswith("utf-8") for w in s.split(" ") if re.search(r"[^\x00-\x7f]{2}", w)) or re.search("[a-z][Ѐ-ӿ]|[Ѐ-ӿ][a-z]", s):
                 continue  # garbled already
             self.known.update(c for c in s if c > "\x9f")
             np.add.at(counts[0], bigrams(s), 1)
             for k, chain in enumerate(self.names[1:], 1):
                 bad = garble(s, chain)
-                if bad is not None and bad != s and (chain.startswith("utf-8") or _mostly_cyrillic(s)):
+                if bad is not None and bad != s and (chain.startswith("utf-8") or _mostly_cyrillic(s) != (chain in WESTERN)):
                     np.add.at(counts[k], bigrams(bad), 1)
         self.log = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
@@ -153,7 +171,7 @@ class ChainClassifier:
                 t = undo(s, name)
                 if t is not None and self.plausible(t) and (value > clean or _telltale(s)):
                     return t, name
-            elif value > clean and (t := undo(s, name)) is not None and _mostly_cyrillic(t):
+            elif name not in WESTERN and value > clean and (t := undo(s, name)) is not None and _mostly_cyrillic(t):
                 return t, name
         parts = re.split(r"([ \t\r\n]+)", s)
         odd = [k for k, w in enumerate(parts) if re.search(r"[^\x00-\x7f]{2}", w)]
@@ -165,7 +183,38 @@ class ChainClassifier:
                 scores = dict(self.ranked(" ".join(parts[k] for k in fixed)))
                 if scores[name] > scores[CLEAN]:
                     return "".join(fixed.get(k, w) for k, w in enumerate(parts)), name
-        return None
+        return self.western(s)
+
+    def western(self, s: str, known: frozenset[str] = frozenset()) -> tuple[str, str] | None:
+        """One of WESTERN undone over the words it hit; a sentence without odd words needs a chain ``known`` from its text."""
+        parts = re.split(r"([ \t\r\n]+)", s)
+        beyond = [k for k, w in enumerate(parts) if re.search(r"[^\x00-\x7f]", w)]
+        odd = [k for k in beyond if re.search(ODD, parts[k]) and len(re.findall("[A-Za-z]", parts[k])) >= 2]
+        if not beyond or not odd and not known:
+            return None
+        best = None
+        for name in sorted(WESTERN if odd else known):
+            fixed = {k: t for k in odd if (t := undo(parts[k], name)) is not None and _western_word(t)}
+            if odd:
+                # signs of writing tell nothing of the chain
+                scores = dict(self.ranked(re.sub(r"[‘’“”–—…«»]", "", " ".join(parts[k] for k in fixed))))
+                if not fixed or scores[name] <= scores[CLEAN]:
+                    continue
+            sure = len(fixed), dict(self.ranked(" ".join(fixed.values())))[CLEAN] + USUAL.get(name, 0.0)
+            for k in beyond:
+                t = undo(parts[k], name) if k not in odd else None
+                if t is not None and self.plausible(t):
+                    if name in TO_CYRILLIC:
+                        hit = len(re.findall("[Ѐ-ӿ]", parts[k])) in (1, 2)
+                    else:
+                        scores = dict(self.ranked(f" {parts[k]} "))
+                        hit = _western_word(t) and scores[name] > scores[CLEAN]
+                    if hit:
+                        fixed[k] = t
+            # of several chains the one that explains most words, and gives the most usual ones
+            if fixed and (best is None or sure > best[0]):
+                best = sure, "".join(fixed.get(k, w) for k, w in enumerate(parts)), name
+        return best and best[1:]
 
     def plausible(self, t: str) -> bool:
         """Whether every non-ASCII character is a usual letter or one that clean text of the sample has."""
@@ -177,6 +226,11 @@ def _mostly_cyrillic(s: str) -> bool:
     return bool(letters) and sum("Ѐ" <= c <= "ӿ" for c in letters) > 0.6 * len(letters)
 
 
+def _western_word(t: str) -> bool:
+    """Whether beside signs of writing all non-ASCII characters are Western letters, and none is a capital after a small letter."""
+    return all(c < "\x80" or "À" <= c <= "ÿ" and c not in "×÷" or c in "’‘“”„–—…«»" for c in t) and not re.search("[a-zß-ÿ][A-ZÀ-Þ]", t)
+
+
 def _telltale(s: str) -> bool:
     """Two separate multi-byte patterns of mis-read UTF-8, or control characters of the C1 block."""
     return bool(re.search(r"[\x80-\x9f]", s)) or len(re.findall(r"[Â-ô][\u0080-¿Œ-ƒˆ˜–-™]", s)) >= 2
@@ -218,6 +272,9 @@ def repair_text(text: str, model: ChainClassifier) -> tuple[str, list[str], bool
             s, undone = model.repair(s)
             chains += undone
         out.append(s)
+    known = frozenset(chains) & WESTERN
+    if known:
+        out = [found[0] if re.search(r"[^\x00-\x7f]", s) and not _mostly_cyrillic(s) and (found := model.western(s, known)) else s for s in out]
     return "".join(out), sorted(set(chains)), lost
 
 
@@ -248,5 +305,5 @@ def garbled_texts(docs: DataFrame, doc_id: str, text: str, model: ChainClassifie
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(lost, pa.bool_()), pa.array(restored, pa.string())], names=["doc", "chains", "lost", "restored"]
             )
 
-    picked = docs.where(F.col(text).rlike(r"[^\x00-\x7f]{2}|\x{fffd}")).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
+    picked = docs.where(F.col(text).rlike(SUSPICIOUS)).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     return picked.mapInArrow(run, f"doc {kind}, chains array<string>, lost boolean, restored string")

@@ -351,6 +351,16 @@ def test_cyrillic_lost_and_partly_garbled(model):
     assert encodings.repair_text("un prélèvement répété a confirmÃ© le degrÃ© Ã\xa0 l’échelle", model)[0] == "un prélèvement répété a confirmé le degré à l’échelle"
 
 
+@pytest.mark.parametrize("chain", sorted(c for c in encodings.CHAINS if c.startswith("cp1252>")))
+def test_single_wrong_letters_are_restored(spark, chain):
+    model = encodings.ChainClassifier([*CLEAN[:5] * 20, *CLEAN, *encodings.SEEDS])
+    whole = "Plain before. Die gefährdeten Ärzte für die Größe. Un résumé naïve."
+    bad = encodings.garble(whole, chain)
+    assert encodings.repair_text(bad, model) == (whole, [chain], False)
+    rows = [(1, encodings.garble("The résumé of it.", chain)), (2, "The résumé of it."), (3, "IgGом и COVIDом, mean±sd of NFκB, deﬁne the ﬂow, Smith‡")]
+    assert [r.doc for r in encodings.garbled_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", model).collect()] == [1]
+
+
 def test_garbled_rows(spark, model):
     rows = [(1, encodings.garble(CLEAN[0], "utf-8>cp1252")), (2, CLEAN[0]), (3, None), (4, ""), (1, encodings.garble(CLEAN[0], "utf-8>cp1252")), (5, "x" * 50_000 + encodings.garble(" é à ü ö.", "utf-8>latin-1"))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(0))
