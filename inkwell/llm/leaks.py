@@ -181,11 +181,23 @@ class Items:
                 else:
                     line.append([j, j + n])
         pieces = sorted((a, b, a - diag, b - diag) for diag, line in runs.items() for a, b in line)  # doc from, to, item from, to
-        # best chain in order, bridging small gaps by the words they have in common
+        # best chain in order over all earlier pieces, bridging small gaps by the words they have in common; of pieces too far
+        # back for a bridge only the place in the item and the score matter, so the best of each place stands for all of them
+        spans = sorted({(i, e) for _, _, i, e in pieces})
+        slot = {x: k for k, x in enumerate(spans)}
+        starts, ends = np.array(spans).T
+        far = np.full(len(spans), -np.inf)
         best: list[float] = []
+        near: list[int] = []
         for k, (a, b, i, e) in enumerate(pieces):
             score = float(e - i)
-            for p in range(max(0, k - 60), k):
+            gone = [p for p in near if a - pieces[p][1] > 2 * BRIDGE]
+            if gone:
+                for p in gone:
+                    x = slot[pieces[p][2:]]
+                    far[x] = max(far[x], best[p])
+                near = [p for p in near if a - pieces[p][1] <= 2 * BRIDGE]
+            for p in near:
                 pa, pb, pi, pe = pieces[p]
                 if pe <= i or (pi < i and pe < e):
                     cut = max(0, pe - i, pb - a)
@@ -196,7 +208,11 @@ class Items:
                     if 0 < gi <= BRIDGE and 0 < gj <= 2 * BRIDGE:
                         gain += _common(own[pe:i], doc[pb:a])
                     score = max(score, gain)
+            if len(near) < k:
+                gains = np.where((ends <= i) | (starts < i) & (ends < e), far - np.maximum(ends - i, 0), -np.inf)
+                score = max(score, float(gains.max()) + (e - i))
             best.append(score)
+            near.append(k)
         return max(best) / len(own)
 
 

@@ -310,6 +310,14 @@ def test_leaks(spark):
     assert leaks.leaked_items(df, "doc_id", "text", it.limit(0), "item_id", "passage").count() == 0
 
 
+def test_stretches_far_apart_are_chained():
+    item, other = np.arange(1, 101, dtype=np.int64), iter(range(1_000, 100_000))
+    fill = lambda n: [next(other) for _ in range(n)]
+    between = [x for _ in range(90) for x in [*fill(20), *item[95:]]]  # a stock run of the item, again and again
+    doc = np.array([*fill(30), *item[10:32], *between, *fill(20), *item[40:62], *fill(30)], dtype=np.uint64)
+    assert leaks.Items([1], [item]).share(0, doc, leaks.shingle_hashes(doc)) == 0.44
+
+
 def test_item_blocks_give_the_same(spark, data, monkeypatch):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
     one = leaks.leaked_items(docs, "doc_id", "text", items, "item_id", "passage").select("doc", "item").collect()
