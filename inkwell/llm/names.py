@@ -5,8 +5,8 @@ abbreviations, translations and single typing errors resolved by WORDS), the pla
 initials with the first three letters of the place) and the settlement its rows name most often. Entities start as
 spellings with equal kind and place. In every round the entities' merged profiles (all their places, settlements and
 initials) enter blocking: by kind and place with up to two letters left out, by kind and settlement, and by initials.
-An entity that isn't established (no settlement confirms its place and it has few spellings) joins the nearest
-established entity of its block; established entities of the same kind in different places never join each other, and
+An entity whose place no settlement confirms joins the nearest entity of its block that is confirmed or far better supported
+(SUPPORT_RATIO times its spellings; with few spellings any established one); other entities of the same kind in different places never join each other, and
 different kinds never do. Merging goes on until a round brings nothing new.
 
 A block is only ever aggregated to its centre, so its size doesn't matter. Nulls and blank names are no spellings.
@@ -37,6 +37,8 @@ WORDS = {
 }
 STOP = {"of", "the", "de", "la", "le", "der", "des", "du", "and", "for", "fur", "di", "do", "da"}
 ESTABLISHED = 3
+#: How many times the spellings of an unconfirmed entity another unconfirmed one must have to be its right name.
+SUPPORT_RATIO = 3
 MAX_ROUNDS = 8
 
 
@@ -195,13 +197,14 @@ def linked_names(df: DataFrame, name: str, settlement: str | None = None, max_ro
 
 
 def _moves(full: DataFrame, state: DataFrame) -> DataFrame | None:
-    """(entity, target): where entities that aren't established go in this round; no target moves itself."""
+    """(entity, target): where unconfirmed entities go in this round; no target moves itself."""
     with_place = full.where("acronym = '' AND place <> '' AND kind <> ''")
     keys = with_place.select("entity", F.explode("variants").alias("v"), "kind").select("entity", F.concat_ws("|", "kind", "v").alias("key")).distinct()
-    keyed = keys.join(state.select("entity", "support", "strong", "main"), "entity")
+    keyed = keys.join(state.select("entity", "support", "confirmed", "strong", "main"), "entity")
     # the best two established entities of a block stand for it: the centre and, for the centre itself, the next
-    centre = keyed.groupBy("key").agg(F.max_by(F.struct("entity", "main"), F.struct(F.col("strong").cast("int"), "support", "entity")).alias("c"))
-    weak = keyed.where("NOT strong").join(centre, "key").where("c.entity <> entity")
+    centre = keyed.groupBy("key").agg(F.max_by(F.struct("entity", "main", "support", "confirmed", "strong"), F.struct("confirmed", "support", "entity")).alias("c"))
+    better = f"c.confirmed = 1 OR c.support >= {SUPPORT_RATIO} * support OR c.strong AND NOT strong"
+    weak = keyed.where("confirmed = 0").join(centre, "key").where("c.entity <> entity AND c.strong").where(better)
     near = weak.select("entity", F.col("c.entity").alias("target"), F.levenshtein(F.col("main"), F.col("c.main")).alias("d"), F.length("main").alias("len")).where("d <= CASE WHEN len >= 8 THEN 3 ELSE 2 END")
     placed = near.groupBy("entity").agg(F.min_by("target", F.struct("d", "target")).alias("target"))
     # acronyms: to the entity that has these initials, in the settlement the acronym's rows name if they name one

@@ -201,6 +201,21 @@ def test_variants_of_names(spark):
     assert names.linked_names(df.limit(0), "inst", "town").count() == 0
 
 
+def linked(spark, rows):
+    return {r.name: r.entity for r in names.linked_names(spark.createDataFrame(rows, "inst string, town string"), "inst", "town").collect()}
+
+
+def test_a_typing_error_in_many_spellings_is_no_place_of_its_own(spark):
+    wrong = ["Pewnarren University", "University of Pewnarren", "PEWNARREN UNIVERSITY", "Univ. Pewnarren"]
+    out = linked(spark, [("Penwarren University", "Penwarren")] + [(n, None) for n in wrong])
+    assert len(set(out.values())) == 1
+    forms = ["{} University", "University of {}", "{} Univ.", "Univ. {}", "Univ {}", "{} univ", "U. of {}", "Univ. of {}", "{} UNIVERSITY", "University {}", "{} university", "university of {}"]
+    out = linked(spark, [(f.format("Penwarren"), None) for f in forms] + [(n, None) for n in wrong])
+    assert len(set(out.values())) == 1
+    out = linked(spark, [(f.format(x), None) for f in forms for x in ("Penwarren", "Pewnarren")])
+    assert len(set(out.values())) == 2  # as well supported: two places
+
+
 def test_name_parts():
     assert names.parse("Acad. of Med. Scienaes North Halvard")[:2] == ("academy medical science", "north halvard")
     assert names.parse("Universität Tarrington")[:2] == ("university", "tarrington") and names.parse("U. of Tarrington")[2] == "UTAR"
