@@ -9,7 +9,8 @@ An entity whose place no settlement confirms joins the nearest entity of its blo
 (SUPPORT_RATIO times its spellings; with few spellings any established one); other entities of the same kind in different places never join each other, and
 different kinds never do. Merging goes on until a round brings nothing new.
 
-A block is only ever aggregated to its centre, so its size doesn't matter. Nulls and blank names are no spellings.
+Of a block only the best entity of each place stays as a possible target, so its size doesn't matter. A spelling without a
+readable place takes the settlement that nearly all of its rows name (SETTLED) as its place. Nulls and blank names are no spellings.
 Repeated rows only add to counts; ties go to the better supported, then to the alphabetically first entity.
 """
 
@@ -39,6 +40,8 @@ STOP = {"of", "the", "de", "la", "le", "der", "des", "du", "and", "for", "fur",
 ESTABLISHED = 3
 #: How many times the spellings of an unconfirmed entity another unconfirmed one must have to be its right name.
 SUPPORT_RATIO = 3
+#: Least share of a spelling's rows with a settlement that must name one settlement to make it the spelling's place.
+SETTLED = 0.8
 MAX_ROUNDS = 8
 
 
@@ -140,7 +143,8 @@ def profiles(df: DataFrame, name: str, settlement: str | None) -> DataFrame:
     """(name, n_rows, settle, kind, place, initials, acronym, variants): one row for each distinct spelling."""
     rows = df.select(F.col(name).alias("name"), (F.col(settlement) if settlement else F.lit(None)).cast("string").alias("settle")).where(r"name IS NOT NULL AND name RLIKE '(?U)[^\\s]'")
     counted = rows.groupBy("name", "settle").agg(F.count(F.lit(1)).alias("n"))
-    spelled = counted.groupBy("name").agg(F.sum("n").alias("n_rows"), F.max_by("settle", F.when(F.col("settle").isNotNull(), F.struct("n", "settle"))).alias("settle"))
+    said = F.when(F.col("settle").isNotNull(), F.col("n"))
+    spelled = counted.groupBy("name").agg(F.sum("n").alias("n_rows"), F.max_by("settle", F.when(F.col("settle").isNotNull(), F.struct("n", "settle"))).alias("settle"), (F.max(said) / F.sum(said)).alias("settled"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -149,10 +153,10 @@ def profiles(df: DataFrame, name: str, settlement: str | None) -> DataFrame:
             settle = [" ".join(re.findall(r"[a-z0-9]+", fold(s))) if isinstance(s, str) else "" for s in pdf["settle"]]
             parsed = [parse(x, s) for x, s in zip(pdf["name"], settle)]
             places = []
-            for (_, place, _, _), s in zip(parsed, settle):
+            for (kind, place, _, _), s, sure in zip(parsed, settle, pdf["settled"] >= SETTLED):
                 # the place as the rows' settlement spells it, where they are close
                 near = s and place and distance(place, s) <= max(1, min(4, len(s) // 3))
-                places.append(s if near else place)
+                places.append(s if near or kind and not place and sure else place)
             yield pd.DataFrame(
                 {
                     "name": pdf["name"], "n_rows": pdf["n_rows"], "settle": settle, "kind": [p[0] for p in parsed], "place": places, "typed": [p[1] for p in parsed],
@@ -199,14 +203,16 @@ def linked_names(df: DataFrame, name: str, settlement: str | None = None, max_ro
 def _moves(full: DataFrame, state: DataFrame) -> DataFrame | None:
     """(entity, target): where unconfirmed entities go in this round; no target moves itself."""
     with_place = full.where("acronym = '' AND place <> '' AND kind <> ''")
-    keys = with_place.select("entity", F.explode("variants").alias("v"), "kind").select("entity", F.concat_ws("|", "kind", "v").alias("key")).distinct()
+    near_place = with_place.select("entity", F.explode("variants").alias("v"), "kind").select("entity", F.concat_ws("|", "kind", "v").alias("key"))
+    settled = with_place.where("settle <> ''").select("entity", F.concat_ws("|", "kind", F.lit("in"), "settle").alias("key"))
+    keys = near_place.unionByName(settled).distinct()
     keyed = keys.join(state.select("entity", "support", "confirmed", "strong", "main"), "entity")
-    # the best two established entities of a block stand for it: the centre and, for the centre itself, the next
-    centre = keyed.groupBy("key").agg(F.max_by(F.struct("entity", "main", "support", "confirmed", "strong"), F.struct("confirmed", "support", "entity")).alias("c"))
+    # entities with equal places are equally near, so the best of each place stands for all; the rest of a block is compared
+    centre = keyed.where("strong").groupBy("key", F.col("main").alias("at")).agg(F.max_by(F.struct("entity", "main", "support", "confirmed", "strong"), F.struct("confirmed", "support", "entity")).alias("c"))
     better = f"c.confirmed = 1 OR c.support >= {SUPPORT_RATIO} * support OR c.strong AND NOT strong"
-    weak = keyed.where("confirmed = 0").join(centre, "key").where("c.entity <> entity AND c.strong").where(better)
-    near = weak.select("entity", F.col("c.entity").alias("target"), F.levenshtein(F.col("main"), F.col("c.main")).alias("d"), F.length("main").alias("len")).where("d <= CASE WHEN len >= 8 THEN 3 ELSE 2 END")
-    placed = near.groupBy("entity").agg(F.min_by("target", F.struct("d", "target")).alias("target"))
+    weak = keyed.where("confirmed = 0").join(centre, "key").where("c.entity <> entity").where(better)
+    near = weak.select("entity", F.col("c.entity").alias("target"), (-F.col("c.support")).alias("order"), F.levenshtein(F.col("main"), F.col("c.main")).alias("d"), F.length("main").alias("len")).where("d <= CASE WHEN len >= 8 THEN 3 ELSE 2 END")
+    placed = near.groupBy("entity").agg(F.min_by("target", F.struct("d", "order", "target")).alias("target"))
     # acronyms: to the entity that has these initials, in the settlement the acronym's rows name if they name one
     initials = with_place.select("entity", F.col("initials").alias("acronym")).where("length(acronym) >= 3").distinct().join(state.select("entity", "support", "main", "strong"), "entity").where("strong")
     acronyms = state.where("acronym <> '' AND kind = ''").select(F.col("entity").alias("a"), "acronym", "acronym_settle")

@@ -216,6 +216,20 @@ def test_a_typing_error_in_many_spellings_is_no_place_of_its_own(spark):
     assert len(set(out.values())) == 2  # as well supported: two places
 
 
+def test_every_place_of_a_block_is_compared(spark):
+    # Tavrin shares one key with both, "tavin"; Stavin is better supported but farther
+    forms = ["{} University", "University of {}", "{} Univ.", "Univ. {}", "Univ {}", "{} univ"]
+    out = linked(spark, [(f.format(p), p) for p, n in (("Tavlin", 2), ("Stavin", 6)) for f in forms[:n]] + [("Tavrin Univ", None)])
+    assert out["Tavrin Univ"] == out["Tavlin University"] != out["Stavin University"]
+
+
+def test_spelling_without_place_is_blocked_by_settlement(spark):
+    rows = [("Bravik University", "Bravik"), ("The University", "Bravik"), ("The University", "Bravik"), ("Hospital", "Bravik"), ("Bravik Hospital", "Bravik"), ("Univ.", "Bravik"), ("Univ.", "Oldmarsh")]
+    out = linked(spark, rows)
+    assert out["The University"] == out["Bravik University"] and out["Hospital"] == out["Bravik Hospital"] != out["Bravik University"]
+    assert out["Univ."] == "Univ."  # of two towns
+
+
 def test_name_parts():
     assert names.parse("Acad. of Med. Scienaes North Halvard")[:2] == ("academy medical science", "north halvard")
     assert names.parse("Universität Tarrington")[:2] == ("university", "tarrington") and names.parse("U. of Tarrington")[2] == "UTAR"
