@@ -206,6 +206,84 @@ def json_dewey_nodes(df: DataFrame, key: str, body: str, wanted: list[Wanted], a
     return df.select(key, body).mapInArrow(parse, schema)
 
 
+def _shaped(value: object, kind: T.DataType) -> object:
+    """A parsed JSON value as a value of the type; what doesn't fit becomes null.
+
+    As in _walk, an object in place of an array of objects is an array of one, and an element or map value that is
+    neither null nor an object keeps its place as an object without leaves.
+    """
+    if isinstance(kind, T.StructType):
+        return {f.name: _shaped(value.get(f.name), f.dataType) for f in kind.fields} if isinstance(value, dict) else None
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        full = lambda x: _shaped({} if isinstance(inner, T.StructType) and x is not None and not isinstance(x, dict) else x, inner)
+        if isinstance(kind, T.MapType):
+            return [(_sound(k), full(x)) for k, x in value.items()] if isinstance(value, dict) else None
+        if isinstance(value, list):
+            return [full(x) for x in value]
+        one = isinstance(value, dict) if isinstance(inner, T.StructType) else isinstance(value, str)
+        return [full(value)] if one else None
+    if isinstance(kind, T.StringType):
+        return _sound(value) if isinstance(value, str) else None if value is None else json.dumps(value, ensure_ascii=False)
+    if isinstance(kind, (T.IntegerType, T.LongType)) and not isinstance(value, bool) and isinstance(value, (int, float, str)):
+        try:
+            number = int(value)
+        except (ValueError, OverflowError):
+            return None
+        bits = 31 if isinstance(kind, T.IntegerType) else 63
+        return number if (isinstance(value, str) or number == value) and -(1 << bits) <= number < 1 << bits else None
+    return None
+
+
+def _sound(text: str) -> str:
+    """``text`` with lone surrogates, which JSON escapes may give, replaced."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def json_records(df: DataFrame, body: str, shape: T.StructType) -> DataFrame:
+    """``df`` with its ``body`` (JSON text) parsed to the columns of ``shape``, the nodes and labels as in json_dewey_nodes.
+
+    Leaves of these types are taken: text (other values as their JSON text) and whole numbers; other types become null.
+    Columns that ``df`` has itself win over those of ``shape``. Null, empty and unparsable bodies, and bodies that are no
+    object, make no rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = [f for f in df.schema.fields if f.name != body]
+    read = T.StructType([T.StructField(f.name, f.dataType) for f in shape.fields if f.name not in {k.name for k in kept}])
+    schema = T.StructType([*kept, *read])
+    types = [f.type for f in to_arrow_schema(read)]
+
+    def parse(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, rows = [], []
+            for k, text in enumerate(batch.column(len(kept)).to_pylist()):
+                try:
+                    record = json.loads(text) if text else None
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(record, dict):
+                    at.append(k)
+                    rows.append([_shaped(record.get(f.name), f.dataType) for f in read.fields])
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(kept))]
+            new = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*own, *new], names=schema.names)
+
+    return df.select(*[f.name for f in kept], body).mapInArrow(parse, schema)
+
+
+def paper_tables(typed: DataFrame, raw: DataFrame, key: str = "rec_id") -> dict[str, DataFrame]:
+    """The flat tables of record_tables over typed paper records and those that arrived as JSON text."""
+    parsed = json_records(raw, "body", typed.schema)
+    return record_tables(typed.unionByName(parsed.select(*[c for c in parsed.columns if c in typed.columns]), allowMissingColumns=True), key, list(PAPER_CHILDREN))
+
+
 def parent_label(label: Column) -> Column:
     """A parent's Dewey label: the label without its last part."""
     return F.slice(label, 1, F.greatest(F.size(label) - 1, F.lit(0)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators.nested import PAPER_CHILDREN, paper_links, paper_nodes, record_tables
+from inkwell.operators.nested import PAPER_CHILDREN, paper_links, paper_nodes, paper_tables, record_tables
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -30,7 +32,19 @@ def p4_table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p4_found": p4_found, "p4_table_sizes": p4_table_sizes}
+def _table(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return paper_tables(_read(spark, d, "pdf_json"), _read(spark, d, "raw_json"))[path]
+
+    return query
+
+
+#: The flat tables of pdf_json and raw_json.
+TABLES = {
+    "p4_records": "records", "p4_authors": "metadata.authors", "p4_affiliations": "metadata.authors.affiliation", "p4_paragraphs": "body_text",
+    "p4_citations": "body_text.cite_spans", "p4_references": "bib_entries", "p4_reference_authors": "bib_entries.authors",
+}
+QUERIES = {"p4_found": p4_found, "p4_table_sizes": p4_table_sizes, **{name: _table(path) for name, path in TABLES.items()}}
 
 WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _SAID = "(regexp_replace(coalesce({0}, ''), '" + WS.replace("{", "{{").replace("}", "}}") + "', '', 'g') <> '')"

@@ -1,6 +1,6 @@
 import json
 
-from inkwell.operators.nested import Wanted, dewey_nodes, paper_links, paper_nodes, parent_label, record_tables
+from inkwell.operators.nested import Wanted, dewey_nodes, paper_links, paper_nodes, paper_tables, parent_label, record_tables
 
 SCHEMA = """rec_id long, paper_id string, clash string, metadata struct<title: string, authors: array<struct<first: string, middle: array<string>, affiliation: struct<institution: string, location: struct<country: string>>>>>,
 body_text array<struct<text: string, section: string, cite_spans: array<struct<start_pos: int, text: string>>>>, bib_entries map<string, struct<title: string, authors: array<struct<last: string>>>>"""
@@ -47,3 +47,26 @@ def test_generic_paths_and_labels(spark):
     rows = dewey_nodes(df, "id", [Wanted("a"), Wanted("a.b")])
     assert sorted((r.path, tuple(r.label), r.filled) for r in rows.collect()) == [("a", ("0",), False), ("a.b", ("0", "0"), True)]
     assert rows.select(parent_label(rows.label).alias("p")).where("size(p) = 0").count() == 1
+
+
+def test_tables_of_both_inputs(spark):
+    typed = spark.createDataFrame([FULL], SCHEMA)
+    body = {k: v for k, v in FULL.items() if k != "rec_id"}
+    odd = {"paper_id": 7, "metadata": {"title": ["t"], "authors": {"first": "A\ud800", "middle": "M", "affiliation": "x"}}, "body_text": [{"text": "x", "cite_spans": {"start_pos": "3"}}, "y", None], "bib_entries": {"b": 1, "c": {"title": None}, "d": None}}
+    t = paper_tables(typed, raw(spark, json.dumps(body), json.dumps(odd), None, "", "{", "[1]", "null", '{"metadata": "x", "body_text": 3}'))
+    for name, table in t.items():
+        rows = {k: [tuple(r)[1:] for r in table.where(f"rec_id = {k}").sort(*table.columns[1:2]).collect()] for k in (1, 100)}
+        assert rows[1] and rows[1] == rows[100], name
+    assert [r.rec_id for r in t["records"].sort("rec_id").collect()] == [1, 100, 101, 107]
+    only = {n: [tuple(r)[1:] for r in x.where("rec_id = 101").sort("label").collect()] for n, x in t.items() if n != "records"}
+    assert only["metadata.authors"] == [("0", "", "0", "A\ufffd", ["M"], None, None)] and only["metadata.authors.affiliation"] == []
+    assert only["body_text"] == [("0", "", "0", "x", None), ("1", "", "1", None, None)] and only["body_text.cite_spans"] == [("0.0", "0", "0", 3, None)]
+    assert only["bib_entries"] == [("b", "", "b", None), ("c", "", "c", None)]
+
+
+def test_tables_have_the_labels_of_the_nodes(spark, data):
+    typed, bodies = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pdf_json", "raw_json"))
+    nodes = {(r.rec_id, r.path, ".".join(r.label)) for r in paper_nodes(typed, bodies).collect()}
+    tables = paper_tables(typed, bodies)
+    assert nodes == {(r.rec_id, path, r.label) for path, t in tables.items() if path != "records" for r in t.select("rec_id", "label").collect()}
+    assert {r.rec_id for r in tables["records"].collect()} >= {r[0] for r in nodes} and {r.rec_id for r in bodies.collect()} & {r[0] for r in nodes}
