@@ -16,6 +16,7 @@ Repeated rows only add to counts; ties go to the better supported, then to the a
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -42,7 +43,6 @@ ESTABLISHED = 3
 SUPPORT_RATIO = 3
 #: Least share of a spelling's rows with a settlement that must name one settlement to make it the spelling's place.
 SETTLED = 0.8
-MAX_ROUNDS = 8
 
 
 def fold(s: str) -> str:
@@ -169,15 +169,18 @@ def profiles(df: DataFrame, name: str, settlement: str | None) -> DataFrame:
     )
 
 
-def linked_names(df: DataFrame, name: str, settlement: str | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(name, entity, n_rows): every distinct spelling with its entity, named by one of its spellings."""
+def linked_names(df: DataFrame, name: str, settlement: str | None = None, max_rounds: int | None = None) -> DataFrame:
+    """(name, entity, n_rows): every distinct spelling with its entity, named by one of its spellings.
+
+    Rounds go on until nothing merges, or for ``max_rounds``. They end: moves lead to confirmed or better supported entities.
+    """
     known = written(profiles(df, name, settlement), "names")
     parsed = known.where("acronym = '' AND place <> '' AND kind <> ''")
     first = parsed.groupBy("kind", "place").agg(F.min("name").alias("entity"))
     members = parsed.join(first, ["kind", "place"]).select("name", "entity").unionByName(known.where("NOT (acronym = '' AND place <> '' AND kind <> '')").select("name", F.col("name").alias("entity")))
     members = written(members, "members")
     size = members.select("entity").distinct().count()
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         full = members.join(known, "name")
         state = full.groupBy("entity").agg(
             F.count(F.lit(1)).alias("support"),

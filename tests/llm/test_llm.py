@@ -216,6 +216,21 @@ def test_a_typing_error_in_many_spellings_is_no_place_of_its_own(spark):
     assert len(set(out.values())) == 2  # as well supported: two places
 
 
+def test_rounds_go_on_until_nothing_merges(spark, monkeypatch):
+    rounds = []
+    real = names._moves
+
+    def one_at_a_time(full, state):
+        rounds.append(1)
+        moves = real(full, state)
+        return None if moves is None else moves.orderBy("entity").limit(1)
+
+    monkeypatch.setattr(names, "_moves", one_at_a_time)
+    wrong = ["Penwarrem", "Penwarrin", "Panwarren", "Penwaren", "Pnwarren", "Penwarten", "Penvarren", "Pemwarren", "Penwarrn", "Penqarren"]
+    out = linked(spark, [("Penwarren University", "Penwarren")] + [(f"{w} University", None) for w in wrong])
+    assert len(set(out.values())) == 1 and len(rounds) > len(wrong)
+
+
 def test_every_place_of_a_block_is_compared(spark):
     # Tavrin shares one key with both, "tavin"; Stavin is better supported but farther
     forms = ["{} University", "University of {}", "{} Univ.", "Univ. {}", "Univ {}", "{} univ"]
