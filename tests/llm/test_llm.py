@@ -403,7 +403,7 @@ def test_cyrillic_lost_and_partly_garbled(model):
     assert encodings.repair_text("un prélèvement répété a confirmÃ© le degrÃ© Ã\xa0 l’échelle", model)[0] == "un prélèvement répété a confirmé le degré à l’échelle"
 
 
-@pytest.mark.parametrize("chain", sorted(c for c in encodings.CHAINS if c.startswith("cp1252>")))
+@pytest.mark.parametrize("chain", [f"cp1252>{x}" for x in ("cp1251", "koi8-r", "mac-roman", "cp437", "cp850")])
 def test_single_wrong_letters_are_restored(spark, chain):
     model = encodings.ChainClassifier([*CLEAN[:5] * 20, *CLEAN, *encodings.SEEDS])
     whole = "Plain before. Die gefährdeten Ärzte für die Größe. Un résumé naïve."
