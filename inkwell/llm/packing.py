@@ -4,7 +4,8 @@ Each text's words are hashed into a vector of BUCKETS counts and projected to DI
 bounded sample, each coordinate cut at the sample's quantiles). The Hilbert key of the coordinates orders the texts so
 that neighbours are alike; the rows are range-sorted by it and packed along the curve: LOOK_AHEAD neighbouring items at a
 time, larger ones first, each into the open container with the least room that still takes it. At most OPEN containers
-stay open, the fullest are closed first.
+stay open, the fullest are closed first. Both numbers are small, so that a container holds neighbours along the curve:
+larger ones fill containers a little better and mix unlike texts.
 
 An item is cut only if it alone exceeds the capacity; its full pieces are containers of their own, the rest is packed as
 an item. Only keys, ids and sizes are shuffled. Range bounds include the id, so any number of equal texts spreads over
@@ -25,7 +26,7 @@ from inkwell.session import received, send, spread, task_slots, written
 
 BUCKETS, DIMENSIONS, CELL_BITS = 256, 3, 10
 SAMPLE_ROWS = 3_000
-LOOK_AHEAD, OPEN = 2_048, 64
+LOOK_AHEAD, OPEN = 64, 16
 ROWS_PER_TASK = 200_000
 
 
@@ -120,7 +121,8 @@ def packed(df: DataFrame, item: str, text: str, size: str, capacity: int = 2_048
     base = df.select(F.col(item).alias("item"), tokens.alias("size"), F.coalesce(words(F.col(text)), F.array().cast("array<bigint>")).alias("w"))
     total = df.count()
     share = max(1, total // SAMPLE_ROWS)
-    sample = df.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(F.coalesce(words(F.col(text)), F.array().cast("array<bigint>")).alias("w")).where("size(w) BETWEEN 1 AND 5000").limit(4 * SAMPLE_ROWS)
+    # chosen by the id's hash, so that no text is read to choose; the vectors are made in the tasks
+    sample = df.where(F.pmod(F.xxhash64(F.col(item)), F.lit(share)) == 0).where(F.length(text) > 0).limit(4 * SAMPLE_ROWS).select(words(F.col(text)).alias("w"))
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,3 +171,34 @@ def packed(df: DataFrame, item: str, text: str, size: str, capacity: int = 2_048
         yield from out.to_batches()
 
     return ranged.select("item", "piece", "first_token", "n_tokens").mapInArrow(fill, f"container long, position int, item {kind}, piece int, first_token int, n_tokens int")
+
+
+def locality(pieces: DataFrame, docs: DataFrame, item: str, text: str) -> DataFrame:
+    """(containers, in_container, any_two): mean cosine of two whole items' hashed vectors in one container and of any two.
+
+    By sums of unit vectors with partial aggregation; no pairs are formed. Items without words and cut items take no part.
+    """
+    from inkwell.llm.leaks import words
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    kind = docs.schema[item].dataType.simpleString()
+
+    def vectors(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            v = hashed_vectors(batch.column(1))
+            offsets = pa.array(range(0, v.size + 1, BUCKETS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel(), pa.float32()))], names=["item", "v"])
+
+    known = docs.where(F.length(text) > 0).select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).mapInArrow(vectors, f"item {kind}, v array<float>")
+    whole = pieces.groupBy("item").agg(F.min("container").alias("container"), F.count(F.lit(1)).alias("n")).where("n = 1").select("item", "container")
+    placed = known.join(whole, "item").select("container", array_to_vector(F.col("v").cast("array<double>")).alias("v"))
+    held = placed.groupBy("container").agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
+    held = written(held, "sums")
+    square = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
+    inside = held.where("n > 1").select(((square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("c"), "n")
+    all_in = held.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).select(((square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("any_two"))
+    one = inside.agg(F.count(F.lit(1)).alias("containers"), F.round(F.sum(F.col("c") * F.col("n")) / F.sum("n"), 4).alias("in_container"))
+    return one.join(all_in).select("containers", "in_container", F.round("any_two", 4).alias("any_two"))

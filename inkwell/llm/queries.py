@@ -71,6 +71,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / F.count(F.lit(1)) / 2048, 4).alias("filled"))
 
 
+def p8_locality(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the documents of a container are, beside any two documents."""
+    docs = _read(spark, d, "documents").select("doc_id", "text", "n_tokens")
+    pieces = packing.packed(docs, "doc_id", "text", "n_tokens", 2_048)
+    return packing.locality(pieces, docs, "doc_id", "text")
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What any right answer has: pieces and tokens placed, documents cut, containers too full, cuts of documents that fit."""
+    pieces = p8_packed(spark, d)
+    docs = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("size"))
+    one = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_pieces"), F.sum("size").alias("n_tokens"), F.count_if(F.expr("n > 1")).alias("n_cut"), F.count_if(F.expr("n > 1 AND size <= 2048")).alias("n_cut_wrongly"))
+    held = pieces.groupBy("container").agg(F.sum("n_tokens").alias("size"), F.count_distinct("position").alias("places"), F.count(F.lit(1)).alias("n"), F.max("position").alias("last"))
+    return one.join(held.agg(F.count_if(F.expr("size > 2048")).alias("n_too_full"), F.count_if(F.expr("places <> n OR last <> n - 1")).alias("n_misplaced")))
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     """Texts that come from scanned pages: all paragraphs but those of pmc, and the bodies of pdf_json."""
     cols = [F.lit("paragraphs").alias("tab"), F.col("row_id").alias("rec_id"), "para_idx", "text"]
@@ -124,6 +140,11 @@ def p7_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_frequencies(_read(spark, d, "paragraphs"), "text", "cord_uid", "row_id")
 
 
+def p7_spilled(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts with room for 4,000 rows a part, so that every partition is split by hash bits on the shared folder."""
+    return term_counts.term_frequencies(_read(spark, d, "paragraphs"), "text", "cord_uid", "row_id", spill_rows=4_000)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
@@ -158,6 +179,8 @@ QUERIES = {
     "p2_recall": p2_recall,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p8_locality": p8_locality,
+    "p8_invariants": p8_invariants,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p5_found": p5_found,
@@ -170,6 +193,7 @@ QUERIES = {
     "p10_restored": p10_restored,
     "p7_found": p7_found,
     "p7_term_counts": p7_term_counts,
+    "p7_spilled": p7_spilled,
 }
 
 _P7 = """
@@ -214,4 +238,9 @@ FROM r GROUP BY cord_uid, para_idx
 """,
     "p7_found": _P7 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p7_term_counts": _P7 + "SELECT term, n_occurrences, n_records, mark FROM m",
+    "p7_spilled": _P7 + "SELECT term, n_occurrences, n_records, mark FROM m",
+    "p8_invariants": """
+SELECT count(*)::BIGINT AS n_documents, sum(CASE WHEN n_tokens > 2048 THEN (n_tokens + 2047) // 2048 ELSE 1 END)::BIGINT AS n_pieces, sum(n_tokens)::BIGINT AS n_tokens,
+    count(*) FILTER (n_tokens > 2048)::BIGINT AS n_cut, 0::BIGINT AS n_cut_wrongly, 0::BIGINT AS n_too_full, 0::BIGINT AS n_misplaced FROM documents
+""",
 }

@@ -1,12 +1,13 @@
 """Frequency of every term and in how many records it occurs: recursive radix spilling, aggregated out of core by DuckDB.
 
-1. Rows are placed by record, so that a record's terms are made distinct where they arise. Records that hold more than
-   ``1 / HOT_SHARE`` of all rows (there are at most ``HOT_SHARE`` of them) are spread over salts; their terms keep the
+1. Rows are placed by record, so that a record's terms are made distinct where they arise. Records that hold more than half
+   a partition's rows (there are at most twice as many of them as partitions) are spread over salts; their terms keep the
    record's name until the end.
 2. In each task DuckDB reduces every chunk of (record, term) rows to one row per term before anything is shuffled.
 3. The reduced rows are shuffled by the leading hash bits of the term. A task whose partition is larger than
    ``spill_rows`` splits it by the next bits into files in the shared folder, again and again until each part fits, and
    DuckDB aggregates part by part. A term has at most one row per chunk and hot record, so parts always shrink.
+   DuckDB itself may spill, if at all, to the shared folder only.
 
 Null or empty texts have no terms; a null record counts its occurrences, but is no record. Ties play no role: counts
 are exact and independent of the order of rows. Empty input gives an empty table.
@@ -22,26 +23,33 @@ from pyspark.sql import functions as F
 
 from inkwell.session import scratch, written
 
-HOT_SHARE = 64
 CHUNK_ROWS = 400_000
 SPILL_ROWS = 1_500_000
 RADIX_BITS = 4
 
 
-def _duck():
+#: Leading hash bits for each reduce partition that Spark's own partitioning may use, so that partitions differ little.
+PART_BITS = 5
+
+
+def _duck(folder: str):
+    """DuckDB with one thread; its temporary folder is in the shared one, or it has none where that is no mounted path."""
     import duckdb
 
     con = duckdb.connect()
     con.execute("SET threads = 1")
-    con.execute("SET memory_limit = '256MB'")
+    local = folder.removeprefix("file://").removeprefix("file:")
+    mounted = local.startswith("/")
+    con.execute(f"SET memory_limit = '{256 if mounted else 1024}MB'")
+    con.execute("SET temp_directory = '{}'".format(f"{local}/duck-{uuid.uuid4().hex}".replace("'", "''") if mounted else ""))
     return con
 
 
-def reduce_chunks(batches: Iterator, chunk_rows: int = CHUNK_ROWS) -> Iterator:
+def reduce_chunks(batches: Iterator, folder: str, chunk_rows: int = CHUNK_ROWS) -> Iterator:
     """(term, n, hot, cold) -> one row per chunk, term and hot record with summed n and number of other records."""
     import pyarrow as pa
 
-    con, held, rows = _duck(), [], 0
+    con, held, rows = _duck(folder), [], 0
 
     def flush() -> Iterator:
         chunk = pa.Table.from_batches(held)
@@ -81,7 +89,7 @@ class RadixAggregator:
     def _finish(self, held: list) -> Iterator:
         import pyarrow as pa
 
-        con = _duck()
+        con = _duck(self.folder)
         con.register("part", pa.Table.from_batches(held).drop_columns(["h"]))
         out = con.sql(FINAL).to_arrow_table()
         yield from out.to_batches(max_chunksize=20_000)
@@ -165,30 +173,24 @@ def term_frequencies(
     spark = df.sparkSession
     base = df.select(F.col(record).cast("string").alias("r"), F.col(text).alias("t"), F.xxhash64(F.col(spread_by or text)).alias("s"))
     total = base.count()
-    hot_rows = base.where("r IS NOT NULL").groupBy("r").count().where(F.col("count") * HOT_SHARE > total).select("r").limit(HOT_SHARE).collect() if total else []
-    hot = [x.r for x in hot_rows]
-    is_hot = F.col("r").isin(hot) if hot else F.lit(False)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = base.where("t IS NOT NULL").select(
-        "r", F.when(F.coalesce(is_hot, F.lit(False)) | F.col("r").isNull(), F.pmod("s", F.lit(parts * 2))).otherwise(F.lit(-1)).alias("salt"), "t"
-    ).repartition(parts, "r", "salt")
+    hot_rows = base.where("r IS NOT NULL").groupBy("r").count().where(F.col("count") * 2 * parts > total).select("r")  # fewer than 2 * parts rows
+    hot = written(hot_rows, "hot").withColumn("is_hot", F.lit(True))
+    marked = base.where("t IS NOT NULL").join(F.broadcast(hot), "r", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    salt = F.when(F.col("is_hot") | F.col("r").isNull(), F.pmod("s", F.lit(parts * 2))).otherwise(F.lit(-1))
+    placed = marked.select("r", "is_hot", salt.alias("salt"), "t").repartition(parts, "r", "salt")
     pairs = (
-        placed.select("r", "salt", terms(F.col("t")).alias("w"))
+        placed.select("r", "is_hot", "salt", terms(F.col("t")).alias("w"))
         .where(F.size("w") > 0)
-        .select("r", "salt", F.explode(F.concat(F.col("w"), F.array(F.lit("")))).alias("term"))  # '' stands for "any term"
-        .groupBy("r", "salt", "term")
+        .select("r", "is_hot", "salt", F.explode(F.concat(F.col("w"), F.array(F.lit("")))).alias("term"))  # '' stands for "any term"
+        .groupBy("r", "salt", "term", "is_hot")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "term",
-            "n",
-            F.when(F.coalesce(is_hot, F.lit(False)), F.col("r")).alias("hot"),
-            F.when(F.coalesce(is_hot, F.lit(False)) | F.col("r").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("cold"),
-        )
+        .select("term", "n", F.when(F.col("is_hot"), F.col("r")).alias("hot"), F.when(F.col("is_hot") | F.col("r").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("cold"))
     )
-    reduced = pairs.mapInArrow(reduce_chunks, "term string, n long, hot string, cold long")
-    first = 12  # leading bits that Spark's own partitioning may use
-    radix = reduced.withColumn("h", F.xxhash64("term")).repartition(parts, F.shiftrightunsigned("h", 64 - first))
     folder = scratch(spark, "radix")
+    reduced = pairs.mapInArrow(lambda batches: reduce_chunks(batches, folder), "term string, n long, hot string, cold long")
+    first = min(40, parts.bit_length() + PART_BITS)
+    radix = reduced.withColumn("h", F.xxhash64("term")).repartition(parts, F.shiftrightunsigned("h", 64 - first))
     counted = written(radix.mapInArrow(RadixAggregator(folder, spill_rows, first_bit=first), "term string, n_occurrences long, n_records long"), "terms")
     records = (counted.where("term = ''").agg(F.max("n_records")).first() or [0])[0] or 0
     return counted.where("term <> ''").select(

@@ -288,6 +288,19 @@ def test_terms_equal_a_plain_count(spark, spill_rows):
     assert got == {w: (n[w], len(docs[w]), mark(w)) for w in n}
 
 
+def test_a_record_of_a_hundredth_of_the_rows_is_spread(spark):
+    rows = [(k, "big" if k < 20 else f"d{k}", "same words here") for k in range(2_000)]
+    df = spark.createDataFrame(rows, "row_id long, cord_uid string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    try:
+        out = term_counts.term_frequencies(df, "text", "cord_uid", "row_id")
+        plan = out._jdf.queryExecution().toString()
+        got = {r.term: (r.n_occurrences, r.n_records) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {w: (2_000, 1_981) for w in ("same", "words", "here")} and plan
+
+
 def test_no_terms(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "1 2 3")], "row_id long, cord_uid string, text string")
     assert term_counts.term_frequencies(df, "text", "cord_uid", "row_id").count() == 0
@@ -314,6 +327,15 @@ def test_packing(spark):
     assert packing.packed(df.limit(0), "doc_id", "text", "n_tokens").count() == 0
 
 
+def test_containers_hold_like_texts(spark):
+    rng = random.Random(3)
+    topics = [[f"t{t}w{k}" for k in range(40)] for t in range(12)]
+    rows = [(k, " ".join(rng.choices(topics[k % 12], k=30)), 30) for k in range(1_200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    r = packing.locality(packing.packed(df, "doc_id", "text", "n_tokens", 300), df, "doc_id", "text").first()
+    assert r.in_container > 2 * r.any_two and r.containers >= 120
+
+
 def test_hilbert_neighbours_touch():
     n = 3
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
@@ -437,7 +459,7 @@ def test_llm_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("paragraphs", "authors", "countries"):
+    for table in ("paragraphs", "authors", "countries", "documents", "title_vectors", "eval_items"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     rel = con.sql(Q.SQL[name])
     df = Q.QUERIES[name](spark, data).select(*rel.columns)
