@@ -99,9 +99,19 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return body.select(F.lit("pdf_json").alias("tab"), "rec_id", "para_idx", F.col("b.text").alias("text"))
 
 
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
+def _lexicon(spark: SparkSession, d: str) -> scans.Lexicon:
     corpus = spread(_read(spark, d, "paragraphs").select("text")).unionByName(_bodies(spark, d).select("text"))
-    return scans.repaired(_scanned(spark, d), "text", scans.Lexicon(*scans.vocabulary(corpus, "text")))
+    return scans.lexicon_of(corpus, "text", _scanned(spark, d))
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_scanned(spark, d), "text", _lexicon(spark, d))
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of pmc, which are no scans, damaged on purpose: how many are found and wholly restored."""
+    clean = _read(spark, d, "paragraphs").where(survivors.tidy_source(F.col("source")) == "pmc").select("row_id", "text")
+    return scans.recall(spread(clean), "row_id", "text", _lexicon(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +193,7 @@ QUERIES = {
     "p8_invariants": p8_invariants,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
+    "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p6_found": p6_found,

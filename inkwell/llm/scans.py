@@ -1,13 +1,21 @@
 """Text of scanned pages: find and repair broken words, misread letters, running headers and page numbers, then reflow.
 
-The vocabulary is taken from the corpus itself: every word and hyphenated compound is counted over all texts, and those
-that make up at least VOCABULARY_SHARE of the paragraphs' number are kept, so the list that travels to the workers is
-bounded by (words per paragraph / share) entries, whatever the corpus is.
-
-A word that isn't ordinary is looked up by intersecting an edit automaton with a trie of the vocabulary. The automaton's
-edits are the confusions of scanning (READ_AS), so the retrieval is complete for all readings within the budget; with a
-budget of 1 or more it also takes one arbitrary edit. Candidates must be far more frequent than the word itself; they are
-ranked by cost, by whether they occur elsewhere in the paragraph, and by frequency. Torn words are joined likewise.
+The vocabulary is taken from the corpus itself: every word and hyphenated compound, and every pair of neighbouring words,
+is counted over all texts, and those that make up at least VOCABULARY_SHARE of the paragraphs' number are kept, so the list
+that travels to the workers is bounded by (words per paragraph / share) entries, whatever the corpus is.
+
+A word that isn't ordinary is looked up by intersecting a weighted Levenshtein automaton with a trie of the vocabulary: an
+inserted, missing or wrong letter costs EDIT, a confusion of scanning (READ_AS) only CONFUSION, and the budget grows with
+the word's length, so retrieval is complete for up to two confusions, for one free edit from EDIT_LETTERS letters on and for
+one of each from LONG_LETTERS letters on. Candidates must be far more frequent than the word itself; they are ranked by cost, by
+whether they are usual beside the neighbouring words, by whether they occur elsewhere in the paragraph, and by frequency.
+A free edit is taken only in words without capitals, which may be names, and only where a neighbour confirms it (both
+neighbours, if a letter is another one or only the word's ending differs: those are most often other words or inflection).
+Torn words are joined likewise.
+
+Running headers are learned: a line's template keeps frequent words, marks and the places of other words and numbers. A
+template that is filled in in many ways by short lines in the middle of paragraphs is page furniture, as no sentence is
+broken off there in the same form again and again. Copies of a line count once.
 
 Lines that are page furniture are removed before words broken at line ends are joined; a hyphen that belongs to the
 wording (the compound is more usual than the joined word) stays. At last the lines are joined to one paragraph.
@@ -28,7 +36,6 @@ from inkwell.session import received, send
 VOCABULARY_SHARE, LEAST_COUNT = 2e-4, 6
 #: How many times more frequent the true word must be than what was read.
 FREQUENCY_RATIO = 12
-BUDGET = 0.9
 #: What is read -> what stands on the page (fixed values).
 READ_AS = {
     "1": ["l", "i"], "|": ["l", "i"], "!": ["l", "i"], "l": ["i"], "i": ["l"], "í": ["i"], "ì": ["i"], "ï": ["i"], "0": ["o"], "ó": ["o"],
@@ -37,6 +44,13 @@ READ_AS = {
     "ﬁ": ["fi"], "ﬂ": ["fl"], "ﬀ": ["ff"], "ﬃ": ["ffi"], "ﬄ": ["ffl"], "7": ["t"], "f": ["t"], "ri": ["n"], "2": ["z"],
 }
 CONFUSION, EDIT = 0.45, 1.0
+#: Budgets: two confusions; one free edit; a free edit and a confusion; and the letters from which on the last two hold.
+BUDGET, EDIT_BUDGET, LONG_BUDGET = 0.9, 1.0, 1.45
+EDIT_LETTERS, LONG_LETTERS = 6, 9
+#: A template needs this share of the paragraphs' number in different lines; its words are so many times the least count.
+TEMPLATE_SHARE, LEAST_LINES, TEMPLATE_WORD = 5e-4, 3, 8
+#: A line shorter than this share of the widest line of its paragraph is short.
+SHORT = 0.8
 BREAKS = "-‐\xad¬"
 LINES = re.compile(r"\r\n|[\n\r\x0c]")
 WORD = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)*")
@@ -46,33 +60,87 @@ SPACED = re.compile(r"(?<!\S)[^\W_@](?: [^\W_]| @){3,}(?![^\s.,;:)])")
 #: After these a hyphen at the line end hangs, as in "pre- and post-exposure".
 HANGING = re.compile(r"(?:and|or|to|und|oder|et|ou|y|o|e)\b")
 PAGE = re.compile(r"\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|(?:page|seite|página)\s+\d{1,4}(?:\s+(?:of|von|de)\s+\d{1,4})?|pp?\.\s*\d{1,4}|\d{1,4})\s*", re.I)
-HEADER = re.compile(r"\bet al\.?\s*/|\bvol\.\s*\d+|\bpreprint\b.*\breviewed\b|\bdoi\s*:?\s*10\.\d{4}|\(\d{4}\)\s*\d+\s*[-–]\s*\d+\s*$", re.I)
-NAMES = re.compile(r"[A-ZÀ-ÞĀ-Ž][\w’'-]+(?:,? (?:and|und|et|AND|[A-ZÀ-ÞĀ-Ž][\w.’'-]*)){1,5}")
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:[-‐][\p{L}]+)*"), F.lit(0))
 
 
-def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int]:
-    """(ordinary words and compounds of the corpus with their counts, least count of an ordinary word).
+def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int, list[str]]:
+    """(ordinary words and compounds of the corpus with their counts, least count of an ordinary word, usual pairs of words).
 
-    The bound on their number is in the module's text.
+    The bound on their number is in the module's text. Words and pairs are counted in one pass, with partial sums.
     """
     n = texts.count()
     least = max(LEAST_COUNT, int(VOCABULARY_SHARE * n))
-    counted = texts.select(F.explode(words_of(F.col(text))).alias("w")).groupBy("w").count().where(F.col("count") >= least)
-    return sorted((r.w.replace("‐", "-"), int(r["count"])) for r in counted.collect()), least
+    w = F.col("w")
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+    counted = texts.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).select(F.explode(F.concat(w, pairs)).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    rows = [(r.w.replace("‐", "-"), int(r["count"])) for r in counted.collect()]
+    return sorted(r for r in rows if " " not in r[0]), least, sorted(r[0] for r in rows if " " in r[0])
+
+
+def template(line: str, frequent: set[str] | frozenset[str]) -> str:
+    """The line's form: frequent words and marks as they are, ``N`` for runs of other words, ``#`` for numbers."""
+    out: list[str] = []
+    for t in TOKEN.findall(line.lower()):
+        x = "#" if t[0].isdigit() else t if not t[0].isalpha() or t in frequent else "N"
+        if not out or x != out[-1] or x not in "N#":
+            out.append(x)
+    return " ".join(out)
+
+
+def _is_form(form: str) -> bool:
+    """Whether a template has words, open places, and doesn't end in a broken word."""
+    parts = form.split(" ")
+    return len(parts) > 2 and ("N" in parts or "#" in parts) and any(p[0].isalpha() for p in parts) and parts[-1] not in BREAKS
+
+
+def header_templates(texts: DataFrame, text: str, lexicon: Lexicon) -> list[str]:
+    """Templates of running headers, learned from the short lines within paragraphs of all texts.
+
+    Their number is bounded by (short lines per paragraph / TEMPLATE_SHARE).
+    """
+    sent = send(texts.sparkSession, lexicon.frequent)
+
+    def forms(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        frequent = received(sent)
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                lines = [x.strip() for x in LINES.split(t) if x.strip()]
+                wide = max(map(len, lines), default=0)
+                out += [(f, x) for x in lines[:-1] if len(x) < SHORT * wide and not PAGE.fullmatch(x) and _is_form(f := template(x, frequent))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["form", "line"])
+
+    broken = texts.where(F.col(text).rlike(LINES.pattern)).select(text)
+    found = broken.mapInArrow(forms, "form string, line string").groupBy("form", F.xxhash64("line").alias("h")).agg(F.lit(1)).groupBy("form").count()
+    least = max(LEAST_LINES, int(TEMPLATE_SHARE * lexicon.texts))
+    return sorted(r.form for r in found.where(F.col("count") >= least).collect())
 
 
 class Lexicon:
     """Trie of the ordinary words; finds what a misread word may have been."""
 
-    def __init__(self, counted: list[tuple[str, int]], least: int = LEAST_COUNT):
+    def __init__(self, counted: list[tuple[str, int]], least: int = LEAST_COUNT, pairs: list[str] | tuple = (), headers: list[str] | tuple = ()):
         self.count: dict[str, int] = {}
         for w, n in counted:
             self.count[w] = self.count.get(w, 0) + n
-        self.least = least
+        self.least, self.pairs, self.headers = least, frozenset(pairs), frozenset(headers)
+        self.texts = least / VOCABULARY_SHARE if least > LEAST_COUNT else 0
+        self.frequent = frozenset(w for w, n in self.count.items() if n >= TEMPLATE_WORD * least)
+        self._grow()
+        #: ordinary words that aren't a frequent misreading of a far more usual word
+        self.good = {w for w in self.count if len(w) < 4 or not self._dominated(w)}
+        #: ordinary words that begin or end a far more usual word, as pieces of torn words do
+        self.fragile = {x for v, n in self.count.items() for k in range(2, len(v) - 1) for x in (v[:k], v[k:]) if n >= FREQUENCY_RATIO * self.count.get(x, n)}
+        self.usual = self.good - self.fragile
+
+    def _grow(self) -> None:
         self.trie: dict = {}
         for w in self.count:
             if len(w) >= 3:
@@ -80,13 +148,15 @@ class Lexicon:
                 for c in w:
                     node = node.setdefault(c, {})
                 node[""] = w
-        #: ordinary words that aren't a frequent misreading of a far more usual word
-        self.good = {w for w in self.count if len(w) < 4 or not self._dominated(w)}
-        #: ordinary words that begin or end a far more usual word, as pieces of torn words do
-        self.fragile = {x for v, n in self.count.items() for k in range(2, len(v) - 1) for x in (v[:k], v[k:]) if n >= FREQUENCY_RATIO * self.count.get(x, n)}
-        self.usual = self.good - self.fragile
         self.cache: dict[str, list[tuple[float, str]]] = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "cache")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._grow()
+
     def _dominated(self, w: str) -> bool:
         return any(v != w and self.count[v] >= FREQUENCY_RATIO * self.count[w] for _, v in self.search(w))
 
@@ -127,19 +197,28 @@ class Lexicon:
                             stack.append((n, i + 1, cost + EDIT))
         return sorted((c, v) for v, c in best.items())
 
-    def meant(self, w: str, around: set[str] | None = None) -> str | None:
-        """The ordinary word that ``w`` (lower case) is a misreading of, or None."""
+    def meant(self, w: str, around: set[str] | None = None, before: str = "", after: str = "", free: bool = True) -> str | None:
+        """The ordinary word that ``w`` (lower case) is a misreading of, or None.
+
+        ``before`` and ``after``: the words beside it; ``free``: whether free edits are taken.
+        """
         if w in self.good or len(w) < 3:
             return None
         if w not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             own = self.count.get(w, self.least / 2)
-            self.cache[w] = [(c, v) for c, v in self.search(w) if c > 0 and len(v) >= 4 and self.count[v] >= FREQUENCY_RATIO * min(own, self.count[v] if not w.isalpha() else own)]
+            plain = w.isalpha() and w not in self.count
+            budget = LONG_BUDGET if plain and len(w) >= LONG_LETTERS else EDIT_BUDGET if plain and len(w) >= EDIT_LETTERS else BUDGET
+            self.cache[w] = [(c, v) for c, v in self.search(w, budget) if c > 0 and len(v) >= 4 and self.count[v] >= FREQUENCY_RATIO * min(own, self.count[v] if not w.isalpha() else own)]
         found = self.cache[w]
         if not found:
             return None
-        return min(found, key=lambda x: (x[0], not (around and x[1] in around), -self.count[x[1]], x[1]))[1]
+        beside = {v: (f"{before} {v}" in self.pairs) + (f"{v} {after}" in self.pairs) for _, v in found}
+        found = [(c, v) for c, v in found if c < EDIT or free and v in self.frequent and beside[v] > (len(w) == len(v) or _ending(w, v))]
+        if not found:
+            return None
+        return min(found, key=lambda x: (x[0], -beside[x[1]], not (around and x[1] in around), -self.count[x[1]], x[1]))[1]
 
     def torn(self, left: str, right: str) -> str | None:
         """The ordinary word that ``left right`` is when put together, if it is far more usual than one of the two."""
@@ -162,10 +241,16 @@ class Lexicon:
         return not (left.split("-")[-1] in self.good and right.split("-")[0] in self.good and len(left) > 2)
 
 
+def _ending(w: str, v: str) -> bool:
+    """Whether two words differ in their last two letters only."""
+    n = min(len(w), len(v)) - 2
+    return w[:n] == v[:n]
+
+
 def furniture(lines: list[str], k: int, lexicon: Lexicon) -> str | None:
     """'header', 'page' or None for line k."""
     line = lines[k].strip()
-    if not line or len(line) > 90:
+    if not line:
         return None
     if PAGE.fullmatch(line):
         if line.isdigit():  # unless it goes with what stands before or after it
@@ -177,17 +262,7 @@ def furniture(lines: list[str], k: int, lexicon: Lexicon) -> str | None:
             if (year or wanted or unit) and k and lines[k - 1].strip():
                 return None
         return "page"
-    if HEADER.search(line):
-        return "header"
-    letters = [c for c in line if c.isalpha()]
-    own = WORD.findall(line)
-    if len(own) >= 2 and NAMES.fullmatch(line) and line[-1] not in ".,;:":
-        rest = [w for w in own if w.lower() not in ("and", "und", "et")]
-        if len(rest) >= 2 and sum(w.lower() in lexicon.good for w in rest) * 2 < len(rest):
-            return "header"
-    if len(own) >= 3 and len(letters) >= 12 and line.upper() == line and k not in (0,):
-        return "header"
-    return None
+    return "header" if lexicon.headers and template(line, lexicon.frequent) in lexicon.headers else None
 
 
 def _like(true: str, read: str) -> str:
@@ -259,7 +334,8 @@ def _letters(text: str, lexicon: Lexicon) -> str | None:
         low = w.lower().replace("‐", "-")
         if edits and edits[-1][1] > a:
             continue
-        true = lexicon.meant(low, around) if len(low) >= 4 and sum(c.isalpha() for c in low) >= 2 and not (w.isupper() and not w.isalpha()) else None
+        beside = (re.search(r"([^\W\d_]+) $", text[max(0, a - 40) : a]), re.match(r" ([^\W\d_]+)", text[b : b + 40]))
+        true = lexicon.meant(low, around, *(x[1].lower() if x else "" for x in beside), free=w.islower()) if len(low) >= 4 and sum(c.isalpha() for c in low) >= 2 and not (w.isupper() and not w.isalpha()) else None
         if true and sum(c.isdigit() for c in low) <= 2:
             edits.append((a, b, _like(true, w)))
             continue
@@ -282,9 +358,16 @@ def _letters(text: str, lexicon: Lexicon) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def lexicon_of(corpus: DataFrame, text: str, scanned: DataFrame | None = None) -> Lexicon:
+    """The lexicon of a corpus with the header templates of its ``scanned`` texts (default: all)."""
+    lexicon = Lexicon(*vocabulary(corpus, text))
+    lexicon.headers = frozenset(header_templates(corpus if scanned is None else scanned, text, lexicon))
+    return lexicon
+
+
 def repaired(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     """``df`` with ``repaired_text`` and ``kinds`` (array) added: one narrow pass. Columns of those names are replaced."""
-    sent = send(df.sparkSession, (list(lexicon.count.items()), lexicon.least))
+    sent = send(df.sparkSession, lexicon)
     rest = [c for c in df.columns if c not in ("repaired_text", "kinds")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
     at = rest.index(text)
@@ -292,7 +375,7 @@ def repaired(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lex = Lexicon(*received(sent))
+        lex = received(sent)
         for batch in batches:
             done = [repair(t, lex) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -300,3 +383,74 @@ def repaired(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
             )
 
     return df.select(*rest).mapInArrow(run, f"{schema}, repaired_text string, kinds array<string>")
+
+
+DAMAGE = ("hyphen", "ocr", "edit", "header", "page")
+
+
+def damaged(text: str, key: int, lexicon: Lexicon) -> tuple[str, str] | None:
+    """(the text with one damage, its kind of DAMAGE), chosen by ``key``; None where the text has no place for it.
+
+    ``edit`` is a dropped letter, ``ocr`` a confusion of READ_AS. The text comes in lines, as a page has them.
+    """
+    kind, key = DAMAGE[key % len(DAMAGE)], key // len(DAMAGE)
+    tokens = text.split(" ")
+    long = [k for k, w in enumerate(tokens) if len(w) >= 8 and w.isalpha() and w.islower() and w in lexicon.frequent and w in lexicon.usual and 0 < k < len(tokens) - 1]
+    if not long or len(tokens) < 20:
+        return None
+    k = long[key % len(long)]
+    w = tokens[k]
+    if kind == "hyphen":
+        tokens[k] = f"{w[: len(w) // 2]}-\n{w[len(w) // 2 :]}"
+    elif kind == "edit":
+        at = 2 + key % (len(w) - 5)
+        tokens[k] = w[:at] + w[at + 1 :]
+    elif kind == "ocr":
+        read = [(at, r, true) for r, all_true in READ_AS.items() for true in all_true for at in range(1, len(w)) if w.startswith(true, at) and at + len(true) < len(w)]
+        if not read:
+            return None
+        at, r, true = read[key % len(read)]
+        tokens[k] = w[:at] + r + w[at + len(true) :]
+    lines, line = [], []
+    for t in tokens:
+        line.append(t)
+        if sum(map(len, line)) > 70:
+            lines.append(" ".join(line))
+            line = []
+    lines += [" ".join(line)] if line else []
+    if kind in ("header", "page"):
+        forms = sorted(lexicon.headers)
+        if len(lines) < 3 or kind == "header" and not forms:
+            return None
+        new = f"- {1 + key % 900} -"
+        if kind == "header":
+            new = " ".join("Vorrelan" if x == "N" else str(2 + key % 97) if x == "#" else x for x in forms[key % len(forms)].split(" "))
+        lines.insert(1 + key % (len(lines) - 2), new)
+    bad = "\n".join(lines)
+    return (bad, kind) if kind in ("header", "page", "hyphen") or tokens[k] not in lexicon.count else None
+
+
+def recall(clean: DataFrame, row: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """(kind, n_damaged, n_found, n_restored, recall): clean texts damaged on purpose, and how many are found and restored.
+
+    ``clean`` texts with a line break or with a finding of their own take no part.
+    """
+    sent = send(clean.sparkSession, lexicon)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        lex = received(sent)
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bad = damaged(t, key & 0xFFFFFFFF, lex)
+                if bad and not repair(t, lex)[1]:
+                    fixed, kinds = repair(bad[0], lex)
+                    out.append((bad[1], ("ocr" if bad[1] == "edit" else bad[1]) in kinds, fixed == t))
+            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in enumerate((pa.string(), pa.bool_(), pa.bool_()))], names=["kind", "found", "whole"])
+
+    tried = clean.where((F.length(text) > 0) & ~F.col(text).rlike(LINES.pattern)).select(F.xxhash64(row), text).mapInArrow(run, "kind string, found boolean, whole boolean")
+    return tried.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_damaged"), F.count_if("found").alias("n_found"), F.count_if("whole").alias("n_restored"), F.round(F.avg(F.col("found").cast("int")), 4).alias("recall")
+    )

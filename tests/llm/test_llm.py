@@ -144,7 +144,10 @@ WORDS = "the clinical modern infection of severe mortality remained associated w
 def lexicon(spark):
     rng = random.Random(4)
     rows = [(" ".join(rng.choices(WORDS, k=40)),) for _ in range(400)]
-    return scans.Lexicon(*scans.vocabulary(spark.createDataFrame(rows, "text string"), "text"))
+    heads = [f"{a} et al. / J {b} Med {n} ({2000 + n}) {n}–{n + 9}" for n, (a, b) in enumerate(zip(["Fipave", "Gorlan", "Tirsen", "Abelko"] * 3, ["Bivi", "Soma", "Kelo"] * 4))]
+    heads += [f"{a} and {b}" for a in ("Doseziova", "Belkar", "Timore") for b in ("Morazaova", "Sulven")]
+    pages = [("\n".join([" ".join(rng.choices(WORDS, k=9)), h, " ".join(rng.choices(WORDS, k=9))]),) for h in heads]
+    return scans.lexicon_of(spark.createDataFrame(rows + pages + [("et al. in J Med and",)] * 60, "text string"), "text")
 
 
 @pytest.mark.parametrize(
@@ -161,6 +164,11 @@ def lexicon(spark):
         ("early recovery\n- 676 -\nand supported", "early recovery and supported", ["page"]),
         ("early recovery\n431\nand supported", "early recovery and supported", ["page"]),
         ("of the cohort (n =\n431\n) and", "of the cohort (n = 431 ) and", []),
+        ("early recovery remained\nsevere infection\nand supported", "early recovery remained severe infection and supported", []),
+        ("the clinical infecton of", "the clinical infection of", ["ocr"]),
+        ("early rcovery and", "early recovery and", ["ocr"]),
+        ("early Rcovery and", "early Rcovery and", []),
+        ("zapebo rcovery zapebi", "zapebo rcovery zapebi", []),
         ("the clinical\ncohort H5N8 p53", "the clinical cohort H5N8 p53", []),
         ("the zapebovir cohort Müller", "the zapebovir cohort Müller", []),
         ("", "", []),
@@ -178,6 +186,29 @@ def test_trie_retrieval_is_complete(lexicon):
     assert {v for _, v in lexicon.search("recovery", 1.0)} >= {"recovery"} and {v for _, v in lexicon.search("recoverx", 1.0)} == {"recovery"}
 
 
+def test_misreadings_within_the_budget_are_all_retrieved(lexicon):
+    words = [w for w in lexicon.count if len(w) >= 6]
+    for w in words[:12]:
+        for wrong in {w[:2] + w[3:], w[:2] + "x" + w[2:], w[:2] + "x" + w[3:]}:
+            near = {v for v in lexicon.count if len(v) >= 3 and _levenshtein(wrong, v) <= 1}
+            assert near <= {v for _, v in lexicon.search(wrong, 1.0)}
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_planted_scan_damage_is_found(spark, data):
+    for r in Q.p3_recall(spark, data).collect():
+        assert r.n_damaged >= 5 and r.recall >= (0.5 if r.kind == "edit" else 0.9), r
+
+
 def test_repaired_keeps_other_columns(spark, lexicon):
     df = spark.createDataFrame([(1, "a sevcre infection", "mine"), (2, None, "x"), (2, None, "x")], "k int, text string, kinds string")
     out = scans.repaired(df, "text", lexicon).orderBy("k").collect()
