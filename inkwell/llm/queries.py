@@ -17,22 +17,33 @@ SOURCES = ["pmc", "pdf"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The table's owner fixes the order of the rows, so nothing is learned here; the quality model shows in the other p1 queries."""
     rows = _read(spark, d, "paragraphs").select("row_id", "cord_uid", "para_idx", "source", "section", "text", "parsed_at")
     best = survivors.best_records(rows, ["cord_uid", "para_idx"], "row_id", "text", ["section"], "source", SOURCES, "parsed_at", with_values=False)
     return best.select("cord_uid", "para_idx", "text_row_id", "section_row_id")
 
 
-def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """One record per paragraph, its text and section each from the best row that has them; single rows too."""
+def p1_best_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One record per paragraph by the stated order, its text and section each from the best row that has them; single rows too."""
     rows = _read(spark, d, "paragraphs").select("row_id", "cord_uid", "para_idx", "source", "section", "text", "parsed_at")
     best = survivors.best_records(rows, ["cord_uid", "para_idx"], "row_id", "text", ["section"], "source", SOURCES, "parsed_at", least_rows=1)
     return best.select("cord_uid", "para_idx", "n_rows", "text", "section")
 
 
+#: Numbers of citations stand in one parse and not in the other.
+CITED = r"\[\d{1,3}\]"
+
+
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per paragraph: its most probable text and all its sections that are judged true."""
+    rows = _read(spark, d, "paragraphs").select("cord_uid", "para_idx", "source", "section", "text", "parsed_at")
+    return survivors.survivors(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", "parsed_at", several=("section",), ignore=CITED)
+
+
 def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
     """Sensitivity and specificity of the sources by field."""
     rows = _read(spark, d, "paragraphs")
-    q = survivors.fit_sources(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", SOURCES)
+    q = survivors.fit_sources(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", ignore=CITED)
     out = [(f, s, round(float(q.sensitivity[f][k]), 4), round(float(q.specificity[f][k]), 4)) for f in ("text", "section") for k, s in enumerate(q.sources)]
     return spark.createDataFrame(out, "field string, source string, sensitivity double, specificity double")
 
@@ -40,7 +51,7 @@ def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
 def p1_judged_values(spark: SparkSession, d: str) -> DataFrame:
     """Every text and section value of every paragraph with its probability; all that are true are kept."""
     rows = _read(spark, d, "paragraphs")
-    return survivors.judged_values(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", SOURCES)
+    return survivors.judged_values(rows, ["cord_uid", "para_idx"], ["text", "section"], "source", ignore=CITED)
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +193,7 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_best_rows": p1_best_rows,
     "p1_survivors": p1_survivors,
     "p1_source_quality": p1_source_quality,
     "p1_judged_values": p1_judged_values,
@@ -243,7 +255,7 @@ SELECT cord_uid, para_idx, max(CASE WHEN rn = 1 THEN row_id END)::BIGINT AS text
     max(CASE WHEN rs = 1 AND NOT sb THEN row_id ELSE -1 END)::BIGINT AS section_row_id
 FROM r GROUP BY cord_uid, para_idx HAVING count(*) >= 2
 """,
-    "p1_survivors": _P1 + """
+    "p1_best_rows": _P1 + """
 SELECT cord_uid, para_idx, count(*)::BIGINT AS n_rows, max(CASE WHEN rn = 1 THEN text END) AS text, max(CASE WHEN rs = 1 AND NOT sb THEN section END) AS section
 FROM r GROUP BY cord_uid, para_idx
 """,

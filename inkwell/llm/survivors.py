@@ -5,6 +5,12 @@ in for the group asserts the facts it gives and denies the group's others. Expec
 each source's sensitivity (how often it asserts a true fact) and specificity (how often it keeps silent about a false
 one) and from them each fact's probability. A field may keep several values: all that are judged true.
 
+``survivors`` builds the surviving record from these probabilities: of a field with one value the most probable one, of a
+field that may have several all that are judged true. ``best_records`` is the other way to choose, for tables whose owner
+has fixed the order of the sources: a plain rule in which nothing is learned.
+
+The sources are those that the data name; the MAX_SOURCES - 1 with most rows have a class each, the others share one.
+
 The facts are reduced to patterns (asserting sources, sources that could have asserted) with a count, so an iteration
 reads a table whose size depends on the number of sources only. Up to PATTERN_LIMIT patterns it runs on the driver,
 beyond that as Spark jobs over the written pattern table. It starts from the vote of the sources, and a source is held to
@@ -34,9 +40,14 @@ def filled(c: Column) -> Column:
     return F.coalesce(~c.rlike(BLANK), F.lit(False))
 
 
-def same_value(c: Column) -> Column:
-    """Values that differ only in case, white space, hyphenation and punctuation count as one."""
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(c), r"\[\d{1,3}\]", ""), r"[^\p{L}\p{N}]+", ""))
+def same_value(c: Column, ignore: str | None = None) -> Column:
+    """Values that differ only in case, white space, hyphenation and punctuation count as one; so do those without letters and digits that are equal.
+
+    ``ignore``: a pattern of marks that are no part of the value.
+    """
+    kept = F.regexp_replace(F.lower(c), ignore, "") if ignore else F.lower(c)
+    bare = F.regexp_replace(kept, r"[^\p{L}\p{N}]+", "")
+    return F.xxhash64(F.when(bare != "", bare).otherwise(F.regexp_replace(F.lower(c), r"(?U)\s+", "")))
 
 
 def tidy_source(c: Column) -> Column:
@@ -57,17 +68,6 @@ class SourceQuality:
         """Youden's index of each source for a field."""
         return [a + b - 1 for a, b in zip(self.sensitivity[name], self.specificity[name])]
 
-    def ordered_trust(self, name: str) -> list[float]:
-        """Trust under the constraint that a source declared earlier is trusted no less (pool adjacent violators)."""
-        blocks: list[list[float]] = []
-        for x in self.trust(name):
-            blocks.append([x, 1])
-            while len(blocks) > 1 and blocks[-2][0] < blocks[-1][0]:
-                b = blocks.pop()
-                a = blocks.pop()
-                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]])
-        return [v for v, n in blocks for _ in range(int(n))]
-
     def log_odds(self, name: str, asserted: Column, able: Column) -> Column:
         """Log odds that a fact is true, from the bit masks of asserting and able sources."""
         share = self.true_share[name]
@@ -150,79 +150,114 @@ def source_class(source: Column, sources: list[str]) -> Column:
     return out
 
 
-def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str]) -> DataFrame:
-    """(keys, field, value, asserted, able): each distinct value in a group with the sources that give it and could have.
+def sources_of(df: DataFrame, source: str) -> list[str]:
+    """The tidied sources that the data name, most rows first; at most MAX_SOURCES - 1."""
+    named = df.select(tidy_source(F.col(source)).alias("s")).where("s <> ''").groupBy("s").count()
+    return [r.s for r in named.orderBy(F.desc("count"), "s").limit(MAX_SOURCES - 1).collect()]
+
 
-    Two aggregations with partial sums; a hot group is reduced before the shuffle and never collected.
+def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], updated: str | None = None, ignore: str | None = None, with_values: bool = False) -> DataFrame:
+    """(keys, field, fact, asserted, able): each distinct value in a group with the sources that give it and could have.
+
+    ``with_values`` adds ``value``, its longest spelling (of several the alphabetically first), and ``last``, when it was
+    given last. Two aggregations with partial sums; a hot group is reduced before the shuffle and never collected.
     """
     cls = source_class(tidy_source(F.col(source)), sources)
     bit = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(len(sources) + 1)]), cls + 1)
-    claims = df.select(
-        *keys, bit.alias("b"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(filled(F.col(f)), same_value(F.col(f))).alias("value")) for f in fields])).alias("c")
-    ).where("c.value IS NOT NULL").select(*keys, F.col("c.field").alias("field"), F.col("c.value").alias("value"), "b")
-    given = claims.groupBy(*keys, "field", "value").agg(F.bit_or("b").alias("asserted"))
-    same = [*keys, "field"]
-    able = given.groupBy(*same).agg(F.bit_or("asserted").alias("able"))  # the exchange under ``given`` is reused
-    able = able.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(same)], "able")
+    said = [F.struct(F.lit(f).alias("field"), F.when(filled(F.col(f)), same_value(F.col(f), ignore)).alias("fact"), *([F.col(f).cast("string").alias("value")] if with_values else [])) for f in fields]
+    claims = df.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], bit.alias("b"), (F.col(updated).cast("timestamp") if updated else F.lit(None).cast("timestamp")).alias("t"), F.explode(F.array(*said)).alias("c")).where("c.fact IS NOT NULL")
+    group = [f"_{n}" for n in range(len(keys))]
+    more = [F.min_by("c.value", F.struct(-F.length("c.value"), F.col("c.value"))).alias("value"), F.max("t").alias("last")] if with_values else []
+    given = claims.groupBy(*group, F.col("c.field").alias("field"), F.col("c.fact").alias("fact")).agg(F.bit_or("b").alias("asserted"), *more)
+    same = [*group, "field"]
+    plain = claims.groupBy(*group, F.col("c.field").alias("field")).agg(F.bit_or("b").alias("able")) if with_values else given.groupBy(*same).agg(F.bit_or("asserted").alias("able"))
+    able = plain.select(*[F.col(k).alias(f"{k}_") for k in same], "able")
     cond = F.lit(True)
-    for n, k in enumerate(same):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_{n}"))
-    return given.join(able, cond).select(*keys, "field", "value", "asserted", "able")
+    for k in same:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return given.join(able, cond).select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "field", "fact", "asserted", "able", *(["value", "last"] if with_values else []))
 
 
-def fit_sources(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], iterations: int = 30, tolerance: float = 1e-4) -> SourceQuality:
-    """Sensitivity and specificity of ``sources`` (declared order) and of the class of all others, over all groups.
+def fit_sources(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str] | None = None, iterations: int = 30, tolerance: float = 1e-4, ignore: str | None = None) -> SourceQuality:
+    """Sensitivity and specificity of the sources (default: those the data name) and of the class of all others, over all groups.
 
-    At most MAX_SOURCES sources can be declared. Empty input leaves the priors.
+    At most MAX_SOURCES - 1 sources can be declared. Empty input leaves the priors.
     """
+    sources = sources_of(df, source) if sources is None else sources
     if len(sources) + 1 > MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES - 1} sources")
-    patterns = written(facts(df, keys, fields, source, sources).groupBy("field", "asserted", "able").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    patterns = written(facts(df, keys, fields, source, sources, ignore=ignore).groupBy("field", "asserted", "able").agg(F.count(F.lit(1)).alias("n")), "patterns")
     q = _start([*sources, "other"], fields)
     if patterns.count() <= PATTERN_LIMIT:
         return _fit_local(patterns.collect(), q, fields, iterations, tolerance)
     return _fit_spark(patterns, q, fields, iterations, tolerance)
 
 
-def judged_values(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], q: SourceQuality | None = None) -> DataFrame:
-    """(keys, field, value, probability, judged_true): every value of every group; several may be judged true."""
-    q = q or fit_sources(df, keys, fields, source, sources)
+def _judged(df: DataFrame, keys: list[str], fields: list[str], source: str, q: SourceQuality, updated: str | None, ignore: str | None) -> DataFrame:
     odds = F.lit(0.0)
     for f in fields:
         odds = F.when(F.col("field") == f, q.log_odds(f, F.col("asserted"), F.col("able"))).otherwise(odds)
-    p = 1 / (1 + F.exp(-odds))
-    return facts(df, keys, fields, source, sources).select(*keys, "field", "value", F.round(p, 6).alias("probability"), (p > 0.5).alias("judged_true"))
+    return facts(df, keys, fields, source, q.sources[:-1], updated, ignore, with_values=True).withColumn("odds", odds)
 
 
-def best_records(
-    df: DataFrame, keys: list[str], row_id: str, main: str, others: list[str], source: str, sources: list[str], updated: str, q: SourceQuality | None = None, least_rows: int = 2, with_values: bool = True
+def judged_values(df: DataFrame, keys: list[str], fields: list[str], source: str, q: SourceQuality | None = None, ignore: str | None = None) -> DataFrame:
+    """(keys, field, value, probability, judged_true): every value of every group; several may be judged true."""
+    q = q or fit_sources(df, keys, fields, source, ignore=ignore)
+    p = 1 / (1 + F.exp(-F.col("odds")))
+    return _judged(df, keys, fields, source, q, None, ignore).select(*keys, "field", "value", F.round(p, 6).alias("probability"), (p > 0.5).alias("judged_true"))
+
+
+def survivors(
+    df: DataFrame, keys: list[str], fields: list[str], source: str, updated: str | None = None, several: tuple[str, ...] = (), q: SourceQuality | None = None, ignore: str | None = None
 ) -> DataFrame:
+    """One record per group: (keys, n_rows, and each field), built from the facts' probabilities under the quality model.
+
+    A field of ``several`` keeps all values judged true as an array, most probable first (if none is, the most probable
+    one); any other the most probable value. Equal odds go to the value given last, then to the alphabetically last one. Blank
+    and null values are no facts; a field without any is null (an empty array). Null keys are a group, repeated rows are rows.
+    """
+    q = q or fit_sources(df, keys, fields, source, ignore=ignore)
+    group = [f"_{n}" for n in range(len(keys))]
+    named = [F.col(k).alias(g) for g, k in zip(group, keys)]
+    judged = _judged(df, keys, fields, source, q, updated, ignore).select(*named, "field", "value", F.round("odds", 9).alias("odds"), "last", F.lit(None).cast("long").alias("n"))
+    rows = df.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).select(*group, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("odds"), F.lit(None).cast("timestamp").alias("last"), "n")
+    aggs = [F.max("n").alias("_n")]
+    for k, f in enumerate(fields):
+        own = F.col("field") == f
+        aggs.append(F.max_by("value", F.when(own, F.struct("odds", F.col("last").isNotNull(), "last", "value"))).alias(f"_f{k}"))
+        if f in several:
+            aggs.append(F.array_sort(F.collect_list(F.when(own & (F.col("odds") > 0), F.struct((-F.col("odds")).alias("o"), F.col("value").alias("v"))))).alias(f"_s{k}"))
+    out = judged.unionByName(rows).groupBy(*group).agg(*aggs)
+    kept = []
+    for k, f in enumerate(fields):
+        best = F.col(f"_f{k}")
+        if f in several:
+            best = F.when(F.size(f"_s{k}") > 0, F.transform(f"_s{k}", lambda x: x["v"])).when(best.isNotNull(), F.array(best)).otherwise(F.array().cast("array<string>"))
+        kept.append(best.alias(f))
+    return out.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col("_n").alias("n_rows"), *kept)
+
+
+def best_records(df: DataFrame, keys: list[str], row_id: str, main: str, others: list[str], source: str, sources: list[str], updated: str, least_rows: int = 2, with_values: bool = True) -> DataFrame:
     """One row per group of ``least_rows`` rows or more: (keys, n_rows, main, <main>_row_id, and for each other field its value and row).
 
     Without ``with_values`` only the rows' ids are given, and no text is shuffled.
 
-    The order within a group: main field not blank first; more trusted source first (trust as EM finds it, under the
-    declared order of ``sources``; equal trust falls back to the declared order); later ``updated`` first, null last;
-    smaller ``row_id`` first. ``main`` comes from the first row, another field from the first row where it isn't blank
-    (row -1 and null if there is none). Null keys form a group of their own, as in GROUP BY; repeated rows are rows.
+    The order within a group: main field not blank first; ``sources`` in their declared order, then any other; later
+    ``updated`` first, null last; smaller ``row_id`` first. ``main`` comes from the first row, another field from the first
+    row where it isn't blank (row -1 and null if there is none). Null keys form a group of their own, as in GROUP BY;
+    repeated rows are rows.
     """
-    q = q or fit_sources(df, keys, [main, *others], source, sources)
-    cls = source_class(tidy_source(F.col(source)), sources)
-
-    def rank(name: str) -> Column:
-        trust = q.ordered_trust(name)
-        return F.struct(F.element_at(F.array(*[F.lit(round(-t, 9)) for t in trust]), cls + 1).alias("t"), cls.alias("c"))
-
     order = F.struct(
-        (~filled(F.col(main))).alias("blank"), rank(main).alias("rank"), F.col(updated).isNull().alias("no_time"), (-F.unix_micros(F.col(updated).cast("timestamp"))).alias("age"), F.col(row_id).alias("row")
+        (~filled(F.col(main))).alias("blank"), source_class(tidy_source(F.col(source)), sources).alias("rank"), F.col(updated).isNull().alias("no_time"), (-F.unix_micros(F.col(updated).cast("timestamp"))).alias("age"), F.col(row_id).alias("row")
     )
     kept = lambda name: F.struct(F.col(row_id).alias("row"), *([F.col(name).alias("value")] if with_values else []))
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.min_by(kept(main), order).alias("_main")]
     for o in others:
         aggs.append(F.min_by(kept(o), F.when(filled(F.col(o)), order)).alias(f"_o_{o}"))
-    out = df.groupBy(*keys).agg(*aggs).where(F.col("n_rows") >= least_rows)
+    group = [f"_{n}" for n in range(len(keys))]
+    out = df.groupBy(*[F.col(k).alias(g) for g, k in zip(group, keys)]).agg(*aggs).where(F.col("n_rows") >= least_rows)
     return out.select(
-        *keys,
+        *[F.col(g).alias(k) for g, k in zip(group, keys)],
         "n_rows",
         *([F.col("_main.value").alias(main)] if with_values else []),
         F.col("_main.row").alias(f"{main}_row_id"),
