@@ -67,19 +67,29 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:[-‐][\p{L}]+)*"), F.lit(0))
 
 
-def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int, list[str]]:
-    """(ordinary words and compounds of the corpus with their counts, least count of an ordinary word, usual pairs of words).
+def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int, list[int]]:
+    """(ordinary words and compounds of the corpus with their counts, least count of an ordinary word, hashes of usual pairs).
 
-    The bound on their number is in the module's text. Words and pairs are counted in one pass, with partial sums.
+    The bound on their number is in the module's text. Words and pairs are counted in one pass, with partial sums; a pair is
+    a 64-bit hash, as it is only ever looked up.
     """
     n = texts.count()
     least = max(LEAST_COUNT, int(VOCABULARY_SHARE * n))
     w = F.col("w")
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    pairs = F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-    counted = texts.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).select(F.explode(F.concat(w, pairs)).alias("w")).groupBy("w").count().where(F.col("count") >= least)
-    rows = [(r.w.replace("‐", "-"), int(r["count"])) for r in counted.collect()]
-    return sorted(r for r in rows if " " not in r[0]), least, sorted(r[0] for r in rows if " " in r[0])
+    one = F.transform(w, lambda x: F.struct(x.alias("w"), F.lit(None).cast("long").alias("h")))
+    after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+    two = F.zip_with(F.slice(w, 1, F.size(after)), after, lambda a, b: F.struct(F.lit(None).cast("string").alias("w"), F.xxhash64(a, b).alias("h")))
+    counted = texts.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).select(F.inline(F.concat(one, two))).groupBy("w", "h").count().where(F.col("count") >= least)
+    rows = counted.collect()
+    return sorted((r.w.replace("‐", "-"), int(r["count"])) for r in rows if r.w is not None), least, sorted(r.h for r in rows if r.w is None)
+
+
+def pair_hash(a: str, b: str) -> int:
+    """Spark's xxhash64 of two strings."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def template(line: str, frequent: set[str] | frozenset[str]) -> str:
@@ -126,7 +136,7 @@ def header_templates(texts: DataFrame, text: str, lexicon: Lexicon) -> list[str]
 class Lexicon:
     """Trie of the ordinary words; finds what a misread word may have been."""
 
-    def __init__(self, counted: list[tuple[str, int]], least: int = LEAST_COUNT, pairs: list[str] | tuple = (), headers: list[str] | tuple = ()):
+    def __init__(self, counted: list[tuple[str, int]], least: int = LEAST_COUNT, pairs: list[int] | tuple = (), headers: list[str] | tuple = ()):
         self.count: dict[str, int] = {}
         for w, n in counted:
             self.count[w] = self.count.get(w, 0) + n
@@ -148,7 +158,7 @@ class Lexicon:
                 for c in w:
                     node = node.setdefault(c, {})
                 node[""] = w
-        self.cache: dict[str, list[tuple[float, str]]] = {}
+        self.cache: dict[tuple[str, bool], list[tuple[float, str]]] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("trie", "cache")}
@@ -163,40 +173,47 @@ class Lexicon:
     def search(self, w: str, budget: float = BUDGET) -> list[tuple[float, str]]:
         """All (cost, word) of the vocabulary within the budget, by walking trie and automaton together."""
         best: dict[str, float] = {}
-        stack, seen = [(self.trie, 0, 0.0)], {}
+        size = len(w)
+        stack = [(self.trie, 0, 0.0)]
         while stack:
             node, i, cost = stack.pop()
-            key = (id(node), i)
-            if seen.get(key, 9.0) <= cost:
-                continue
-            seen[key] = cost
-            if i == len(w):
-                if "" in node and cost < best.get(node[""], 9.0):
+            while True:  # along the path on which letters agree; its branches go onto the stack
+                if i == size and "" in node and cost < best.get(node[""], 9.0):
                     best[node[""]] = cost
-            else:
-                nxt = node.get(w[i])
-                if nxt is not None:
-                    stack.append((nxt, i + 1, cost))
-                if cost + CONFUSION <= budget:
-                    for k in (1, 2):
-                        for true in READ_AS.get(w[i : i + k], ()) if i + k <= len(w) else ():
+                if i < size and cost + CONFUSION <= budget:
+                    for read in (w[i], w[i : i + 2]):
+                        for true in READ_AS.get(read, ()) if i + len(read) <= size else ():
                             n = node
                             for c in true:
                                 n = n.get(c)
                                 if n is None:
                                     break
-                            if n is not None:
-                                stack.append((n, i + k, cost + CONFUSION))
-            if cost + EDIT <= budget:
-                if i < len(w):
-                    stack.append((node, i + 1, cost + EDIT))
-                for c, n in node.items():
-                    if c:
-                        stack.append((n, i, cost + EDIT))
-                        if i < len(w):
-                            stack.append((n, i + 1, cost + EDIT))
+                            else:
+                                stack.append((n, i + len(read), cost + CONFUSION))
+                if cost + EDIT <= budget:
+                    spent = cost + EDIT
+                    for c, n in node.items():
+                        if not c:
+                            continue
+                        if i < size and self._goes_on(n, w, i + 1, spent, budget):
+                            stack.append((n, i + 1, spent))
+                        if self._goes_on(n, w, i, spent, budget):
+                            stack.append((n, i, spent))
+                    if i < size and self._goes_on(node, w, i + 1, spent, budget):
+                        stack.append((node, i + 1, spent))
+                node = node.get(w[i]) if i < size else None
+                if node is None:
+                    break
+                i += 1
         return sorted((c, v) for v, c in best.items())
 
+    @staticmethod
+    def _goes_on(node: dict, w: str, i: int, cost: float, budget: float) -> bool:
+        """Whether the state has any way on: the next letter agrees, or a further step is within the budget."""
+        if (w[i] in node) if i < len(w) else ("" in node):
+            return True
+        return cost + EDIT <= budget or cost + CONFUSION <= budget and (w[i : i + 1] in READ_AS or w[i : i + 2] in READ_AS)
+
     def meant(self, w: str, around: set[str] | None = None, before: str = "", after: str = "", free: bool = True) -> str | None:
         """The ordinary word that ``w`` (lower case) is a misreading of, or None.
 
@@ -204,26 +221,29 @@ class Lexicon:
         """
         if w in self.good or len(w) < 3:
             return None
-        if w not in self.cache:
+        free = free and len(w) >= EDIT_LETTERS and w.isalpha() and w not in self.count
+        if (w, free) not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             own = self.count.get(w, self.least / 2)
-            plain = w.isalpha() and w not in self.count
-            budget = LONG_BUDGET if plain and len(w) >= LONG_LETTERS else EDIT_BUDGET if plain and len(w) >= EDIT_LETTERS else BUDGET
-            self.cache[w] = [(c, v) for c, v in self.search(w, budget) if c > 0 and len(v) >= 4 and self.count[v] >= FREQUENCY_RATIO * min(own, self.count[v] if not w.isalpha() else own)]
-        found = self.cache[w]
+            budget = BUDGET if not free else LONG_BUDGET if len(w) >= LONG_LETTERS else EDIT_BUDGET
+            self.cache[w, free] = [
+                (c, v) for c, v in self.search(w, budget)
+                if c > 0 and len(v) >= 4 and (c < EDIT or v in self.frequent) and self.count[v] >= FREQUENCY_RATIO * min(own, self.count[v] if not w.isalpha() else own)
+            ]
+        found = self.cache[w, free]
         if not found:
             return None
-        beside = {v: (f"{before} {v}" in self.pairs) + (f"{v} {after}" in self.pairs) for _, v in found}
-        found = [(c, v) for c, v in found if c < EDIT or free and v in self.frequent and beside[v] > (len(w) == len(v) or _ending(w, v))]
+        beside = {v: (pair_hash(before, v) in self.pairs) + (pair_hash(v, after) in self.pairs) for _, v in found} if found[-1][0] >= EDIT or len(found) > 1 else {}
+        found = [(c, v) for c, v in found if c < EDIT or beside[v] > (len(w) == len(v) or _ending(w, v))]
         if not found:
             return None
-        return min(found, key=lambda x: (x[0], -beside[x[1]], not (around and x[1] in around), -self.count[x[1]], x[1]))[1]
+        return min(found, key=lambda x: (x[0], -beside.get(x[1], 0), not (around and x[1] in around), -self.count[x[1]], x[1]))[1]
 
     def torn(self, left: str, right: str) -> str | None:
         """The ordinary word that ``left right`` is when put together, if it is far more usual than one of the two."""
         one = left + right
-        word = one if one in self.good else self.meant(one)
+        word = one if one in self.good else self.meant(one, free=False)
         if word is None or len(word) < 5:
             return None
         rarer = min(self.count.get(left, 0), self.count.get(right, 0))
@@ -234,9 +254,9 @@ class Lexicon:
         one, two = self.count.get(left + right, 0), self.count.get(f"{left}-{right}", 0)
         if one or two:
             return one >= two
-        if self.meant(left + right):
+        if self.meant(left + right, free=False):
             return True
-        if self.meant(f"{left}-{right}"):
+        if self.meant(f"{left}-{right}", free=False):
             return False
         return not (left.split("-")[-1] in self.good and right.split("-")[0] in self.good and len(left) > 2)
 
@@ -309,6 +329,15 @@ def repair(text: str | None, lexicon: Lexicon) -> tuple[str | None, list[str]]:
     return text, sorted(kinds)
 
 
+BEFORE, AFTER = re.compile(r"([^\W\d_]+) $"), re.compile(r" ([^\W\d_]+)")
+
+
+def _beside(text: str, a: int, b: int) -> tuple[str, str]:
+    """The words before ``a`` and after ``b`` in lower case, '' where there is none."""
+    before, after = BEFORE.search(text[max(0, a - 40) : a]), AFTER.match(text, b)
+    return before[1].lower() if before else "", after[1].lower() if after else ""
+
+
 def _letters(text: str, lexicon: Lexicon) -> str | None:
     """The text with misread and torn words put right, or None if there are none."""
     usual, changed = lexicon.usual, False
@@ -318,7 +347,7 @@ def _letters(text: str, lexicon: Lexicon) -> str | None:
         nonlocal changed
         one = m[0].replace(" ", "")
         for x, word, y in (("", one, ""), (one[0] + " ", one[1:], ""), ("", one[:-1], " " + one[-1])):  # an "a" may stand beside it
-            if word.lower() in lexicon.good or lexicon.meant(word.lower()):
+            if word.lower() in lexicon.good or lexicon.meant(word.lower(), free=False):
                 changed = True
                 return x + word + y
         return m[0]
@@ -334,8 +363,7 @@ def _letters(text: str, lexicon: Lexicon) -> str | None:
         low = w.lower().replace("‐", "-")
         if edits and edits[-1][1] > a:
             continue
-        beside = (re.search(r"([^\W\d_]+) $", text[max(0, a - 40) : a]), re.match(r" ([^\W\d_]+)", text[b : b + 40]))
-        true = lexicon.meant(low, around, *(x[1].lower() if x else "" for x in beside), free=w.islower()) if len(low) >= 4 and sum(c.isalpha() for c in low) >= 2 and not (w.isupper() and not w.isalpha()) else None
+        true = lexicon.meant(low, around, *_beside(text, a, b), free=w.islower()) if len(low) >= 4 and sum(c.isalpha() for c in low) >= 2 and not (w.isupper() and not w.isalpha()) else None
         if true and sum(c.isdigit() for c in low) <= 2:
             edits.append((a, b, _like(true, w)))
             continue
