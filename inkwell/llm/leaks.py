@@ -7,26 +7,31 @@ merged to the windows of every class, one start per block. One equal minimum mak
 a containment of 0.25 in a window twice as long the chance to miss an item is below 0.3 %; an item in several stretches
 has that many chances). Candidates are verified against the whole document by exact five-word shingles in order.
 
-Nothing is shuffled: the items' signatures travel to the documents, in blocks of ITEM_BLOCK items, one pass per block, so
-what is broadcast is bounded. Copies and hot feeds play no role, every document stands alone.
+The documents are read once, whatever the number of items. What travels to them are two filters of bounded size (FILTER_BITS):
+one of the items' minima, one of their shingles. A document with a known minimum and enough known shingles leaves the scan
+cut down to the words around these shingles; its minima are joined with the items', and the pairs so found are verified.
+The filters may let through what is no match (more so for many millions of items' words), never keep back what is one.
+Copies and hot feeds play no role, every document stands alone.
 
 Null or empty texts contain nothing; items without words, or with a null passage, are in no document. Items that share
-their passage are each reported. Items shorter than a shingle are compared with shingles of their own length.
+their passage are searched as one and each reported. Items shorter than a shingle are looked up as one shingle of their
+own length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import received, send
+from inkwell.session import received, send, written
 
 SHINGLE = 5
 BLOCK = 32
 HASHES = 64
-ITEM_BLOCK = 20_000
+#: Largest filter (64 MB), and how many bits a key gets below that.
+FILTER_BITS, BITS_A_KEY = 1 << 29, 1 << 10
 #: Least share of an item's words found in order.
 LEAST_SHARE = 0.4
 #: Words between two matching stretches that count as a light change and not as a new stretch.
@@ -59,161 +64,190 @@ def short_hash(h):
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-class Items:
-    """Signatures and exact shingles of a block of items."""
+def hash_functions():
+    import numpy as np
 
-    def __init__(self, ids: list, passages: list, least_share: float = LEAST_SHARE, hashes: int = HASHES):
-        import numpy as np
+    return np.random.default_rng(20_240_229).integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
-        self.least = least_share
-        self.ids, self.words = [], []
-        for i, p in zip(ids, passages):
-            if p is not None and len(p):
-                self.ids.append(i)
-                self.words.append(np.asarray(p, dtype=np.int64).view(np.uint64))
-        rng = np.random.default_rng(20_240_229)
-        self.mul = rng.integers(1, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1)
-        shingles = [shingle_hashes(w) for w in self.words]
-        by_size: dict[int, list[int]] = {}
-        for k, s in enumerate(shingles):
-            size = BLOCK
-            while size < len(s):
-                size *= 2
-            by_size.setdefault(size, []).append(k)
-        #: by size class and hash function: sorted distinct minima, and the items that have each of them
-        self.classes: dict[int, list[tuple]] = {}
-        for size, members in sorted(by_size.items()):
-            sig = np.stack([(short_hash(shingles[m])[:, None] * self.mul).min(0) for m in members])
-            tables = []
-            for h in range(hashes):
-                order = np.argsort(sig[:, h], kind="stable")
-                values, first, count = np.unique(sig[order, h], return_index=True, return_counts=True)
-                tables.append((values, first, count, np.array(members)[order]))
-            self.classes[size] = tables
-        self.at = [{} for _ in self.words]
-        for k, s in enumerate(shingles):
-            for pos, x in enumerate(s.tolist()):
-                self.at[k].setdefault(x, []).append(pos)
-        self.short = [k for k, w in enumerate(self.words) if len(w) < SHINGLE]
-        # inverted index of the exact shingles
-        pairs = sorted({(x, k) for k, s in enumerate(shingles) for x in s.tolist()})
-        self.all, first, count = np.unique(np.array([x for x, _ in pairs], dtype=np.uint64), return_index=True, return_counts=True)
-        self.holders, self.first, self.count = np.array([k for _, k in pairs], dtype=np.int64), first, count
-        self.bound = np.array([self.least * len(w) / (SHINGLE + BRIDGE) for w in self.words])
-
-    def block_minima(self, shingles: list):
-        """Minima of every hash function over the blocks of each document, (hashes, blocks), and the blocks' documents."""
-        import numpy as np
 
-        padded, owner = [], []
-        for d, s in enumerate(shingles):
-            if len(s):
-                n = -(-len(s) // BLOCK)
-                block = np.full(n * BLOCK, short_hash(s[-1:])[0], dtype=np.uint32)
-                block[: len(s)] = short_hash(s)
-                padded.append(block.reshape(n, BLOCK))
-                owner.append(np.full(n, d))
-        if not padded:
-            return np.zeros((len(self.mul), 0), dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        grid = np.ascontiguousarray(np.concatenate(padded).T)  # (BLOCK, blocks): minima run over whole rows
-        out, work = np.empty((len(self.mul), grid.shape[1]), dtype=np.uint32), np.empty_like(grid)
-        for k, m in enumerate(self.mul):
-            np.multiply(grid, m, out=work)
-            work.min(axis=0, out=out[k])
-        return out, np.concatenate(owner)
-
-    def candidates(self, minima, owner):
-        """Pairs (document, item) that share a minimum in some window of the item's size class, as document * items + item."""
-        import numpy as np
+def size_class(n: int) -> int:
+    """Shingles of the windows that an item of n shingles is compared with."""
+    size = BLOCK
+    while size < n:
+        size *= 2
+    return size
 
-        found, wide, n = [np.zeros(0, dtype=np.int64)], 1, len(self.words)
-        for size, tables in self.classes.items():
-            while wide * BLOCK < size:  # windows twice as wide; beyond a document's end nothing is added
-                joined = minima.copy()
-                if minima.shape[1] > wide:
-                    same = owner[:-wide] == owner[wide:]
-                    joined[:, :-wide] = np.where(same, np.minimum(minima[:, :-wide], minima[:, wide:]), minima[:, :-wide])
-                minima, wide = joined, wide * 2
-            for h, (values, first, count, members) in enumerate(tables):
-                pos = np.searchsorted(values, minima[h])
-                pos[pos == len(values)] = 0
-                at = np.flatnonzero(values[pos] == minima[h])
-                if len(at):
-                    doc, p = owner[at], pos[at]
-                    reps = count[p]
-                    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    found.append(np.repeat(doc, reps) * n + members[np.repeat(first[p], reps) + inner])
-        return np.unique(np.concatenate(found))
-
-    def hits(self, doc_shingles):
-        """Positions of the document's shingles that any item has, and how many of them each item has."""
-        import numpy as np
 
-        pos = np.searchsorted(self.all, doc_shingles)
-        pos[pos == len(self.all)] = 0
-        at = np.flatnonzero(self.all[pos] == doc_shingles)
-        p = pos[at]
-        reps = self.count[p]
-        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        return at, np.bincount(self.holders[np.repeat(self.first[p], reps) + inner], minlength=len(self.words))
+def mark(size: int, k: int, value):
+    """64-bit key of the minimum ``value`` (array) of hash function k in windows of ``size``; the same for short items' shingles."""
+    import numpy as np
 
-    def share(self, item: int, doc, doc_shingles, hits=None) -> float:
-        """Share of the item's words that stand in the document in the item's order, in stretches begun by exact shingles.
+    x = value.astype(np.uint64) + np.uint64((size * (HASHES + 1) + k) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        ``hits``: positions of the document's shingles that any item has (left out: all positions).
-        """
+
+class Filter:
+    """Bloom filter with two probes."""
+
+    def __init__(self, words, bits: int):
+        self.words, self.bits = words, bits
+
+    def has(self, keys):
         import numpy as np
 
-        own, at = self.words[item], self.at[item]
-        n = min(SHINGLE, len(own))
-        if n < SHINGLE:
-            doc_shingles, hits = shingle_hashes(doc, n) if len(doc) >= n else doc[:0], None
-        places = [(j, at[x]) for j, x in zip(range(len(doc_shingles)) if hits is None else hits.tolist(), (doc_shingles if hits is None else doc_shingles[hits]).tolist()) if x in at]
-        if not places:
-            return 0.0
-        # exact runs along diagonals
-        runs: dict[int, list[list[int]]] = {}
-        for j, at_item in places:
-            for i in at_item:
-                line = runs.setdefault(j - i, [])
-                if line and j <= line[-1][1]:
-                    line[-1][1] = max(line[-1][1], j + n)
-                else:
-                    line.append([j, j + n])
-        pieces = sorted((a, b, a - diag, b - diag) for diag, line in runs.items() for a, b in line)  # doc from, to, item from, to
-        # best chain in order over all earlier pieces, bridging small gaps by the words they have in common; of pieces too far
-        # back for a bridge only the place in the item and the score matter, so the best of each place stands for all of them
-        spans = sorted({(i, e) for _, _, i, e in pieces})
-        slot = {x: k for k, x in enumerate(spans)}
-        starts, ends = np.array(spans).T
-        far = np.full(len(spans), -np.inf)
-        best: list[float] = []
-        near: list[int] = []
-        for k, (a, b, i, e) in enumerate(pieces):
-            score = float(e - i)
-            gone = [p for p in near if a - pieces[p][1] > 2 * BRIDGE]
-            if gone:
-                for p in gone:
-                    x = slot[pieces[p][2:]]
-                    far[x] = max(far[x], best[p])
-                near = [p for p in near if a - pieces[p][1] <= 2 * BRIDGE]
-            for p in near:
-                pa, pb, pi, pe = pieces[p]
-                if pe <= i or (pi < i and pe < e):
-                    cut = max(0, pe - i, pb - a)
-                    if e - i - cut <= 0:
-                        continue
-                    gain = best[p] + (e - i - cut)
-                    gi, gj = i - pe, a - pb
-                    if 0 < gi <= BRIDGE and 0 < gj <= 2 * BRIDGE:
-                        gain += _common(own[pe:i], doc[pb:a])
-                    score = max(score, gain)
-            if len(near) < k:
-                gains = np.where((ends <= i) | (starts < i) & (ends < e), far - np.maximum(ends - i, 0), -np.inf)
-                score = max(score, float(gains.max()) + (e - i))
-            best.append(score)
-            near.append(k)
-        return max(best) / len(own)
+        one, two = _probes(keys, self.bits)
+        return ((self.words[one >> 6] >> (one & 63).astype(np.uint64)) & (self.words[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _probes(keys, bits: int):
+    import numpy as np
+
+    keys = np.asarray(keys).view(np.uint64)
+    return (keys & np.uint64(bits - 1)).astype(np.int64), ((keys >> np.uint64(29)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter(keys: DataFrame, key: str, n: int) -> Filter:
+    """The filter of a column of keys; its words are put together in Spark, so at most FILTER_BITS / 64 rows reach the driver."""
+    import numpy as np
+
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, BITS_A_KEY * n):
+        bits *= 2
+    probe = F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 29).bitwiseAND(F.lit(bits - 1)))).alias("p")
+    rows = keys.select(probe).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    words[rows.column("at").to_numpy()] = rows.column("w").to_numpy().view(np.uint64)
+    return Filter(words, bits)
+
+
+def item_marks(w) -> tuple[int, list, list]:
+    """(size class, marks of the minima, shingles) of an item's words; a short item's class is its length."""
+    import numpy as np
+
+    if len(w) < SHINGLE:
+        return len(w), mark(len(w), 0, shingle_hashes(w, len(w))).view(np.int64).tolist(), []
+    s = shingle_hashes(w)
+    size, low = size_class(len(s)), (short_hash(s)[:, None] * hash_functions()).min(0)
+    return size, [int(mark(size, k, low[k : k + 1]).view(np.int64)[0]) for k in range(HASHES)], np.unique(s).view(np.int64).tolist()
+
+
+def block_minima(shingles: list, mul):
+    """Minima of every hash function over the blocks of each document, (hashes, blocks), and the blocks' documents."""
+    import numpy as np
+
+    padded, owner = [], []
+    for d, s in enumerate(shingles):
+        if len(s):
+            n = -(-len(s) // BLOCK)
+            block = np.full(n * BLOCK, short_hash(s[-1:])[0], dtype=np.uint32)
+            block[: len(s)] = short_hash(s)
+            padded.append(block.reshape(n, BLOCK))
+            owner.append(np.full(n, d))
+    if not padded:
+        return np.zeros((len(mul), 0), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    grid = np.ascontiguousarray(np.concatenate(padded).T)  # (BLOCK, blocks): minima run over whole rows
+    out, work = np.empty((len(mul), grid.shape[1]), dtype=np.uint32), np.empty_like(grid)
+    for k, m in enumerate(mul):
+        np.multiply(grid, m, out=work)
+        work.min(axis=0, out=out[k])
+    return out, np.concatenate(owner)
+
+
+def known_marks(minima, owner, sizes: list[int], known: Filter) -> list:
+    """(documents, marks) of the minima of all windows of the sizes that the filter knows."""
+    import numpy as np
+
+    found, wide = [], 1
+    for size in sizes:
+        while wide * BLOCK < size:  # windows twice as wide; beyond a document's end nothing is added
+            joined = minima.copy()
+            if minima.shape[1] > wide:
+                same = owner[:-wide] == owner[wide:]
+                joined[:, :-wide] = np.where(same, np.minimum(minima[:, :-wide], minima[:, wide:]), minima[:, :-wide])
+            minima, wide = joined, wide * 2
+        for k in range(len(minima)):
+            marks = mark(size, k, minima[k])
+            at = np.flatnonzero(known.has(marks))
+            if len(at):
+                found.append((owner[at], marks[at]))
+    return found
+
+
+def cut_down(doc, at, wide: int):
+    """The words of ``doc`` from ``wide`` before to ``wide`` after the places ``at``; what is left out becomes ``wide`` zeros.
+
+    No stretches that lie farther apart than BRIDGE allows come nearer by this.
+    """
+    import numpy as np
+
+    keep = np.zeros(len(doc) + 1, dtype=np.int64)
+    np.add.at(keep, np.maximum(at - wide, 0), 1)
+    np.add.at(keep, np.minimum(at + SHINGLE + wide, len(doc)), -1)
+    keep = np.cumsum(keep[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.r_[False, keep, False]))
+    gap = np.zeros(wide, dtype=doc.dtype)
+    return np.concatenate([x for a, b in zip(edges[::2], edges[1::2]) for x in (gap, doc[a:b])] or [doc[:0]])
+
+
+def share(own, doc) -> float:
+    """Share of the item's words ``own`` that stand in the document in the item's order, in stretches begun by exact shingles."""
+    import numpy as np
+
+    own, doc = np.asarray(own).view(np.uint64), np.asarray(doc).view(np.uint64)
+    n = min(SHINGLE, len(own))
+    if not n or len(doc) < n:
+        return 0.0
+    at: dict[int, list[int]] = {}
+    for pos, x in enumerate(shingle_hashes(own, n).tolist()):
+        at.setdefault(x, []).append(pos)
+    places = [(j, at[x]) for j, x in enumerate(shingle_hashes(doc, n).tolist()) if x in at]
+    if not places:
+        return 0.0
+    # exact runs along diagonals
+    runs: dict[int, list[list[int]]] = {}
+    for j, at_item in places:
+        for i in at_item:
+            line = runs.setdefault(j - i, [])
+            if line and j <= line[-1][1]:
+                line[-1][1] = max(line[-1][1], j + n)
+            else:
+                line.append([j, j + n])
+    pieces = sorted((a, b, a - diag, b - diag) for diag, line in runs.items() for a, b in line)  # doc from, to, item from, to
+    # best chain in order over all earlier pieces, bridging small gaps by the words they have in common; of pieces too far
+    # back for a bridge only the place in the item and the score matter, so the best of each place stands for all of them
+    spans = sorted({(i, e) for _, _, i, e in pieces})
+    slot = {x: k for k, x in enumerate(spans)}
+    starts, ends = np.array(spans).T
+    far = np.full(len(spans), -np.inf)
+    best: list[float] = []
+    near: list[int] = []
+    for k, (a, b, i, e) in enumerate(pieces):
+        score = float(e - i)
+        gone = [p for p in near if a - pieces[p][1] > 2 * BRIDGE]
+        if gone:
+            for p in gone:
+                x = slot[pieces[p][2:]]
+                far[x] = max(far[x], best[p])
+            near = [p for p in near if a - pieces[p][1] <= 2 * BRIDGE]
+        for p in near:
+            pa, pb, pi, pe = pieces[p]
+            if pe <= i or (pi < i and pe < e):
+                cut = max(0, pe - i, pb - a)
+                if e - i - cut <= 0:
+                    continue
+                gain = best[p] + (e - i - cut)
+                gi, gj = i - pe, a - pb
+                if 0 < gi <= BRIDGE and 0 < gj <= 2 * BRIDGE:
+                    gain += _common(own[pe:i], doc[pb:a])
+                score = max(score, gain)
+        if len(near) < k:
+            gains = np.where((ends <= i) | (starts < i) & (ends < e), far - np.maximum(ends - i, 0), -np.inf)
+            score = max(score, float(gains.max()) + (e - i))
+        best.append(score)
+        near.append(k)
+    return max(best) / len(own)
 
 
 def _common(a, b) -> int:
@@ -228,15 +262,18 @@ def _common(a, b) -> int:
     return row[-1]
 
 
-def _search(batches: Iterator, items: Items, id_type) -> Iterator:
+def _scan(batches: Iterator, sizes: list[int], known: Filter, shingled: Filter, least_hits: float) -> Iterator:
+    """(doc, uid, words around known shingles, known marks) of the documents that may hold an item."""
     import numpy as np
     import pyarrow as pa
 
+    mul, short = hash_functions(), [x for x in sizes if x < SHINGLE]
+    windows = sorted(x for x in sizes if x >= SHINGLE)
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
+        lists = batch.column(2)
         offsets = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        out_doc, out_item, out_share = [], [], []
+        rows, kept, keys = [], [], []
         first = 0
         while first < len(offsets) - 1:
             # so many documents at a time that the arrays stay in the cache's reach
@@ -245,24 +282,34 @@ def _search(batches: Iterator, items: Items, id_type) -> Iterator:
                 last += 1
             docs = [flat[offsets[d] : offsets[d + 1]] for d in range(first, last)]
             shingles = [shingle_hashes(w) for w in docs]
-            pairs = items.candidates(*items.block_minima(shingles))
-            by_doc: dict[int, set[int]] = {}
-            for d, k in zip((pairs // len(items.words)).tolist(), (pairs % len(items.words)).tolist()):
-                by_doc.setdefault(d, set()).add(k)
-            for d, w in enumerate(docs):
-                wanted = by_doc.get(d, set())
-                if not len(w) or not (wanted or items.short):
-                    continue
-                at, count = items.hits(shingles[d])
+            marks: dict[int, list] = {}
+            if windows:
+                found = known_marks(*block_minima(shingles, mul), windows, known)
+                if found:
+                    owner, values = (np.concatenate(x) for x in zip(*found))
+                    order = np.argsort(owner, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+                        marks[int(owner[part[0]])] = [values[part]]
+            at: dict[int, list] = {}
+            for n in short:
+                for d, w in enumerate(docs):
+                    if len(w) >= n:
+                        m = mark(n, 0, shingle_hashes(w, n))
+                        p = np.flatnonzero(known.has(m))
+                        if len(p):
+                            marks.setdefault(d, []).append(m[p])
+                            at.setdefault(d, []).append(p)
+            for d, own in marks.items():
+                hit = np.flatnonzero(shingled.has(shingles[d]))
                 # no chain can cover more than a shingle and a bridge for each shingle found
-                for k in [*(k for k in wanted if count[k] >= items.bound[k]), *items.short]:
-                    share = items.share(k, w, shingles[d], at)
-                    if share > 0:
-                        out_doc.append(first + d)
-                        out_item.append(items.ids[k])
-                        out_share.append(share)
+                if d in at or len(hit) >= least_hits:
+                    rows.append(first + d)
+                    kept.append(cut_down(docs[d], np.concatenate([hit, *at.get(d, [])]), 2 * BRIDGE + 1).view(np.int64))
+                    keys.append(np.unique(np.concatenate(own)).view(np.int64))
             first = last
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_doc, pa.int64())), pa.array(out_item, id_type), pa.array(out_share, pa.float64())], names=["doc", "item", "share"])
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(y) for y in x])].astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)))
+        at_rows = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), lists(kept), lists(keys)], names=["doc", "uid", "w", "keys"])
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -270,21 +317,46 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
     The ids keep their types. Rows of ``docs`` with the same id are searched one by one.
     """
-    held = items.select(F.col(item_id).alias("item"), F.col(passage).alias("passage")).where("passage IS NOT NULL")
-    n = held.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
-    kinds = (docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
-    prepared = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"))
-    out = None
-    for b in range(blocks):
-        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == b)
-        rows = part.select("item", words(F.col("passage")).alias("w")).toArrow()
-        block = Items(rows.column("item").to_pylist(), rows.column("w").to_pylist(), least_share)
-        if not block.ids:
-            continue
-        sent, id_type = send(docs.sparkSession, block), rows.schema.field("item").type
-        found = prepared.mapInArrow(lambda batches, s=sent, t=id_type: _search(batches, received(s), t), f"doc {kinds[0]}, item {kinds[1]}, share double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc {kinds[0]}, item {kinds[1]}, share double")
-    return out.where(F.col("share") >= least_share)
+    spark: SparkSession = docs.sparkSession
+    kind = docs.schema[doc_id].dataType.simpleString()
+    named = items.where(F.col(passage).isNotNull()).select(F.col(item_id).alias("item"), F.xxhash64(passage).alias("pid"), F.col(passage).alias("passage"))
+    passages = written(named.groupBy("pid").agg(F.min("passage").alias("p")).select("pid", words(F.col("p")).alias("own")).where("size(own) > 0"), "passages")
+
+    def marked(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for pid, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, low, shingles = item_marks(np.array(own, dtype=np.int64).view(np.uint64))
+                out += [(pid, size, x) for x in low] + [(pid, 0, x) for x in shingles]
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["pid", "size", "key"])
+
+    marks = written(passages.mapInArrow(marked, "pid long, size int, key long"), "marks")  # size 0: a shingle
+    counts = {r["size"]: r["count"] for r in marks.groupBy("size").count().collect()}
+    sizes = sorted(x for x in counts if x)
+    if not sizes:
+        return docs.limit(0).select(F.col(doc_id).alias("doc")).join(items.limit(0).select(F.col(item_id).alias("item")), F.lit(True)).select("doc", "item", F.lit(0.0).alias("share"))
+    shortest = passages.agg(F.min(F.size("own"))).first()[0]
+    known, shingled = _filter(marks.where("size > 0"), "key", sum(counts[x] for x in sizes)), _filter(marks.where("size = 0"), "key", counts.get(0, 0))
+    sent = send(spark, (sizes, known, shingled, least_share * shortest / (SHINGLE + BRIDGE)))
+    prepared = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc"), F.xxhash64(doc_id, text).alias("uid"), words(F.col(text)).alias("w"))
+    found = written(prepared.mapInArrow(lambda batches: _scan(batches, *received(sent)), f"doc {kind}, uid long, w array<long>, keys array<long>"), "suspects")
+    pairs = found.select("uid", F.explode("keys").alias("key")).join(marks.where("size > 0").select("key", "pid"), "key").select("uid", "pid").distinct()
+    tried = found.select("doc", "uid", "w").join(pairs, "uid").join(passages, "pid").select("doc", "pid", "w", "own")
+
+    def verified(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            cut = [(x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)) for x in (batch.column(2), batch.column(3))]
+            shares = [share(*(v[o[k] : o[k + 1]] for o, v in reversed(cut))) for k in range(batch.num_rows)]
+            keep = np.flatnonzero(np.array(shares) >= least_share)
+            at = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([shares[k] for k in keep], pa.float64())], names=["doc", "pid", "share"])
+
+    out = tried.mapInArrow(verified, f"doc {kind}, pid long, share double")
+    return out.join(named.select("pid", "item"), "pid").select("doc", "item", "share")

@@ -437,14 +437,47 @@ def test_stretches_far_apart_are_chained():
     fill = lambda n: [next(other) for _ in range(n)]
     between = [x for _ in range(90) for x in [*fill(20), *item[95:]]]  # a stock run of the item, again and again
     doc = np.array([*fill(30), *item[10:32], *between, *fill(20), *item[40:62], *fill(30)], dtype=np.uint64)
-    assert leaks.Items([1], [item]).share(0, doc, leaks.shingle_hashes(doc)) == 0.44
+    assert leaks.share(item, doc) == 0.44
+    hits = np.flatnonzero(np.isin(leaks.shingle_hashes(doc), leaks.shingle_hashes(item)))
+    assert leaks.share(item, leaks.cut_down(doc, hits, 17)) == 0.44
 
 
-def test_item_blocks_give_the_same(spark, data, monkeypatch):
+def test_hundreds_of_stock_runs_between_two_stretches(spark):
+    rng = random.Random(12)
+    vocabulary = [f"word{k}" for k in range(9_000)]
+    item = rng.sample(vocabulary, 100)
+    between = [x for _ in range(300) for x in [*rng.choices(vocabulary, k=20), *item[60:65]]]
+    doc = [*rng.choices(vocabulary, k=50), *item[:32], *between, *item[66:98], *rng.choices(vocabulary, k=50)]
+    df = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(between))], "doc_id long, text string")
+    it = spark.createDataFrame([("a", " ".join(item))], "item_id string, passage string")
+    rows = leaks.leaked_items(df, "doc_id", "text", it, "item_id", "passage").collect()
+    assert [(r.doc, r.item) for r in rows] == [(1, "a")] and rows[0].share >= 0.64
+
+
+def test_short_items_and_repeated_documents(spark):
+    df = spark.createDataFrame([(1, "they said open the gate at once"), (1, "they said open the gate at once"), (None, "Open, THE gate"), (3, "open gate the"), (4, "lone")], "doc_id long, text string")
+    it = spark.createDataFrame([(1, "open the gate"), (2, "Open the gate"), (3, "lone"), (4, "")], "item_id long, passage string")
+    got = sorted((str(r.doc), r.item, r.share) for r in leaks.leaked_items(df, "doc_id", "text", it, "item_id", "passage").collect())
+    assert got == [("1", 1, 1.0), ("1", 1, 1.0), ("1", 2, 1.0), ("1", 2, 1.0), ("4", 3, 1.0), ("None", 1, 1.0), ("None", 2, 1.0)]
+
+
+def test_a_leaky_filter_loses_and_adds_nothing(spark, data, monkeypatch):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
-    one = leaks.leaked_items(docs, "doc_id", "text", items, "item_id", "passage").select("doc", "item").collect()
-    monkeypatch.setattr(leaks, "ITEM_BLOCK", 50)
-    assert sorted(one) == sorted(leaks.leaked_items(docs, "doc_id", "text", items, "item_id", "passage").select("doc", "item").collect())
+    found = lambda: sorted(map(tuple, leaks.leaked_items(docs, "doc_id", "text", items, "item_id", "passage").collect()))
+    one = found()
+    monkeypatch.setattr(leaks, "BITS_A_KEY", 1)
+    assert one and one == found()
+
+
+def test_leaks_equal_brute_force(spark, data):
+    docs = [(r.doc_id, r.w) for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 0").select("doc_id", leaks.words(F.col("text")).alias("w")).collect()]
+    items = [(r.item_id, r.w) for r in spark.read.parquet(f"{data}/eval_items.parquet").select("item_id", leaks.words(F.col("passage")).alias("w")).collect()]
+    shingles = {i: set(leaks.shingle_hashes(np.array(w)).tolist()) for i, w in items}
+    true = set()
+    for d, w in docs:
+        own = set(leaks.shingle_hashes(np.array(w)).tolist())
+        true |= {(d, i) for i, x in items if own & shingles[i] and leaks.share(np.array(x), np.array(w)) >= 0.4}
+    assert true == {(r.doc_id, r.item_id) for r in Q.p9_found(spark, data).collect()}
 
 
 # --- 10: encodings --------------------------------------------------------------------------------------------------
