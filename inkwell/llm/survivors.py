@@ -156,26 +156,26 @@ def sources_of(df: DataFrame, source: str) -> list[str]:
     return [r.s for r in named.orderBy(F.desc("count"), "s").limit(MAX_SOURCES - 1).collect()]
 
 
-def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], updated: str | None = None, ignore: str | None = None, with_values: bool = False) -> DataFrame:
+def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], updated: str | None = None, ignore: str | None = None, trust: dict[str, list[float]] | None = None) -> DataFrame:
     """(keys, field, fact, asserted, able): each distinct value in a group with the sources that give it and could have.
 
-    ``with_values`` adds ``value``, its longest spelling (of several the alphabetically first), and ``last``, when it was
-    given last. Two aggregations with partial sums; a hot group is reduced before the shuffle and never collected.
+    ``trust`` (by field and source) adds ``value``, the spelling of the most trusted source that gives it (of several the longest,
+    then the alphabetically first), and ``last``, when it was given last. Two aggregations with partial sums; a hot group is reduced before the shuffle and never collected.
     """
     cls = source_class(tidy_source(F.col(source)), sources)
     bit = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(len(sources) + 1)]), cls + 1)
-    said = [F.struct(F.lit(f).alias("field"), F.when(filled(F.col(f)), same_value(F.col(f), ignore)).alias("fact"), *([F.col(f).cast("string").alias("value")] if with_values else [])) for f in fields]
+    said = [F.struct(F.lit(f).alias("field"), F.when(filled(F.col(f)), same_value(F.col(f), ignore)).alias("fact"), *([F.col(f).cast("string").alias("value"), F.element_at(F.array(*[F.lit(round(-t, 6)) for t in trust[f]]), cls + 1).alias("rank")] if trust else [])) for f in fields]
     claims = df.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], bit.alias("b"), (F.col(updated).cast("timestamp") if updated else F.lit(None).cast("timestamp")).alias("t"), F.explode(F.array(*said)).alias("c")).where("c.fact IS NOT NULL")
     group = [f"_{n}" for n in range(len(keys))]
-    more = [F.min_by("c.value", F.struct(-F.length("c.value"), F.col("c.value"))).alias("value"), F.max("t").alias("last")] if with_values else []
+    more = [F.min_by("c.value", F.struct(F.col("c.rank"), -F.length("c.value"), F.col("c.value"))).alias("value"), F.max("t").alias("last")] if trust else []
     given = claims.groupBy(*group, F.col("c.field").alias("field"), F.col("c.fact").alias("fact")).agg(F.bit_or("b").alias("asserted"), *more)
     same = [*group, "field"]
-    plain = claims.groupBy(*group, F.col("c.field").alias("field")).agg(F.bit_or("b").alias("able")) if with_values else given.groupBy(*same).agg(F.bit_or("asserted").alias("able"))
+    plain = claims.groupBy(*group, F.col("c.field").alias("field")).agg(F.bit_or("b").alias("able")) if trust else given.groupBy(*same).agg(F.bit_or("asserted").alias("able"))
     able = plain.select(*[F.col(k).alias(f"{k}_") for k in same], "able")
     cond = F.lit(True)
     for k in same:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return given.join(able, cond).select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "field", "fact", "asserted", "able", *(["value", "last"] if with_values else []))
+    return given.join(able, cond).select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "field", "fact", "asserted", "able", *(["value", "last"] if trust else []))
 
 
 def fit_sources(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str] | None = None, iterations: int = 30, tolerance: float = 1e-4, ignore: str | None = None) -> SourceQuality:
@@ -197,7 +197,7 @@ def _judged(df: DataFrame, keys: list[str], fields: list[str], source: str, q: S
     odds = F.lit(0.0)
     for f in fields:
         odds = F.when(F.col("field") == f, q.log_odds(f, F.col("asserted"), F.col("able"))).otherwise(odds)
-    return facts(df, keys, fields, source, q.sources[:-1], updated, ignore, with_values=True).withColumn("odds", odds)
+    return facts(df, keys, fields, source, q.sources[:-1], updated, ignore, {f: q.trust(f) for f in fields}).withColumn("odds", odds)
 
 
 def judged_values(df: DataFrame, keys: list[str], fields: list[str], source: str, q: SourceQuality | None = None, ignore: str | None = None) -> DataFrame:
