@@ -9,7 +9,8 @@ has that many chances). Candidates are verified against the whole document by ex
 
 The documents are read once, whatever the number of items. What travels to them are two filters of bounded size (FILTER_BITS):
 one of the items' minima, one of their shingles. A document with a known minimum and enough known shingles leaves the scan
-cut down to the words around these shingles; its minima are joined with the items', and the pairs so found are verified.
+cut down to the words of these shingles and of short gaps; its minima are joined with the items', the shingles of each pair
+so found are counted, and the pairs that have enough are verified. Only hashes are shuffled, and words of verified pairs.
 The filters may let through what is no match (more so for many millions of items' words), never keep back what is one.
 Copies and hot feeds play no role, every document stands alone.
 
@@ -123,14 +124,14 @@ def _filter(keys: DataFrame, key: str, n: int) -> Filter:
 
 
 def item_marks(w) -> tuple[int, list, list]:
-    """(size class, marks of the minima, shingles) of an item's words; a short item's class is its length."""
+    """(size class, marks of the minima, shingles in order) of an item's words; a short item's class is its length."""
     import numpy as np
 
     if len(w) < SHINGLE:
         return len(w), mark(len(w), 0, shingle_hashes(w, len(w))).view(np.int64).tolist(), []
     s = shingle_hashes(w)
     size, low = size_class(len(s)), (short_hash(s)[:, None] * hash_functions()).min(0)
-    return size, [int(mark(size, k, low[k : k + 1]).view(np.int64)[0]) for k in range(HASHES)], np.unique(s).view(np.int64).tolist()
+    return size, [int(mark(size, k, low[k : k + 1]).view(np.int64)[0]) for k in range(HASHES)], s.view(np.int64).tolist()
 
 
 def block_minima(shingles: list, mul):
@@ -175,22 +176,30 @@ def known_marks(minima, owner, sizes: list[int], known: Filter) -> list:
     return found
 
 
-def cut_down(doc, at, wide: int):
-    """The words of ``doc`` from ``wide`` before to ``wide`` after the places ``at``; what is left out becomes ``wide`` zeros.
-
-    No stretches that lie farther apart than BRIDGE allows come nearer by this.
-    """
+def cut_down(doc, at, n: int = SHINGLE):
+    """The words of the shingles at the places ``at`` and of gaps that a bridge may span; a 0 for all that is left out."""
     import numpy as np
 
+    at = np.unique(at)
     keep = np.zeros(len(doc) + 1, dtype=np.int64)
-    np.add.at(keep, np.maximum(at - wide, 0), 1)
-    np.add.at(keep, np.minimum(at + SHINGLE + wide, len(doc)), -1)
+    stop = np.minimum(at + n, len(doc))
+    near = np.r_[at[1:] - stop[:-1] <= 2 * BRIDGE, False]
+    stop[near] = np.maximum(stop[near], np.r_[at[1:], 0][near])
+    np.add.at(keep, at, 1)
+    np.add.at(keep, stop, -1)
     keep = np.cumsum(keep[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.r_[False, keep, False]))
-    gap = np.zeros(wide, dtype=doc.dtype)
+    gap = np.zeros(1, dtype=doc.dtype)
     return np.concatenate([x for a, b in zip(edges[::2], edges[1::2]) for x in (gap, doc[a:b])] or [doc[:0]])
 
 
+def spread_out(cut):
+    """A document that was cut down, with more room at each cut than a bridge can span."""
+    import numpy as np
+
+    return np.repeat(cut, np.where(np.asarray(cut) == 0, 2 * BRIDGE + 1, 1))
+
+
 def share(own, doc) -> float:
     """Share of the item's words ``own`` that stand in the document in the item's order, in stretches begun by exact shingles."""
     import numpy as np
@@ -263,7 +272,7 @@ def _common(a, b) -> int:
 
 
 def _scan(batches: Iterator, sizes: list[int], known: Filter, shingled: Filter, least_hits: float) -> Iterator:
-    """(doc, uid, words around known shingles, known marks) of the documents that may hold an item."""
+    """(doc, uid, words of known shingles and of short gaps, known shingles, known marks) of the documents that may hold an item."""
     import numpy as np
     import pyarrow as pa
 
@@ -273,7 +282,7 @@ def _scan(batches: Iterator, sizes: list[int], known: Filter, shingled: Filter,
         lists = batch.column(2)
         offsets = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        rows, kept, keys = [], [], []
+        rows, kept, hits, keys = [], [], [], []
         first = 0
         while first < len(offsets) - 1:
             # so many documents at a time that the arrays stay in the cache's reach
@@ -304,12 +313,19 @@ def _scan(batches: Iterator, sizes: list[int], known: Filter, shingled: Filter,
                 # no chain can cover more than a shingle and a bridge for each shingle found
                 if d in at or len(hit) >= least_hits:
                     rows.append(first + d)
-                    kept.append(cut_down(docs[d], np.concatenate([hit, *at.get(d, [])]), 2 * BRIDGE + 1).view(np.int64))
+                    kept.append(cut_down(docs[d], np.concatenate([hit, *at.get(d, [])])).view(np.int64))
+                    hits.append(np.unique(shingles[d][hit]).view(np.int64))
                     keys.append(np.unique(np.concatenate(own)).view(np.int64))
             first = last
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(y) for y in x])].astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)))
         at_rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), lists(kept), lists(keys)], names=["doc", "uid", "w", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), lists(kept), lists(hits), lists(keys)], names=["doc", "uid", "w", "hits", "keys"])
+
+
+def _step(at: Column, k: Column) -> Column:
+    """Words that the k-th place of a sorted array can cover before the next one, bridge included."""
+    last = F.when(k < F.size(at), F.element_at(at, F.least(k + 1, F.size(at))) - F.element_at(at, k))
+    return F.when(last <= SHINGLE + BRIDGE, last).otherwise(SHINGLE)
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -330,11 +346,11 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
             out = []
             for pid, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size, low, shingles = item_marks(np.array(own, dtype=np.int64).view(np.uint64))
-                out += [(pid, size, x) for x in low] + [(pid, 0, x) for x in shingles]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["pid", "size", "key"])
+                out += [(pid, size, x, 0) for x in low] + [(pid, 0, x, k) for k, x in enumerate(shingles)]
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["pid", "size", "key", "at"])
 
-    marks = written(passages.mapInArrow(marked, "pid long, size int, key long"), "marks")  # size 0: a shingle
+    marks = written(passages.mapInArrow(marked, "pid long, size int, key long, at int"), "marks")  # size 0: a shingle and its place
     counts = {r["size"]: r["count"] for r in marks.groupBy("size").count().collect()}
     sizes = sorted(x for x in counts if x)
     if not sizes:
@@ -343,9 +359,15 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     known, shingled = _filter(marks.where("size > 0"), "key", sum(counts[x] for x in sizes)), _filter(marks.where("size = 0"), "key", counts.get(0, 0))
     sent = send(spark, (sizes, known, shingled, least_share * shortest / (SHINGLE + BRIDGE)))
     prepared = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc"), F.xxhash64(doc_id, text).alias("uid"), words(F.col(text)).alias("w"))
-    found = written(prepared.mapInArrow(lambda batches: _scan(batches, *received(sent)), f"doc {kind}, uid long, w array<long>, keys array<long>"), "suspects")
+    found = written(prepared.mapInArrow(lambda batches: _scan(batches, *received(sent)), f"doc {kind}, uid long, w array<long>, hits array<long>, keys array<long>"), "suspects")
     pairs = found.select("uid", F.explode("keys").alias("key")).join(marks.where("size > 0").select("key", "pid"), "key").select("uid", "pid").distinct()
-    tried = found.select("doc", "uid", "w").join(pairs, "uid").join(passages, "pid").select("doc", "pid", "w", "own")
+    # pairs whose shingles, with bridges, can cover as many of the item's words as a chain needs; a short item's only mark is its shingle
+    held = found.select("uid", F.explode("hits").alias("key")).join(marks.where("size = 0").select("key", "pid", "at"), "key").groupBy("uid", "pid").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    reach = F.aggregate(F.sequence(F.lit(1), F.size("at")), F.lit(0), lambda sum_, k: sum_ + _step(F.col("at"), k))
+    lengths = passages.select("pid", F.size("own").alias("n"))
+    likely = pairs.join(held, ["uid", "pid"], "left").join(lengths, "pid").where((F.col("n") < SHINGLE) | (reach >= F.col("n") * least_share))
+    likely = written(likely.select("uid", "pid"), "likely")
+    tried = found.select("doc", "uid", "w").join(likely, "uid").join(passages, "pid").select("doc", "pid", "w", "own")
 
     def verified(batches: Iterator) -> Iterator:
         import numpy as np
@@ -353,7 +375,8 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
         for batch in batches:
             cut = [(x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)) for x in (batch.column(2), batch.column(3))]
-            shares = [share(*(v[o[k] : o[k + 1]] for o, v in reversed(cut))) for k in range(batch.num_rows)]
+            docs, owns = ([v[o[k] : o[k + 1]] for k in range(batch.num_rows)] for o, v in cut)
+            shares = [share(own, spread_out(doc)) for doc, own in zip(docs, owns)]
             keep = np.flatnonzero(np.array(shares) >= least_share)
             at = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([shares[k] for k in keep], pa.float64())], names=["doc", "pid", "share"])

@@ -439,7 +439,7 @@ def test_stretches_far_apart_are_chained():
     doc = np.array([*fill(30), *item[10:32], *between, *fill(20), *item[40:62], *fill(30)], dtype=np.uint64)
     assert leaks.share(item, doc) == 0.44
     hits = np.flatnonzero(np.isin(leaks.shingle_hashes(doc), leaks.shingle_hashes(item)))
-    assert leaks.share(item, leaks.cut_down(doc, hits, 17)) == 0.44
+    assert leaks.share(item, leaks.spread_out(leaks.cut_down(doc, hits))) == 0.44
 
 
 def test_hundreds_of_stock_runs_between_two_stretches(spark):
