@@ -1,15 +1,13 @@
 """Text that was decoded with the wrong encoding: find it, undo the chain of wrong steps, restore what can be restored.
 
 A multinomial classifier (naive Bayes over hashed byte bigrams) is trained on synthetically garbled sentences: sentences
-of a bounded sample (about SAMPLE_ROWS texts, by hash) are put through every chain of CHAINS, so each example's exact chain is
-known. Every sentence with suspicious characters, of every text, is then classified; the most probable chain is undone
-step by step and accepted only if each step decodes strictly and the outcome isn't classed as garbled again.
+of a bounded sample (about SAMPLE_ROWS texts, by the hash of their ids) are put through every chain of CHAINS, so each example's
+exact chain is known. The counts are made and summed in Spark; the driver gets the table of (chain, bucket).
 
-What is suspicious costs nothing to find: wrongly decoded bytes above 127 come in runs of two or more non-ASCII
-characters, and lost characters leave U+FFFD. Western text of one byte a character that was read with another such set
-(WESTERN) has single wrong characters instead: Cyrillic letters touching Latin ones, signs between letters, capitals after
-small letters. Correct foreign letters also pass these tests and are then told apart by the classifier and the strict
-decoding.
+Every text with a non-ASCII character is then scored word by word, "clean" being one of the classes. Where a word is more
+probable under some chain than as clean text, its sentence is classified, and the most probable chain that each step decodes
+strictly and that gives plausible text is undone, layer by layer until none is left. Western text of one byte a character that
+was read with another such set (WESTERN) is undone word by word, as its wrong characters are single ones.
 
 Null and empty texts are left alone. A sentence with U+FFFD, or with a mis-read quotation mark that has lost its last
 byte, counts as garbled; its other characters stay.
@@ -23,18 +21,20 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import received, send
+from inkwell.session import received, send, task_slots
 
 SAMPLE_ROWS, SAMPLE_SENTENCES = 3_000, 12
 BUCKETS = 1 << 14
 SMOOTHING = 0.02
+#: Bytes that are scored at a time, so that the arrays stay small.
+SCREEN_BYTES = 1 << 21
+NON_ASCII = r"[^\x00-\x7f]"
 #: What follows a non-ASCII character that is odd in its word: Cyrillic touching Latin letters, a sign between letters, an
-#: accented capital after a small letter. Signs that stand between letters in correct text as well are left out. The patterns
-#: begin with the rare character and look back from there, as ASCII text is then passed over quickly; Java reads them alike.
+#: accented capital after a small letter. Signs that stand between letters in correct text as well are left out.
 _SIGN = r"[^\x00-\x7fÀ-ÖØ-öø-ɏЀ-ӿ\u0300-\u036f’‘“”‐-―…·´±≤≥×°µ®™ﬀ-ﬄ\u00a0\u00ad\u2000-\u200b�]"
-_ODD = rf"(?<=[Ѐ-ӿ])(?=[A-Za-z])|(?<=[A-Za-z][Ѐ-ӿ])|(?<=[A-Za-z]{_SIGN})(?=[a-z])|(?<=[a-z][À-ÖØ-Þ])"
-ODD = rf"[^\x00-\x7f](?:{_ODD})"
-SUSPICIOUS = rf"[^\x00-\x7f](?:(?=[^\x00-\x7f])|(?<=�)|{_ODD})"
+ODD = rf"[^\x00-\x7f](?:(?<=[Ѐ-ӿ])(?=[A-Za-z])|(?<=[A-Za-z][Ѐ-ӿ])|(?<=[A-Za-z]{_SIGN})(?=[a-z])|(?<=[a-z][À-ÖØ-Þ]))"
+#: Where words end: white space, quotation marks and dashes, which may be correct beside a garbled word.
+GAPS = re.compile(r"([ \t\r\n’‘“”«»–—]+)")
 
 
 def _cp1252(b: bytes) -> str:
@@ -123,25 +123,63 @@ def bigrams(s: str):
     return ((b[:-1] * 257 + b[1:])[keep] * 40_503) % BUCKETS
 
 
+def garbled_counts(clean: list[str]):
+    """(counts of each bucket for clean text and for each chain, characters of the clean text) of sentences, garbled ones left out."""
+    import numpy as np
+
+    counts, known = np.zeros((1 + len(CHAINS), BUCKETS)), set()
+    for s in clean:
+        if re.search("[\x80-\x9f�]", s) or any(undo(w, c) for c in CHAINS if c.startswith("utf-8") for w in s.split(" ") if re.search(r"[^\x00-\x7f]{2}", w)) or re.search("[a-z][Ѐ-ӿ]|[Ѐ-ӿ][a-z]", s):
+            continue  # garbled already
+        known.update(c for c in s if c > "\x9f")
+        np.add.at(counts[0], bigrams(s), 1)
+        for k, chain in enumerate(CHAINS, 1):
+            bad = garble(s, chain)
+            if bad is not None and bad != s and (chain.startswith("utf-8") or _mostly_cyrillic(s) != (chain in WESTERN)):
+                np.add.at(counts[k], bigrams(bad), 1)
+    return counts, known
+
+
 class ChainClassifier:
     """Multinomial naive Bayes: log probability of each bucket for each chain."""
 
-    def __init__(self, clean: list[str]):
+    def __init__(self, clean: list[str] | tuple = (), counts=None, known: set[str] | None = None):
         import numpy as np
 
         self.names = [CLEAN, *CHAINS]
-        counts = np.full((len(self.names), BUCKETS), SMOOTHING)
-        self.known = {c for x in SEEDS for c in x if c > "\x7f"}
-        for s in clean:
-            if re.search("[\x80-\x9f�]", s) or any(undo(w, c) for c in CHAINS if c.startswith("utf-8") for w in s.split(" ") if re.search(r"[^\x00-\x7f]{2}", w)) or re.search("[a-z][Ѐ-ӿ]|[Ѐ-ӿ][a-z]", s):
-                continue  # garbled already
-            self.known.update(c for c in s if c > "\x9f")
-            np.add.at(counts[0], bigrams(s), 1)
-            for k, chain in enumerate(self.names[1:], 1):
-                bad = garble(s, chain)
-                if bad is not None and bad != s and (chain.startswith("utf-8") or _mostly_cyrillic(s) != (chain in WESTERN)):
-                    np.add.at(counts[k], bigrams(bad), 1)
-        self.log = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        own, self.known = garbled_counts(list(clean))
+        self.known |= {c for x in SEEDS for c in x if c > "\x7f"} | (known or set())
+        total = own + SMOOTHING + (0 if counts is None else counts)
+        self.log = np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
+        self.against_clean = self.log[1:] - self.log[0]
+
+    def suspects(self, data, offsets):
+        """For each text of an Arrow string array's bytes: whether some word is more probable under a chain than as clean text."""
+        import numpy as np
+
+        out, first, n = np.zeros(len(offsets) - 1, dtype=bool), 0, len(offsets) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SCREEN_BYTES, side="right")) - 1)
+            b = data[offsets[first] : offsets[last]].astype(np.int64)
+            ends = np.zeros(len(b) + 1, dtype=np.int64)
+            np.add.at(ends, offsets[first : last + 1] - offsets[first], 1)
+            text = np.cumsum(ends[:-1]) - 1 + first
+            pair = np.flatnonzero(((b[:-1] > 127) | (b[1:] > 127)) & (text[:-1] == text[1:])) if len(b) else b
+            if len(pair):
+                bucket = ((b[pair] * 257 + b[pair + 1]) * 40_503) % BUCKETS
+                word = np.cumsum(b <= 32) + text  # a pair with a space belongs to the word beside it
+                word = word[np.where(b[pair] <= 32, pair + 1, np.where(b[pair + 1] <= 32, pair, pair))]
+                starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[pair[1:]] != text[pair[:-1]])])
+                likely = np.add.reduceat(self.against_clean[:, bucket], starts, axis=1).max(0) > 0
+                out[text[pair[starts[likely]]]] = True
+            first = last
+        return out
+
+    def suspect(self, s: str) -> bool:
+        import numpy as np
+
+        data = np.frombuffer(s.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        return not s.isascii() and bool(self.suspects(data, np.array([0, len(data)]))[0])
 
     def ranked(self, s: str) -> list[tuple[str, float]]:
         import numpy as np
@@ -150,13 +188,11 @@ class ChainClassifier:
         return [(self.names[k], float(score[k])) for k in np.argsort(-score)]
 
     def repair(self, s: str) -> tuple[str, list[str]]:
-        """The restored sentence and the chains that were undone; at most three layers."""
-        undone: list[str] = []
-        for _ in range(3):
-            found = self._one(s)
-            if found is None:
-                break
+        """The restored sentence and the chains that were undone, layer by layer until none is left."""
+        undone, seen = [], {s}
+        while (found := self._one(s)) is not None and found[0] not in seen:
             s = found[0]
+            seen.add(s)
             undone.append(found[1])
         return s, undone
 
@@ -169,7 +205,7 @@ class ChainClassifier:
                 continue
             if name.startswith("utf-8"):
                 t = undo(s, name)
-                if t is not None and self.plausible(t) and (value > clean or _telltale(s)):
+                if t is not None and self.plausible(t) and value > clean:
                     return t, name
             elif name not in WESTERN and value > clean and (t := undo(s, name)) is not None and _mostly_cyrillic(t):
                 return t, name
@@ -187,7 +223,7 @@ class ChainClassifier:
 
     def western(self, s: str, known: frozenset[str] = frozenset()) -> tuple[str, str] | None:
         """One of WESTERN undone over the words it hit; a sentence without odd words needs a chain ``known`` from its text."""
-        parts = re.split(r"([ \t\r\n]+)", s)
+        parts = GAPS.split(s)
         beyond = [k for k, w in enumerate(parts) if re.search(r"[^\x00-\x7f]", w)]
         odd = [k for k in beyond if re.search(ODD, parts[k]) and len(re.findall("[A-Za-z]", parts[k])) >= 2]
         if not beyond or not odd and not known:
@@ -231,22 +267,36 @@ def _western_word(t: str) -> bool:
     return all(c < "\x80" or "À" <= c <= "ÿ" and c not in "×÷" or c in "’‘“”„–—…«»" for c in t) and not re.search("[a-zß-ÿ][A-ZÀ-Þ]", t)
 
 
-def _telltale(s: str) -> bool:
-    """Two separate multi-byte patterns of mis-read UTF-8, or control characters of the C1 block."""
-    return bool(re.search(r"[\x80-\x9f]", s)) or len(re.findall(r"[Â-ô][\u0080-¿Œ-ƒˆ˜–-™]", s)) >= 2
-
+def fit(docs: DataFrame, doc_id: str, text: str, sample_rows: int = SAMPLE_ROWS) -> ChainClassifier:
+    """Trained on the sentences with non-ASCII characters of about ``sample_rows`` texts, chosen by the hash of their ids.
 
-def fit(docs: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> ChainClassifier:
-    """Trained on the sentences with non-ASCII characters of about ``sample_rows`` texts, chosen by their hash.
-
-    At most SAMPLE_SENTENCES sentences of each reach the driver, so what it gets is bounded whatever the corpus is.
+    At most SAMPLE_SENTENCES sentences of each of at most 4 * sample_rows texts are taken. They are garbled and counted in
+    the tasks; what the driver gets is bounded by the chains, the buckets and the characters there are.
     """
+    import numpy as np
+
     part = max(1, docs.count() // sample_rows)
-    pieces = F.filter(F.split(text, r"(?<=[.!?]) |(?<=\n)"), lambda x: x.rlike(r"[^\x00-\x7f]") & (F.length(x) < 600))
-    chosen = docs.where(F.col(text).rlike(r"[^\x00-\x7f]") & (F.pmod(F.xxhash64(text), F.lit(part)) == 0))
-    rows = chosen.select(F.slice(pieces, 1, SAMPLE_SENTENCES).alias("s")).limit(4 * sample_rows).collect()
-    clean = {x.strip() for r in rows for x in r.s}
-    return ChainClassifier(sorted(clean) + SEEDS)
+    pieces = F.filter(F.split(text, r"(?<=[.!?]) |(?<=\n)"), lambda x: x.rlike(NON_ASCII) & (F.length(x) < 600))
+    chosen = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(part)) == 0).where(F.col(text).rlike(NON_ASCII)).select(text).limit(4 * sample_rows)
+    clean = chosen.select(F.explode(F.slice(pieces, 1, SAMPLE_SENTENCES)).alias("s")).select(F.trim("s").alias("s")).distinct()
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, known = np.zeros((1 + len(CHAINS), BUCKETS)), set()
+        for batch in batches:
+            counts, chars = garbled_counts(batch.column(0).to_pylist())
+            total += counts
+            known |= chars
+        k, at = np.nonzero(total)
+        chars = np.array(sorted(map(ord, known)), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, np.full(len(chars), -1)], pa.int32()), pa.array(np.r_[at, chars], pa.int64()), pa.array(np.r_[total[k, at], np.ones(len(chars))])], names=["k", "at", "n"])
+
+    rows = clean.repartition(task_slots(docs.sparkSession)).mapInArrow(count, "k int, at long, n double").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    k, at, n = (rows.column(c).to_numpy() for c in ("k", "at", "n"))
+    counts = np.zeros((1 + len(CHAINS), BUCKETS))
+    counts[k[k >= 0], at[k >= 0]] = n[k >= 0]
+    return ChainClassifier(SEEDS, counts, {chr(x) for x in at[k < 0]})
 
 
 #: Sentences with the characters of languages that a sample may lack (fixed values).
@@ -263,39 +313,48 @@ SEEDS = [
 
 def repair_text(text: str, model: ChainClassifier) -> tuple[str, list[str], bool]:
     """(restored text, chains, whether characters are lost for good)."""
-    if not text or not re.search(SUSPICIOUS, text):
+    if not text or text.isascii():
         return text, [], False
     out, chains, lost = [], [], False
     for s in sentences(text):
-        if re.search(SUSPICIOUS, s):
+        if not s.isascii():
             lost = lost or "�" in s or bool(re.search(r"â€(?=[\s.,;:)]|$)", s))
-            s, undone = model.repair(s)
-            chains += undone
+            if model.suspect(s):
+                s, undone = model.repair(s)
+                chains += undone
         out.append(s)
     known = frozenset(chains) & WESTERN
     if known:
-        out = [found[0] if re.search(r"[^\x00-\x7f]", s) and not _mostly_cyrillic(s) and (found := model.western(s, known)) else s for s in out]
+        out = [found[0] if not s.isascii() and not _mostly_cyrillic(s) and (found := model.western(s, known)) else s for s in out]
     return "".join(out), sorted(set(chains)), lost
 
 
 def garbled_texts(docs: DataFrame, doc_id: str, text: str, model: ChainClassifier | None = None) -> DataFrame:
     """(doc, chains, lost, restored): one row for each text that was garbled wholly or in places.
 
-    Narrow: one pass, no shuffle; only texts with suspicious characters reach Python. Rows with the same id are judged
-    one by one.
+    Narrow: one pass, no shuffle. All texts with a non-ASCII character are scored, as whole arrays of bytes; those with a
+    suspect word, or with U+FFFD, are decoded and repaired. Rows with the same id are judged one by one.
     """
-    model = model or fit(docs, text)
+    model = model or fit(docs, doc_id, text)
     sent = send(docs.sparkSession, model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         m = received(sent)
         for batch in batches:
             keep, chains, lost, restored = [], [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                fixed, found, gone = repair_text(t, m)
+            column = batch.column(1)
+            _, offsets, data = column.buffers()
+            offsets = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            wanted = pc.match_substring(column, "�").to_numpy(zero_copy_only=False).astype(bool)
+            if data is not None and len(column):
+                wanted |= m.suspects(np.frombuffer(data, dtype=np.uint8), offsets)
+            for k in np.flatnonzero(wanted).tolist():
+                fixed, found, gone = repair_text(column[k].as_py(), m)
                 if found or gone:
                     keep.append(k)
                     chains.append(found)
@@ -305,5 +364,5 @@ def garbled_texts(docs: DataFrame, doc_id: str, text: str, model: ChainClassifie
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(lost, pa.bool_()), pa.array(restored, pa.string())], names=["doc", "chains", "lost", "restored"]
             )
 
-    picked = docs.where(F.col(text).rlike(SUSPICIOUS)).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
+    picked = docs.where(F.col(text).rlike(NON_ASCII)).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     return picked.mapInArrow(run, f"doc {kind}, chains array<string>, lost boolean, restored string")

@@ -188,7 +188,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").select("doc_id", "text")
-    return encodings.garbled_texts(spread(docs), "doc_id", "text", encodings.fit(docs, "text"))
+    return encodings.garbled_texts(spread(docs), "doc_id", "text", encodings.fit(docs, "doc_id", "text"))
 
 
 QUERIES = {
