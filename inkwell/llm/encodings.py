@@ -164,11 +164,14 @@ class ChainClassifier:
             ends = np.zeros(len(b) + 1, dtype=np.int64)
             np.add.at(ends, offsets[first : last + 1] - offsets[first], 1)
             text = np.cumsum(ends[:-1]) - 1 + first
-            pair = np.flatnonzero(((b[:-1] > 127) | (b[1:] > 127)) & (text[:-1] == text[1:])) if len(b) else b
+            gap = b <= 32
+            mark = np.flatnonzero((b[:-2] == 0xE2) & (b[1:-1] == 0x80))  # quotation marks, dashes and the like
+            for k in range(3):
+                gap[mark + k] = True
+            pair = np.flatnonzero(((b[:-1] > 127) | (b[1:] > 127)) & (text[:-1] == text[1:]) & ~(gap[:-1] & gap[1:])) if len(b) else b
             if len(pair):
                 bucket = ((b[pair] * 257 + b[pair + 1]) * 40_503) % BUCKETS
-                word = np.cumsum(b <= 32) + text  # a pair with a space belongs to the word beside it
-                word = word[np.where(b[pair] <= 32, pair + 1, np.where(b[pair + 1] <= 32, pair, pair))]
+                word = (np.cumsum(gap) + text)[np.where(gap[pair], pair + 1, pair)]  # a pair with a gap belongs to the word beside it
                 starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[pair[1:]] != text[pair[:-1]])])
                 likely = np.add.reduceat(self.against_clean[:, bucket], starts, axis=1).max(0) > 0
                 out[text[pair[starts[likely]]]] = True
