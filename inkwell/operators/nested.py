@@ -8,6 +8,9 @@ schema path (``body_text.cite_spans``) form one table.
 Nulls: null containers, elements and map values make no node, but null elements count in the positions. Empty arrays
 make no node. Blank text is kept in ``leaves``; ``filled`` says whether any text leaf of the node's own object (with
 its nested structs, without its arrays and maps) is neither null nor blank.
+
+``labelled_tables`` makes all tables in one pass over the records, grouping the nodes by schema path; ``record_tables`` reads
+for each table only the columns it needs, which is cheaper where one table is wanted. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.session import written
+
 BLANK = r"(?U)^\s*$"
 NODE = T.ArrayType(
     T.StructType(
@@ -28,17 +33,21 @@ NODE = T.ArrayType(
             T.StructField("label", T.ArrayType(T.StringType())),
             T.StructField("filled", T.BooleanType()),
             T.StructField("own", T.BooleanType()),
+            T.StructField("leaves", T.StringType()),
         ]
     )
 )
+#: Leaves travel as JSON between the one pass and the tables; times keep their microseconds.
+LEAVES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 @dataclass(frozen=True)
 class Wanted:
-    """A schema path that becomes a table. ``own_text``: name of the text leaf whose blankness is reported as ``own``."""
+    """A schema path that becomes a table. ``own_text``: name of the text leaf whose blankness is reported as ``own``; ``leaves``: whether its leaves go with it."""
 
     path: str
     own_text: str = ""
+    leaves: bool = False
 
 
 def not_blank(c: Column) -> Column:
@@ -64,8 +73,12 @@ def _own(path: str, c: Column, kind: T.DataType, wanted: dict[str, Wanted], keep
     return keep
 
 
-def _node(path: str, label: Column, c: Column, kind: T.DataType, own: Column) -> Column:
-    return F.struct(F.lit(path).alias("path"), label.alias("label"), _text_filled(c, kind).alias("filled"), own.alias("own"))
+def _node(wanted: Wanted, label: Column, c: Column, kind: T.DataType, own: Column) -> Column:
+    leaves = F.lit(None).cast("string")
+    if wanted.leaves:
+        columns = _leaf_columns(c, kind, "") if isinstance(kind, T.StructType) else [c.alias("value")]
+        leaves = F.to_json(F.struct(*columns), LEAVES) if columns else F.lit("{}")
+    return F.struct(F.lit(wanted.path).alias("path"), label.alias("label"), _text_filled(c, kind).alias("filled"), own.alias("own"), leaves.alias("leaves"))
 
 
 def _below(path: str, label: Column, c: Column, kind: T.DataType, wanted: dict[str, Wanted], objects: set[str], keep: Column) -> list[Column]:
@@ -81,7 +94,7 @@ def _below(path: str, label: Column, c: Column, kind: T.DataType, wanted: dict[s
         if isinstance(f.dataType, T.StructType):
             sub = F.concat(label, F.array(F.lit("0"))) if here in objects else label
             if here in wanted:
-                out.append(F.when(value.isNotNull(), F.array(_node(here, sub, value, f.dataType, keep))))
+                out.append(F.when(value.isNotNull(), F.array(_node(wanted[here], sub, value, f.dataType, keep))))
             out += _below(here, sub, value, f.dataType, wanted, objects, keep)
         elif isinstance(f.dataType, T.ArrayType):
             inner = f.dataType.elementType
@@ -106,7 +119,7 @@ def _each_entry(path: str, label: Column, c: Column, kind: T.DataType, wanted: d
 def _all_of(path: str, label: Column, c: Column, kind: T.DataType, wanted: dict[str, Wanted], objects: set[str], keep: Column) -> Column:
     empty = F.array().cast(NODE)
     own = _own(path, c, kind, wanted, keep)
-    parts = [F.array(_node(path, label, c, kind, own)).cast(NODE)] if path in wanted else []
+    parts = [F.array(_node(wanted[path], label, c, kind, own)).cast(NODE)] if path in wanted else []
     parts += [F.coalesce(p.cast(NODE), empty) for p in _below(path, label, c, kind, wanted, objects, own)]
     return F.when(c.isNotNull(), F.concat(*parts) if len(parts) > 1 else parts[0]).otherwise(empty)
 
@@ -117,13 +130,18 @@ def dewey_nodes(df: DataFrame, key: str, wanted: list[Wanted]) -> DataFrame:
     A wanted struct field (not an array element) is a single optional sub-object and gets the label part ``0``.
     Empty input gives an empty table; a null ``key`` is kept.
     """
+    return _nodes(df, key, wanted).select(key, "_node.path", "_node.label", "_node.filled", "_node.own")
+
+
+def _nodes(df: DataFrame, key: str, wanted: list[Wanted], root: Column | None = None) -> DataFrame:
+    """(key, _node): every node of the wanted paths; ``root``: a node for the record itself."""
     by = {w.path: w for w in wanted}
     objects = {w.path for w in wanted}
-    root = T.StructType([f for f in df.schema.fields if any(w.path.split(".")[0] == f.name for w in wanted)])
-    parts = _below("", F.array().cast("array<string>"), None, root, by, objects, F.lit(True))
+    shape = T.StructType([f for f in df.schema.fields if any(w.path.split(".")[0] == f.name for w in wanted)])
+    parts = _below("", F.array().cast("array<string>"), None, shape, by, objects, F.lit(True))
     empty = F.array().cast(NODE)
-    nodes = F.concat(*[F.coalesce(p.cast(NODE), empty) for p in parts])
-    return df.select(F.col(key), F.explode(nodes).alias("_node")).select(key, "_node.path", "_node.label", "_node.filled", "_node.own")
+    nodes = F.concat(*([F.array(root).cast(NODE)] if root is not None else []), *[F.coalesce(p.cast(NODE), empty) for p in parts])
+    return df.select(F.col(key), F.explode(nodes).alias("_node"))
 
 
 def _leaf_text(value: object) -> bool:
@@ -278,10 +296,37 @@ def json_records(df: DataFrame, body: str, shape: T.StructType) -> DataFrame:
     return df.select(*[f.name for f in kept], body).mapInArrow(parse, schema)
 
 
-def paper_tables(typed: DataFrame, raw: DataFrame, key: str = "rec_id") -> dict[str, DataFrame]:
-    """The flat tables of record_tables over typed paper records and those that arrived as JSON text."""
+def paper_tables(typed: DataFrame, raw: DataFrame, key: str = "rec_id", one_pass: bool = False) -> dict[str, DataFrame]:
+    """The flat tables of record_tables (``one_pass``: of labelled_tables) over typed paper records and those that arrived as JSON text."""
     parsed = json_records(raw, "body", typed.schema)
-    return record_tables(typed.unionByName(parsed.select(*[c for c in parsed.columns if c in typed.columns]), allowMissingColumns=True), key, list(PAPER_CHILDREN))
+    both = typed.unionByName(parsed.select(*[c for c in parsed.columns if c in typed.columns]), allowMissingColumns=True)
+    return (labelled_tables if one_pass else record_tables)(both, key, [p for p in PAPER_TABLES if p.split(".")[0] in both.columns])
+
+
+def labelled_tables(df: DataFrame, key: str, wanted: list[str]) -> dict[str, DataFrame]:
+    """The tables of record_tables, ``records`` too, from one pass: every node with its leaves, grouped by schema path.
+
+    The nodes are written once into the shared folder, one sub-folder a path, so a table reads its own nodes only.
+    """
+    flat = _leaves_of_root(df, key)
+    said = F.to_json(F.struct(*flat), LEAVES) if flat else F.lit("{}")
+    root = F.struct(F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("label"), F.lit(False).alias("filled"), F.lit(True).alias("own"), said.alias("leaves"))
+    nodes = _nodes(df, key, [Wanted(p, leaves=True) for p in wanted], root).select(F.col(key).alias("_key"), "_node.path", "_node.label", "_node.leaves")
+    stored = written(nodes, "nodes", by="path")
+    tables = {}
+    shapes = {"": df.select(*flat).schema if flat else T.StructType(), **{p: record_shape(df, p) for p in wanted}}
+    for path, shape in shapes.items():
+        own = stored.where(F.col("path").isNull() if path == "" else F.col("path") == path)
+        leaves = F.from_json("leaves", shape, LEAVES).alias("_l")
+        links = [F.array_join("label", ".").alias("label"), F.array_join(parent_label(F.col("label")), ".").alias("parent_label"), F.element_at("label", -1).alias("ordinal")] if path else []
+        table = own.select(F.col("_key").alias(key), *links, *([leaves] if len(shape) else []))
+        tables[path or "records"] = table.select(*[c for c in table.columns if c != "_l"], *([F.col(f"_l.`{n}`").alias(n) for n in shape.names] if len(shape) else []))
+    return tables
+
+
+def record_shape(df: DataFrame, path: str) -> T.StructType:
+    """The leaf columns of a path's table."""
+    return T.StructType(record_tables(df, df.columns[0], [path])[path].schema.fields[4:])
 
 
 def parent_label(label: Column) -> Column:
@@ -365,6 +410,10 @@ PAPER_CHILDREN = {
 }
 
 
+#: The paths that become flat tables.
+PAPER_TABLES = [*PAPER_CHILDREN, "abstract"]
+
+
 def paper_nodes(typed: DataFrame, raw: DataFrame, key: str = "rec_id") -> DataFrame:
     """(key, path, label, filled, own) of typed paper records and of those that arrived as JSON text."""
     wanted = [Wanted(p, "text" if p == "body_text" else "") for p in PAPER_CHILDREN]

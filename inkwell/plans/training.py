@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators.nested import PAPER_CHILDREN, paper_links, paper_nodes, paper_tables, record_tables
+from inkwell.operators.nested import paper_links, paper_nodes, paper_tables
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -19,16 +19,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and distinct parents of each flat table of pdf_json."""
-    parts = [
-        t.select("rec_id", *([] if name == "records" else ["parent_label"])).agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("rec_id").alias("n_records")
-        )
-        for name, t in record_tables(_read(spark, d, "pdf_json"), "rec_id", list(PAPER_CHILDREN)).items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Rows and records of each flat table of pdf_json and raw_json, all tables made in one labelled pass."""
+    out = None
+    for name, t in paper_tables(_read(spark, d, "pdf_json"), _read(spark, d, "raw_json"), one_pass=True).items():
+        part = t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("rec_id").alias("n_records"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -42,7 +37,7 @@ def _table(path: str) -> Callable[[SparkSession, str], DataFrame]:
 #: The flat tables of pdf_json and raw_json.
 TABLES = {
     "p4_records": "records", "p4_authors": "metadata.authors", "p4_affiliations": "metadata.authors.affiliation", "p4_paragraphs": "body_text",
-    "p4_citations": "body_text.cite_spans", "p4_references": "bib_entries", "p4_reference_authors": "bib_entries.authors",
+    "p4_citations": "body_text.cite_spans", "p4_references": "bib_entries", "p4_reference_authors": "bib_entries.authors", "p4_abstracts": "abstract",
 }
 QUERIES = {"p4_found": p4_found, "p4_table_sizes": p4_table_sizes, **{name: _table(path) for name, path in TABLES.items()}}
 
@@ -84,18 +79,31 @@ UNION ALL SELECT rec_id, 'bib_author', key, k::VARCHAR FROM rf WHERE json_type(y
 
 SQL = {
     "p4_found": _FOUND,
-    "p4_table_sizes": """
+    "p4_table_sizes": f"""
 WITH a AS (SELECT rec_id, unnest(metadata.authors) AS x FROM pdf_json WHERE metadata IS NOT NULL),
 b AS (SELECT rec_id, unnest(body_text) AS x FROM pdf_json),
+s AS (SELECT rec_id, unnest(abstract) AS x FROM pdf_json),
 c AS (SELECT rec_id, unnest(x.cite_spans) AS x FROM b WHERE x IS NOT NULL),
 e AS (SELECT rec_id, unnest(map_values(bib_entries)) AS x FROM pdf_json),
-f AS (SELECT rec_id, unnest(x.authors) AS x FROM e WHERE x IS NOT NULL)
-SELECT 'records' AS table_name, count(*)::BIGINT AS n_rows, count(DISTINCT rec_id)::BIGINT AS n_records FROM pdf_json
-UNION ALL SELECT 'metadata.authors', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM a WHERE x IS NOT NULL
-UNION ALL SELECT 'metadata.authors.affiliation', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM a WHERE x.affiliation IS NOT NULL
-UNION ALL SELECT 'body_text', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM b WHERE x IS NOT NULL
-UNION ALL SELECT 'body_text.cite_spans', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM c WHERE x IS NOT NULL
-UNION ALL SELECT 'bib_entries', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM e WHERE x IS NOT NULL
-UNION ALL SELECT 'bib_entries.authors', count(*)::BIGINT, count(DISTINCT rec_id)::BIGINT FROM f WHERE x IS NOT NULL
+f AS (SELECT rec_id, unnest(x.authors) AS x FROM e WHERE x IS NOT NULL),
+v AS (SELECT rec_id, body::JSON AS j FROM raw_json WHERE json_valid(body)),
+o AS (SELECT * FROM v WHERE json_type(j) = 'OBJECT'),
+ra AS (SELECT rec_id, unnest({_LIST.format("json_extract(j, '$.metadata.authors')")}) AS x FROM o),
+rb AS (SELECT rec_id, unnest({_LIST.format("json_extract(j, '$.body_text')")}) AS x FROM o),
+rs AS (SELECT rec_id, unnest({_LIST.format("json_extract(j, '$.abstract')")}) AS x FROM o),
+rc AS (SELECT rec_id, unnest({_LIST.format("json_extract(x, '$.cite_spans')")}) AS x FROM rb WHERE json_type(x) = 'OBJECT'),
+rk AS (SELECT rec_id, j, unnest(json_keys(json_extract(j, '$.bib_entries'))) AS key FROM o WHERE json_type(json_extract(j, '$.bib_entries')) = 'OBJECT'),
+re AS (SELECT rec_id, json_extract(j, '$.bib_entries.' || '"' || key || '"') AS x FROM rk),
+rf AS (SELECT rec_id, unnest({_LIST.format("json_extract(x, '$.authors')")}) AS x FROM re WHERE json_type(x) = 'OBJECT'),
+l AS (SELECT 'records' AS t, rec_id FROM pdf_json UNION ALL SELECT 'records', rec_id FROM o
+UNION ALL SELECT 'metadata.authors', rec_id FROM a WHERE x IS NOT NULL UNION ALL SELECT 'metadata.authors', rec_id FROM ra WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT 'metadata.authors.affiliation', rec_id FROM a WHERE x.affiliation IS NOT NULL
+UNION ALL SELECT 'metadata.authors.affiliation', rec_id FROM ra WHERE json_type(json_extract(x, '$.affiliation')) = 'OBJECT'
+UNION ALL SELECT 'abstract', rec_id FROM s WHERE x IS NOT NULL UNION ALL SELECT 'abstract', rec_id FROM rs WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT 'body_text', rec_id FROM b WHERE x IS NOT NULL UNION ALL SELECT 'body_text', rec_id FROM rb WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT 'body_text.cite_spans', rec_id FROM c WHERE x IS NOT NULL UNION ALL SELECT 'body_text.cite_spans', rec_id FROM rc WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT 'bib_entries', rec_id FROM e WHERE x IS NOT NULL UNION ALL SELECT 'bib_entries', rec_id FROM re WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT 'bib_entries.authors', rec_id FROM f WHERE x IS NOT NULL UNION ALL SELECT 'bib_entries.authors', rec_id FROM rf WHERE json_type(x) <> 'NULL')
+SELECT t AS table_name, count(*)::BIGINT AS n_rows, count(DISTINCT rec_id)::BIGINT AS n_records FROM l GROUP BY t
 """,
 }

@@ -46,10 +46,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests) an own one is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only on a local master (tests) an own one is made where it is unset."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="inkwell-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
@@ -63,13 +65,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written once as zstd Parquet into the shared folder and read back.
+def written(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
+    """``df`` written once as zstd Parquet into the shared folder and read back; ``by``: a column with few values, one folder each.
 
     Cuts the lineage, survives the loss of executors and lets several consumers read what was computed once.
     """
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -68,5 +68,28 @@ def test_tables_have_the_labels_of_the_nodes(spark, data):
     typed, bodies = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pdf_json", "raw_json"))
     nodes = {(r.rec_id, r.path, ".".join(r.label)) for r in paper_nodes(typed, bodies).collect()}
     tables = paper_tables(typed, bodies)
-    assert nodes == {(r.rec_id, path, r.label) for path, t in tables.items() if path != "records" for r in t.select("rec_id", "label").collect()}
+    assert nodes == {(r.rec_id, path, r.label) for path, t in tables.items() if path not in ("records", "abstract") for r in t.select("rec_id", "label").collect()}
     assert {r.rec_id for r in tables["records"].collect()} >= {r[0] for r in nodes} and {r.rec_id for r in bodies.collect()} & {r[0] for r in nodes}
+
+
+def test_one_pass_gives_the_same_tables_and_no_leaf_is_lost(spark, data):
+    typed, bodies = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pdf_json", "raw_json"))
+    one, each = paper_tables(typed, bodies, one_pass=True), paper_tables(typed, bodies)
+    assert set(one) == set(each) and len(one) == 8
+    for name in each:
+        assert one[name].columns == each[name].columns
+        assert sorted(map(str, one[name].collect())) == sorted(map(str, each[name].collect())), name
+
+    def leaves(v, at_root=False):
+        if isinstance(v, dict):
+            return sum(leaves(x) for k, x in v.items() if not (at_root and k == "rec_id"))
+        if isinstance(v, list):
+            return sum(leaves(x) for x in v) if any(isinstance(x, (dict, list)) for x in v) else bool([x for x in v if x is not None])
+        return int(v is not None)
+
+    true = sum(leaves(r.asDict(recursive=True), True) for r in typed.collect())
+    tables = paper_tables(typed, bodies.limit(0), one_pass=True)
+    links = {"rec_id", "label", "parent_label", "ordinal"}
+    # the authors' table repeats the leaves of its affiliations
+    got = sum(leaves({k: v for k, v in r.asDict(recursive=True).items() if k not in links and not k.startswith("affiliation_")}) for t in tables.values() for r in t.collect())
+    assert got == true

@@ -127,3 +127,15 @@ def test_counter_equals_python(spark, data):
 
     true = Counter(w for r in df.select("text").collect() if r.text for w in python_tokens(r.text))
     assert {r.word: r["count"] for r in wordcount.word_counts(df, "text").collect()} == dict(true)
+
+
+def test_no_own_folder_on_a_cluster(monkeypatch):
+    from inkwell import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(type("S", (), {"sparkContext": Context})())
