@@ -77,18 +77,17 @@ def _best(batches: Iterator, block: tuple, k: int) -> Iterator:
     q = np.array([vectors[n] for n in usable])
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     names = [ids[n] for n in usable]
+    asked = pd.DataFrame({"name": names, "q": range(len(names))})
     for pdf in batches:
         pdf = pdf[[v is not None and len(v) == q.shape[1] and bool(np.any(v)) for v in pdf["vec"]]]
         if not len(pdf):
             continue
         x = np.stack(pdf["vec"].to_list())
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        keys, scores = pdf["key"].to_list(), q @ x.T
-        for n, name in enumerate(names):
-            s = scores[n].copy()
-            for m, other in enumerate(keys):
-                if other == name:
-                    s[m] = -2.0
-            kth = np.sort(s)[-min(k, len(s))]
-            keep = [m for m in np.flatnonzero((s >= kth) & (s > -2.0))]
-            yield pd.DataFrame({"query": [name] * len(keep), "other": [keys[m] for m in keep], "cosine": s[keep]})
+        keys, scores = pdf["key"].to_numpy(), q @ x.T
+        own = asked.merge(pd.DataFrame({"name": keys, "b": range(len(keys))}), on="name")
+        scores[own["q"], own["b"]] = -2.0  # a row isn't its own neighbour
+        n = min(k, scores.shape[1])
+        kth = np.partition(scores, -n, axis=1)[:, -n]
+        at_q, at_b = np.nonzero((scores >= kth[:, None]) & (scores > -2.0))
+        yield pd.DataFrame({"query": np.array(names, dtype=object)[at_q], "other": keys[at_b], "cosine": scores[at_q, at_b]})
