@@ -1,37 +1,45 @@
 """The k most similar vectors of every vector, by multi-index hashing of learned rotated binary codes.
 
-A rotation is learned (iterative quantisation) on a bounded sample; the signs of the rotated vector are its code of BITS
-bits. The code is split into substrings of SUBSTRING bits, each of which is indexed. Two codes within Hamming distance r
-agree in one of the m substrings up to r // m bits (pigeonhole; the first r % m + 1 substrings up to r // m, the others up
-to one less), so probing every substring's table with all its neighbours retrieves every code within the radius. Those
-are reranked by the float vectors. No number of candidates is capped: where a block's buckets are so full that probing
-would look at more than DENSE_SHARE of the block (near copies, hot topics), the block is scored whole instead.
-
-Vectors that are equal after scaling form a class that is searched once. Classes are spread over blocks by hash; every
-pair of blocks is one task with its index in memory. A row is shipped (number of blocks + 1) times, so below some tens of
-blocks this moves less than sending every probe as a row (some thousand probes a row) would, and no task depends on skew.
-
-Null and zero vectors take no part, nor do vectors with nulls, NaN or another length than the first. Ties go to the
-smaller id. Repeated ids are taken once, with the smallest vector.
+A rotation is learned (iterative quantisation) on a bounded sample; the signs of the rotated vector are its code. The code is
+split into m substrings, each of which is indexed: a code is filed in every substring's table under its value and all values
+one bit away. Two codes whose substrings differ in two bits or less meet in a table, so by the pigeonhole principle every
+code within a Hamming distance of 3 m - 1 is retrieved; of those beyond, as many as have one near substring, up to the share
+CUT of the bits. They are reranked by the float vectors. A substring has one bit more than the logarithm of the rows, so a
+table's buckets keep the same size whatever the number of rows; longer substrings go with more of them.
+
+The tables are rows (substring and value, code) that are shuffled once by value and joined with themselves: what is moved is
+in proportion to rows x probes. Distances are counted in the join, so only near pairs leave it. Buckets of more than
+HOT_ROWS rows (near copies, hot topics) are left out of the join and scored whole, in blocks, by the float vectors, each row keeping
+its k best of each block. No number of candidates is capped.
+
+Vectors that are equal after scaling form a class that is searched once. Null and zero vectors take no part, nor do vectors
+with nulls, NaN or another length than the usual one. Ties go to the smaller id. Repeated ids are taken once, with the smallest vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import received, send, task_slots, written
+from inkwell.session import received, send, spread, written
 
-BITS, SUBSTRING, RADIUS = 64, 16, 19
+LEAST_SUBSTRINGS, LEAST_BITS, USUAL_BITS = 8, 8, 16
+#: Share of a code's bits that may differ between candidates.
+CUT = 0.265
 SAMPLE_ROWS = 8_192
-BLOCK_ROWS, LEAST_BLOCK = 32_768, 1_500
-DENSE_SHARE = 0.3
+HOT_ROWS, BLOCK_ROWS = 8_192, 8_192
 ITERATIONS = 30
 
 
-def learn_rotation(sample, bits: int = BITS, iterations: int = ITERATIONS):
+def scheme(rows: int) -> tuple[int, int]:
+    """(substrings, bits of each) for so many rows: a bit more than their logarithm; beyond USUAL_BITS more substrings."""
+    bits = min(31, max(LEAST_BITS, (max(rows, 1) - 1).bit_length() + 1))
+    return LEAST_SUBSTRINGS + 2 * max(0, bits - USUAL_BITS), bits
+
+
+def learn_rotation(sample, bits: int, iterations: int = ITERATIONS):
     """Projection of unit vectors whose signs lose the least: principal axes, then the rotation nearest to its own signs."""
     import numpy as np
 
@@ -51,97 +59,43 @@ def learn_rotation(sample, bits: int = BITS, iterations: int = ITERATIONS):
 
 
 def codes_of(units, projection):
-    """One unsigned 64-bit word for each 64 bits of a code: (rows, words)."""
+    """Unsigned 64-bit words of the codes, filled up with zeros: (rows, words)."""
     import numpy as np
 
     bits = units @ projection > 0
-    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
-
+    padded = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=bool)
+    padded[:, : bits.shape[1]] = bits
+    return np.packbits(padded, axis=1).view(">u8").astype(np.uint64)
 
-def masks(bits: int, radius: int):
-    """All words of ``bits`` bits with at most ``radius`` ones."""
-    from itertools import combinations
 
+def substrings(units, projection, m: int, bits: int):
+    """Values of the m substrings of each code: (rows, m)."""
     import numpy as np
 
-    return np.array([sum(1 << k for k in c) for n in range(radius + 1) for c in combinations(range(bits), n)], dtype=np.int64)
+    on = (units @ projection > 0)[:, : m * bits].reshape(len(units), m, bits)
+    return on @ (1 << np.arange(bits, dtype=np.int64))
 
 
-class MultiIndex:
-    """Index of a block of codes: for each substring the rows by its value."""
-
-    def __init__(self, codes, radius: int = RADIUS, substring: int = SUBSTRING):
-        import numpy as np
-
-        self.codes, self.radius, self.bits = codes, radius, substring
-        self.pieces = self.split(codes)
-        m = len(self.pieces)
-        self.reach = [radius // m if k <= radius % m else radius // m - 1 for k in range(m)]
-        self.masks = {r: masks(substring, r) for r in set(self.reach) if r >= 0}
-        self.order = [np.argsort(p, kind="stable") for p in self.pieces]
-        self.start = [np.searchsorted(p[o], np.arange((1 << substring) + 1)) for p, o in zip(self.pieces, self.order)]
-
-    def split(self, codes):
-        import numpy as np
-
-        per = 64 // self.bits
-        return [((codes[:, w] >> np.uint64(self.bits * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64) for w in range(codes.shape[1]) for k in range(per)]
-
-    def within(self, queries, most: int):
-        """(query, row) of every pair within the radius, or None if more than ``most`` rows would have to be looked at."""
-        import numpy as np
-
-        found, looked = [], 0
-        for piece, order, start, reach in zip(self.split(queries), self.order, self.start, self.reach):
-            if reach < 0:
-                continue
-            values = piece[:, None] ^ self.masks[reach]
-            first, count = start[values].ravel(), (start[values + 1] - start[values]).ravel()
-            looked += int(count.sum())
-            if looked > most:
-                return None
-            hit = np.flatnonzero(count)
-            first, count = first[hit], count[hit]
-            total = int(count.sum())
-            inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            row = order[np.repeat(first, count) + inner]
-            query = np.repeat(hit // values.shape[1], count)
-            near = np.bitwise_count(queries[query] ^ self.codes[row]).sum(axis=1) <= self.radius
-            found.append(query[near] * len(self.codes) + row[near])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-        return pairs // len(self.codes), pairs % len(self.codes)
-
-
-def block_neighbours(units_a, codes_a, units_b, codes_b, k: int, same: bool, exact: bool, chunk: int = 512) -> tuple:
+def block_neighbours(units_a, units_b, k: int, same: bool, chunk: int = 512) -> tuple:
     """(row of a, row of b, cosine): the pairs that are among the k best of either row within the two blocks."""
     import numpy as np
 
-    index = None if exact else MultiIndex(codes_b)
     out = []
     for at in range(0, len(units_a), chunk):
         part = units_a[at : at + chunk]
-        pairs = None if exact else index.within(codes_a[at : at + chunk], int(DENSE_SHARE * len(part) * len(units_b)) + 50_000)
-        if pairs is None:
-            scores = part @ units_b.T
-            if same:
-                scores[np.arange(len(part)), at + np.arange(len(part))] = -2.0
-            n = min(k, scores.shape[1])
-            best_b = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            q, b = np.repeat(np.arange(len(part)), n), best_b.ravel()
-            if not same:  # the other block's rows need their best too
-                best_a = np.argpartition(-scores, min(k, len(part)) - 1, axis=0)[: min(k, len(part))]
-                both = np.unique(np.r_[q * len(units_b) + b, best_a.ravel() * len(units_b) + np.tile(np.arange(scores.shape[1]), best_a.shape[0])])
-                q, b = both // len(units_b), both % len(units_b)
-            c = scores[q, b]
-        else:
-            q, b = pairs
-            if same:
-                keep = q + at != b
-                q, b = q[keep], b[keep]
-            c = np.empty(len(q), dtype=np.float32)
-            for i in range(0, len(q), 100_000):
-                c[i : i + 100_000] = np.einsum("ij,ij->i", part[q[i : i + 100_000]], units_b[b[i : i + 100_000]])
-        out.append((q + at, b, c))
+        scores = part @ units_b.T
+        if same:
+            scores[np.arange(len(part)), at + np.arange(len(part))] = -2.0
+        n = min(k, scores.shape[1])
+        best_b = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        q, b = np.repeat(np.arange(len(part)), n), best_b.ravel()
+        if not same:  # the other block's rows need their best too
+            best_a = np.argpartition(-scores, min(k, len(part)) - 1, axis=0)[: min(k, len(part))]
+            both = np.unique(np.r_[q * len(units_b) + b, best_a.ravel() * len(units_b) + np.tile(np.arange(scores.shape[1]), best_a.shape[0])])
+            q, b = both // len(units_b), both % len(units_b)
+        c = scores[q, b]
+        keep = c > -2.0
+        out.append((q[keep] + at, b[keep], c[keep]))
     a, b, c = (np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3))
     a, b = a.astype(np.int64), b.astype(np.int64)
     keep = _first_k(a, c, k)
@@ -165,7 +119,7 @@ def _first_k(group, score, k: int):
     return out
 
 
-def _encode(batches: Iterator, projection) -> Iterator:
+def _encode(batches: Iterator, projection, m: int, bits: int) -> Iterator:
     import numpy as np
     import pandas as pd
     import xxhash
@@ -183,71 +137,111 @@ def _encode(batches: Iterator, projection) -> Iterator:
                 units.append(v / n)
         u = np.stack(units).astype(np.float32) if units else np.zeros((0, dim), dtype=np.float32)
         same = [xxhash.xxh3_64_intdigest((np.round(x, 6) + 0.0).tobytes()) - (1 << 63) for x in u]
-        yield pd.DataFrame({"id": ids, "same": np.array(same, dtype=np.int64), "unit": [x.tobytes() for x in u], "code": [x.tobytes() for x in codes_of(u, projection)]})
+        yield pd.DataFrame({"id": ids, "same": np.array(same, dtype=np.int64), "unit": [x.tobytes() for x in u], "code": list(codes_of(u, projection).view(np.int64)), "parts": list(substrings(u, projection, m, bits))})
+
+
+def filed(m: int, bits: int) -> Column:
+    """Keys under which a code is filed, from its column ``parts``: each substring's value and all values one bit away."""
+    masks = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << k for k in range(bits))]])
+    return F.flatten(F.transform("parts", lambda v, k: F.transform(masks, lambda x: F.shiftleft(k.cast("long"), 32).bitwiseOR(v.bitwiseXOR(x)))))
+
 
+def _hot_keys(classes: DataFrame, m: int, bits: int, hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, from the counts of the values themselves; of keys with the same rows one is enough."""
+    own = classes.select(F.posexplode("parts").alias("k", "v"), F.col("same").alias("s")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+    masks = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << k for k in range(bits))]])
+    near = own.select(F.explode(F.transform(masks, lambda x: F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").bitwiseXOR(x)))).alias("key"), "n", "s")
+    return near.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where(F.col("n") > hot_rows)
 
-def nearest(df: DataFrame, uid: str, vec: str, k: int = 3, exact: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, other, cosine, rank): for each vector its k most similar others, as far as their codes are within the radius.
 
-    ``exact``: score all pairs of blocks instead, to measure the recall of the index.
-    """
+def nearest(df: DataFrame, uid: str, vec: str, k: int = 3, sample_rows: int = SAMPLE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, other, cosine, rank): for each vector its k most similar others, as far as their codes meet in the index."""
     import numpy as np
 
     spark = df.sparkSession
     kind = df.schema[uid].dataType.simpleString()
     rows = df.where(F.col(uid).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))).select(F.col(uid).alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    empty = spark.createDataFrame([], f"id {kind}, other {kind}, cosine double, rank int")
     n_rows = rows.count()
     if not n_rows:
-        return empty
+        return spark.createDataFrame([], f"id {kind}, other {kind}, cosine double, rank int")
     part = max(1, n_rows // sample_rows)
     sample = [r.vec for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).limit(4 * sample_rows).collect()] or [rows.first().vec]
     dim = max({len(v) for v in sample}, key=lambda n: sum(len(v) == n for v in sample))
     x = np.array([v for v in sample if len(v) == dim and any(v)], dtype=np.float64).reshape(-1, dim)
-    projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    m, bits = scheme(n_rows)
+    projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), m * bits)
     sent = send(spark, projection)
-    coded = written(rows.repartition(task_slots(spark)).mapInPandas(lambda it: _encode(it, received(sent)), f"id {kind}, same long, unit binary, code binary").groupBy("id").agg(F.min(F.struct("same", "unit", "code")).alias("x")).select("id", "x.*"), "codes")
+    encoded = spread(rows).mapInPandas(lambda it: _encode(it, received(sent), m, bits), f"id {kind}, same long, unit binary, code array<long>, parts array<long>")
+    coded = written(encoded.groupBy("id").agg(F.min(F.struct("same", "unit", "code", "parts")).alias("x")).select("id", "x.*"), "codes")
 
     heads = coded.select("same", "id").withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = coded.groupBy("same").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("unit", "code"), "id").alias("x")).select("same", "size", "x.unit", "x.code")
+    classes = coded.groupBy("same").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("unit", "code", "parts"), "id").alias("x")).select("same", "size", "x.unit", "x.code", "x.parts")
     classes = written(classes, "classes")
-    n = classes.count()
-    blocks = max(-(-n // BLOCK_ROWS), min(int((2 * task_slots(spark)) ** 0.5) + 1, -(-n // LEAST_BLOCK)), 1)
-    placed = classes.select("same", "unit", "code", F.pmod(F.xxhash64("same"), F.lit(blocks)).cast("int").alias("block"))
-    shipped = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select(
-        "same", "unit", "code", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
+
+    words = -(-m * bits // 64)
+    entries = classes.select("same", *[F.col("code")[w].alias(f"c{w}") for w in range(words)], F.explode(filed(m, bits)).alias("key"))
+    hot = written(_hot_keys(classes, m, bits, hot_rows), "hot")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        entries = entries.join(hot.select("key"), "key", "left_anti")
+    a, b = entries.alias("a"), entries.alias("b")
+    apart = sum((F.bit_count(F.col(f"a.c{w}").bitwiseXOR(F.col(f"b.c{w}"))) for w in range(words)), F.lit(0))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.same") < F.col("b.same")) & (apart <= int(CUT * m * bits)))
+    pairs = met.select(F.col("a.same").alias("a"), F.col("b.same").alias("b")).distinct()
+    units = classes.select("same", "unit")
+    both = pairs.join(units.select(F.col("same").alias("a"), F.col("unit").alias("u")), "a").join(units.select(F.col("same").alias("b"), F.col("unit").alias("v")), "b").select("a", "b", "u", "v")
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1) for n in (2, 3))
+            c = np.einsum("ij,ij->i", u, v).astype(np.float64)
+            one, two = batch.column(0), batch.column(1)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([one, two]), pa.concat_arrays([two, one]), pa.array(np.r_[c, c])], names=["a", "b", "cosine"])
+
+    links = both.mapInArrow(score, "a long, b long, cosine double")
+    if some_hot:
+        links = links.unionByName(_hot_links(classes, hot, m, bits, k)).distinct()
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    # a class brings at most k of its members, so k classes are enough for every member
+    top = links.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "cosine")
+    within = classes.where("size > 1").select(F.col("same").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("cosine"))
+    open_classes = classes.where(F.col("size") <= k).select(F.col("same").alias("a"))
+    between = top.join(open_classes, "a")
+    found = (
+        coded.select(F.col("id"), F.col("same").alias("a"))
+        .join(between.unionByName(within), "a")
+        .join(heads.select(F.col("same").alias("b"), F.col("id").alias("other")), "b")
+        .where("id <> other")
     )
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other")))
+    return ranked.where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+
+
+def _hot_links(classes: DataFrame, hot: DataFrame, m: int, bits: int, k: int) -> DataFrame:
+    """(a, b, cosine): within each full bucket the k best of every row of each block, blocks of BLOCK_ROWS rows, every two of them a task."""
+    keys = hot.dropDuplicates(["n", "s"]).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    held = classes.select("same", "unit", F.explode(filed(m, bits)).alias("key")).join(keys, "key").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    shipped = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("same", "unit", "key", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
     def search(pdf):
+        import numpy as np
         import pandas as pd
 
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         sides = []
         for block in {i: 0, j: 0}:
             own = pdf[pdf["block"] == block]
-            sides.append((own["same"].to_numpy(), np.frombuffer(b"".join(own["unit"]), dtype=np.float32).reshape(len(own), -1), np.frombuffer(b"".join(own["code"]), dtype=np.uint64).reshape(len(own), -1)))
+            sides.append((own["same"].to_numpy(), np.frombuffer(b"".join(own["unit"]), dtype=np.float32).reshape(len(own), -1) if len(own) else None))
         a, b = sides[0], sides[-1]
-        if not len(a[0]) or not len(b[0]):
+        if a[1] is None or b[1] is None:
             return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64), "cosine": np.zeros(0)})
-        p, q, c = block_neighbours(a[1], a[2], b[1], b[2], k, i == j, exact)
+        p, q, c = block_neighbours(a[1], b[1], k, i == j)
         one, two, score = a[0][p], b[0][q], c.astype(np.float64)
         if i != j:
             one, two, score = np.r_[one, two], np.r_[two, one], np.r_[score, score]
         keep = _first_k(one, score, k)
         return pd.DataFrame({"a": one[keep], "b": two[keep], "cosine": score[keep]})
 
-    links = shipped.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(search, "a long, b long, cosine double")
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    # a class brings at most k of its members, so k classes are enough for every member
-    top = links.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "cosine")
-    within = classes.where("size > 1").select(F.col("same").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("cosine"))
-    open_classes = classes.where(F.col("size") <= k).select(F.col("same").alias("a"))
-    between = top.join(open_classes, "a")
-    pairs = (
-        coded.select(F.col("id"), F.col("same").alias("a"))
-        .join(between.unionByName(within), "a")
-        .join(heads.select(F.col("same").alias("b"), F.col("id").alias("other")), "b")
-        .where("id <> other")
-    )
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other")))
-    return ranked.where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+    return shipped.groupBy("key", "i", "j").applyInPandas(search, "a long, b long, cosine double")

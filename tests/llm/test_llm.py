@@ -127,37 +127,45 @@ def test_equal_odd_and_missing_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], "id string, vec array<float>"), "id", "vec").count() == 0
 
 
-def test_full_buckets_are_scored_whole():
+def test_full_buckets_are_scored_whole(spark):
+    """Near copies and the rest, with buckets of any size taken as full ones: the same neighbours."""
     rng = np.random.default_rng(0)
-    u = rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(600, 64))
-    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
-    codes = neighbours.codes_of(u, neighbours.learn_rotation(u.astype(float)))
-    a, b, c = neighbours.block_neighbours(u, codes, u, codes, 3, True, False)
+    v = np.concatenate([rng.normal(size=(1, 24)) + 0.01 * rng.normal(size=(300, 24)), rng.normal(size=(100, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "id long, vec array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -1)
-    best = np.sort(s, axis=1)[:, -3:]
-    assert all(np.allclose(np.sort(c[a == k])[-3:], best[k], atol=1e-5) for k in range(0, 600, 50))
+    best = {a: set(np.argsort(-s[a])[:3].tolist()) for a in range(300)}
+    for hot in (20, 10**6):
+        got = defaultdict(set)
+        for r in neighbours.nearest(df, "id", "vec", 3, hot_rows=hot).collect():
+            got[r.id].add(r.other)
+        assert sum(len(best[a] & got[a]) for a in best) >= 0.99 * 900
 
 
 def test_two_blocks_scored_whole():
     u = vectors(800, 16)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     x, y = u[:300], u[300:]
-    a, b, c = neighbours.block_neighbours(x, None, y, None, 3, False, True, chunk=128)
+    a, b, c = neighbours.block_neighbours(x, y, 3, False, chunk=128)
     s = x @ y.T
     assert all(np.allclose(np.sort(c[a == k])[-3:], np.sort(s[k])[-3:], atol=1e-5) for k in range(300))
     assert all(np.allclose(np.sort(c[b == k])[-3:], np.sort(s[:, k])[-3:], atol=1e-5) for k in range(500))
     assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
 
 
-def test_pigeonhole_finds_every_code_within_the_radius():
-    rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 62, (300, 1), dtype=np.uint64)
-    near = codes ^ np.array([[sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 25), replace=False))] for _ in range(300)], dtype=np.uint64)
-    index = neighbours.MultiIndex(near, 17)
-    q, r = index.within(codes, 10**9)
-    d = np.bitwise_count(codes[:, None, 0] ^ near[None, :, 0])
-    assert set(zip(q.tolist(), r.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d <= 17))))
+def test_pigeonhole_finds_every_code_within_the_radius(spark):
+    """Codes that differ in 3 m - 1 bits or less are filed under a common key, however the bits are chosen."""
+    rng, (m, bits) = np.random.default_rng(2), neighbours.scheme(400)
+    on = rng.integers(0, 2, (300, m * bits))
+    other = on.copy()
+    for row in other:
+        row[rng.choice(m * bits, rng.integers(0, 3 * m), replace=False)] ^= 1
+    parts = lambda x: (x.reshape(len(x), m, bits) @ (1 << np.arange(bits))).tolist()
+    df = spark.createDataFrame(list(zip(parts(on), parts(other))), "x array<long>, y array<long>")
+    keys = [df.select(F.col(c).alias("parts")).select(neighbours.filed(m, bits).alias("k")).collect() for c in ("x", "y")]
+    assert all(set(a.k) & set(b.k) and len(set(a.k)) == m * (bits + 1) for a, b in zip(*keys))
+    assert neighbours.scheme(1 << 20) == (18, 21) and neighbours.scheme(0) == (8, 8)
 
 
 # --- 3: scans -------------------------------------------------------------------------------------------------------
