@@ -254,10 +254,13 @@ def inst_norm(spark, d):
 
 
 _KEY = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z]+', ' ', 'g'))"
+#: Another way than the operator's: the names that the value contains, by their place in it.
 _DIM = f"""al(akey, iso) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in dimensions.COUNTRY_ALIASES.items())}),
 nm AS (SELECT {_KEY.format('n')} AS nkey, min(iso3) AS iso FROM (SELECT iso3, name AS n FROM countries UNION ALL SELECT iso3, unnest(alt_names) FROM countries) GROUP BY 1),
-v AS (SELECT DISTINCT country_raw AS raw, {_KEY.format('country_raw')} AS whole, {_KEY.format("regexp_extract(country_raw, '^[^,;/]*')")} AS head FROM authors WHERE country_raw IS NOT NULL),
-dim AS (SELECT raw, coalesce(a.iso, b.iso, c.iso, e.iso) AS country_iso3 FROM v LEFT JOIN nm a ON a.nkey = whole LEFT JOIN al b ON b.akey = whole LEFT JOIN nm c ON c.nkey = head LEFT JOIN al e ON e.akey = head),
+kn AS (SELECT regexp_replace(nkey, '(^| )([a-z]) ([a-z])( |$)', '\\1\\2\\3\\4', 'g') AS nkey, iso FROM nm WHERE nkey <> '' UNION ALL SELECT akey, iso FROM al WHERE akey NOT IN (SELECT nkey FROM nm)),
+v AS (SELECT DISTINCT country_raw AS raw, ' ' || regexp_replace(regexp_replace({_KEY.format('country_raw')}, '\\b([a-z]) ([a-z])\\b', '\\1\\2', 'g'), '\\b([a-z][a-z]) ([a-z])\\b$', '\\1\\2') || ' ' AS k FROM authors WHERE country_raw IS NOT NULL),
+hit AS (SELECT raw, iso, row_number() OVER (PARTITION BY raw ORDER BY strpos(k, ' ' || nkey || ' '), length(nkey) DESC) AS n FROM v JOIN kn ON contains(k, ' ' || nkey || ' ')),
+dim AS (SELECT v.raw, iso AS country_iso3 FROM v LEFT JOIN hit ON hit.raw = v.raw AND n = 1),
 dimension AS (SELECT raw, country_iso3, name AS country FROM dim LEFT JOIN countries ON iso3 = country_iso3)"""
 
 
