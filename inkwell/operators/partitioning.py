@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def exactly(df: DataFrame, k: int) -> DataFrame:
@@ -47,3 +47,16 @@ def with_timeout(df: DataFrame, action: Callable[[DataFrame], object], seconds:
     if "error" in box:
         raise box["error"]
     return box["value"]
+
+
+def on_every_slot(spark: SparkSession, f: Callable[[], str]) -> list[str]:
+    """What ``f`` gives in a task on each of the cluster's slots (a version, a folder, a setting)."""
+    n = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"said": [str(f())] * len(pdf)})
+
+    return [r.said for r in spark.range(0, n, 1, n).mapInPandas(run, "said string").collect()]

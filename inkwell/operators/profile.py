@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.silver import year
@@ -49,6 +49,64 @@ def json_key_frequency(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(F.json_object_keys(column))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _no_keys() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _list_at(text: Column, path: str) -> Column:
+    """Elements of a JSON list as JSON texts; anything else is an empty list."""
+    return F.coalesce(F.from_json(F.get_json_object(text, path), "array<string>"), _no_keys())
+
+
+def json_level_keys(df: DataFrame, column: str, objects: dict[str, str], lists: dict[str, str]) -> DataFrame:
+    """(level, key, n): how often each key occurs at several levels of JSON texts.
+
+    ``objects`` and ``lists`` name the levels by JSON paths: of an object, and of a list whose objects are all counted.
+    One pass; what isn't of the expected kind has no keys.
+    """
+    keys = {name: F.coalesce(F.json_object_keys(F.get_json_object(column, path)), _no_keys()) for name, path in objects.items()}
+    for name, path in lists.items():
+        keys[name] = F.flatten(F.transform(_list_at(F.col(column), path), lambda x: F.coalesce(F.json_object_keys(x), _no_keys())))
+    named = [F.struct(F.lit(name).alias("level"), k.alias("keys")) for name, k in keys.items()]
+    per_level = df.select(F.inline(F.array(*named))).select("level", F.explode("keys").alias("key"))
+    return per_level.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paper_json_profile(df: DataFrame, source: str, column: str) -> DataFrame:
+    """(source, n, with_abstract, empty_body, no_authors, authors, affiliated, top_keys): what the JSON papers of each source have."""
+    text = F.col(column)
+    authors = _list_at(text, "$.metadata.authors")
+    filled = F.size(F.filter(authors, lambda a: F.coalesce(F.size(F.json_object_keys(F.get_json_object(a, "$.affiliation"))), F.lit(0)) > 0))
+    rows = df.select(
+        F.col(source).alias("source"), F.coalesce(F.json_object_keys(text), _no_keys()).alias("keys"), F.size(_list_at(text, "$.body_text")).alias("body"), F.size(authors).alias("authors"), filled.alias("filled")
+    )
+    whole = rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("keys", "abstract")).alias("with_abstract"), F.count_if(F.col("body") == 0).alias("empty_body"), F.count_if(F.col("authors") == 0).alias("no_authors"),
+        F.sum("authors").alias("authors"), F.sum("filled").alias("affiliated"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))), ",").alias("top_keys"),
+    )
+    return whole
+
+
+def pivot_means(df: DataFrame, index: str, column: str, value: str, names: list[str]) -> DataFrame:
+    """(index, names..., total): mean value of each named column and their sum, as for the stages of a run. A missing one is null."""
+    wide = df.groupBy(index).pivot(column, names).agg(F.avg(value))
+    return wide.select(index, *names, sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0)).alias("total"))
+
+
+def curve(df: DataFrame, x: str, value: str, digits: int = 4) -> DataFrame:
+    """(x, mean, least, most, failed): a curve with its bars; a null value is a failed run, an x with failures only has a null mean."""
+    return df.groupBy(x).agg(F.round(F.avg(value), digits).alias("mean"), F.round(F.min(value), digits).alias("least"), F.round(F.max(value), digits).alias("most"), F.count_if(F.col(value).isNull()).alias("failed"))
+
+
+def failed_points(df: DataFrame, x: str, value: str) -> DataFrame:
+    """The x values at which some run failed."""
+    return df.where(F.col(value).isNull()).select(x).distinct()
+
+
+def threads_per_worker(threads: str, workers: str) -> Column:
+    return F.round(F.col(threads) / F.col(workers)).cast("int")
+
+
 def group_stats(df: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.round(F.avg(value), digits).alias("mean"), F.round(F.min(value), digits).alias("least"), F.round(F.max(value), digits).alias("most"), F.count(value).alias("n")

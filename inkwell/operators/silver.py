@@ -67,11 +67,14 @@ def title_flags(df: DataFrame, title: str = "title") -> DataFrame:
 def prefer_source(df: DataFrame, key: str = "cord_uid", source: str = "source", preferred: str = "pmc") -> DataFrame:
     """Rows of the preferred source, and all rows of keys that have none. Null keys are kept.
 
-    A left anti join on the distinct preferred keys; text isn't moved unless the planner finds the keys too many to send.
+    The keys that lack the source come from an aggregation of two columns; other rows are kept by a semi join with them, so
+    where the keys are too many to send, Spark's run-time filter keeps the rows that fall away, and their texts, out of the shuffle.
     """
     is_preferred = F.coalesce(tidy_source(F.col(source)) == preferred, F.lit(False))
-    keys = df.where(is_preferred & F.col(key).isNotNull()).select(key).distinct()
-    return df.where(is_preferred).unionByName(df.where(~is_preferred).join(keys, key, "left_anti").select(*df.columns))
+    has = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(is_preferred).alias("has"))
+    lacking = has.where(~F.col("has")).select(key)
+    others = df.where(~is_preferred)
+    return df.where(is_preferred).unionByName(others.join(lacking, key, "left_semi").select(*df.columns)).unionByName(others.where(F.col(key).isNull()))
 
 
 def paragraphs(df: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import json
 import resource
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import SparkSession
@@ -48,8 +49,45 @@ def measure(session: Callable[[Point], SparkSession], source: str, target: str,
             with_timeout(spark.range(1), lambda _, p=p, s=spark: word_count_job(s, source, target, p), limit)
         except Exception as e:
             error = type(e).__name__
-        row = {**asdict(p), "repetition": n, "seconds": "" if error else round(time.perf_counter() - began, 3), "error": error, "parallelism": spark.sparkContext.defaultParallelism, "driver_peak_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024}
+        ran = {"parallelism": spark.sparkContext.defaultParallelism, "ran_shards": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+        if not error and (ran["parallelism"] != p.cores or ran["ran_shards"] != p.shards):
+            error = "other state"  # what was asked for is not what ran
+        row = {**asdict(p), "repetition": n, "seconds": "" if error else round(time.perf_counter() - began, 3), "error": error, **ran, "driver_peak_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024}
         append_row(csv, row)
         rows.append(row)
         spark.stop()
     return rows
+
+
+def event_log_summary(lines: Iterable[str]) -> dict:
+    """What an event log (``spark.eventLog.enabled``) tells of a run: stages with their seconds, tasks, failures, spill and shuffle, and each executor's peak memory.
+
+    ``executors`` holds the peaks in MB of JVM heap, JVM off-heap and, where process metrics are on, Python's resident memory.
+    """
+    stages: dict[int, dict] = {}
+    peaks: dict[str, dict[str, float]] = {}
+    wanted = {"JVMHeapMemory": "heap_mb", "JVMOffHeapMemory": "off_heap_mb", "ProcessTreePythonRSSMemory": "python_mb"}
+
+    def peak(executor: str, metrics: dict) -> None:
+        own = peaks.setdefault(executor, {})
+        for name, short in wanted.items():
+            if name in metrics:
+                own[short] = max(own.get(short, 0.0), round(metrics[name] / 1e6, 1))
+
+    for line in lines:
+        e = json.loads(line)
+        kind = e.get("Event")
+        if kind == "SparkListenerTaskEnd":
+            s = stages.setdefault(e["Stage ID"], {"tasks": 0, "failed": 0, "task_seconds": 0.0, "longest": 0.0, "spilled_mb": 0.0, "shuffled_mb": 0.0})
+            m = e.get("Task Metrics") or {}
+            seconds = m.get("Executor Run Time", 0) / 1000
+            s["tasks"] += 1
+            s["failed"] += bool(e["Task Info"].get("Failed"))
+            s["task_seconds"] += seconds
+            s["longest"] = max(s["longest"], seconds)
+            s["spilled_mb"] += m.get("Disk Bytes Spilled", 0) / 1e6
+            s["shuffled_mb"] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0) / 1e6
+            peak(e["Task Info"]["Executor ID"], e.get("Task Executor Metrics") or {})
+        elif kind == "SparkListenerStageExecutorMetrics":
+            peak(e["Executor ID"], e.get("Executor Metrics") or {})
+    return {"stages": {k: {n: round(v, 3) for n, v in s.items()} for k, s in sorted(stages.items())}, "executors": peaks}

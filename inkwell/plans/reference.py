@@ -392,6 +392,18 @@ def title_embeddings(spark, d):
     return embeddings.with_flags(embeddings.mean_pooled(tokens, _model(spark, d, tokens)), tidy).select("cord_uid", "title", "is_title_unique", "n_words")
 
 
+@query(f"""WITH {_TITLES}, m AS (SELECT cord_uid, word, {_SLOT.format('word')} % 2 = 0 AS known FROM tw), w AS (SELECT word, count(*) AS n, bool_or(known) AS known FROM m GROUP BY word)
+SELECT *, round(titles_embedded / titles, 4) AS title_coverage, round(tokens_matched / tokens, 4) AS token_coverage, round(model_words / vocabulary, 4) AS vocabulary_coverage FROM
+(SELECT count(*)::BIGINT AS titles FROM n WHERE title IS NOT NULL AND length({_strip('title')}) >= 3), (SELECT count(DISTINCT cord_uid)::BIGINT AS titles_embedded FROM m WHERE known),
+(SELECT sum(n)::BIGINT AS tokens, (sum(n) FILTER (known))::BIGINT AS tokens_matched, count(*)::BIGINT AS vocabulary, (count(*) FILTER (known))::BIGINT AS model_words FROM w)""")
+def title_coverage(spark, d):
+    """Shares of titles, tokens and vocabulary that a model with every second word knows."""
+    tidy = silver.papers(_read(spark, d, "papers"))
+    tokens = embeddings.title_words(tidy)
+    half = tokens.select("word").distinct().where(F.expr(_SLOT.format("word")) % 2 == 0)
+    return embeddings.coverage(tidy, tokens, half)
+
+
 @query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) SELECT label, (pos - 1)::INTEGER AS pos, count(*)::BIGINT AS n, round(avg(x::DOUBLE), 5) AS mean FROM e GROUP BY label, pos")
 def mean_pool_label(spark, d):
     rows = _read(spark, d, "embeddings").select("label", F.col("embedding").alias("vec"))
@@ -487,8 +499,15 @@ def group_stats(spark, d):
 @query("SELECT user_id % 8 AS bucket, " + ", ".join(f"count(*) FILTER (event_type = '{t}')::BIGINT AS {t}" for t in ("click", "purchase")) + ", count(*)::BIGINT AS total FROM events GROUP BY 1")
 def pivot_stage(spark, d):
     rows = _read(spark, d, "events").withColumn("bucket", F.col("user_id") % 8)
-    wide = rows.groupBy("bucket").pivot("event_type", ["click", "purchase"]).count().na.fill(0)
-    return wide.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("total")), "bucket")
+    kinds = ("click", "purchase")
+    return rows.groupBy("bucket").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds], F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT user_id % 8 AS bucket, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in ("click", "purchase")) + ", round(" + " + ".join(f"coalesce(avg(value) FILTER (event_type = '{t}'), 0)" for t in ("click", "purchase")) + ", 4) AS total FROM events GROUP BY 1")
+def pivot_means(spark, d):
+    """Mean seconds by workers and stage, with the row's sum."""
+    wide = profile.pivot_means(_read(spark, d, "events").withColumn("bucket", F.col("user_id") % 8), "bucket", "event_type", "value", ["click", "purchase"])
+    return wide.select("bucket", *[F.round(c, 4).alias(c) for c in ("click", "purchase", "total")])
 
 
 @query("""WITH m AS (SELECT user_id % 4 + 1 AS size, avg(value) AS seconds FROM events GROUP BY 1), b AS (SELECT seconds AS t1 FROM m WHERE size = 1)
@@ -499,8 +518,40 @@ def speedup_table(spark, d):
 
 @query("WITH r AS (SELECT user_id % 5 AS x, CASE WHEN value < 5 THEN NULL ELSE value END AS s FROM events) SELECT x, round(avg(s), 4) AS mean, round(min(s), 4) AS least, round(max(s), 4) AS most, count(*) FILTER (s IS NULL)::BIGINT AS failed FROM r GROUP BY x")
 def curve_stats(spark, d):
-    rows = _read(spark, d, "events").select((F.col("user_id") % 5).alias("x"), F.when(F.col("value") >= 5, F.col("value")).alias("s"))
-    return rows.groupBy("x").agg(F.round(F.avg("s"), 4).alias("mean"), F.round(F.min("s"), 4).alias("least"), F.round(F.max("s"), 4).alias("most"), F.count_if(F.col("s").isNull()).alias("failed"))
+    return profile.curve(_runs(spark, d), "x", "s")
+
+
+def _runs(spark, d):
+    return _read(spark, d, "events").select((F.col("user_id") % 5).alias("x"), F.when(F.col("value") >= 5, F.col("value")).alias("s"))
+
+
+@query("SELECT DISTINCT user_id % 5 AS x FROM events WHERE value < 5")
+def curve_failures(spark, d):
+    return profile.failed_points(_runs(spark, d), "x", "s")
+
+
+_JSON = "v AS (SELECT rec_id, body::JSON AS j FROM raw_json WHERE json_valid(body))"
+
+
+@query(f"""WITH {_JSON}, k AS (SELECT 'top' AS level, unnest(json_keys(j)) AS key FROM v WHERE json_type(j) = 'OBJECT'
+UNION ALL SELECT 'metadata', unnest(json_keys(json_extract(j, '$.metadata'))) FROM v WHERE json_type(json_extract(j, '$.metadata')) = 'OBJECT'
+UNION ALL SELECT 'paragraph', unnest(json_keys(x)) FROM (SELECT unnest(json_extract(j, '$.body_text')::JSON[]) AS x FROM v WHERE json_type(json_extract(j, '$.body_text')) = 'ARRAY') WHERE json_type(x) = 'OBJECT')
+SELECT level, key, count(*)::BIGINT AS n FROM k GROUP BY level, key""")
+def json_level_keys(spark, d):
+    """How often each key occurs at the top, in the metadata and in the paragraphs of JSON papers."""
+    good = readers.parsed_bodies(_read(spark, d, "raw_json"), "body").where("ok")
+    return profile.json_level_keys(good, "body", {"top": "$", "metadata": "$.metadata"}, {"paragraph": "$.body_text"})
+
+
+@query(f"""WITH {_JSON}, p AS (SELECT (rec_id % 2)::VARCHAR AS source, json_keys(j) AS keys, CASE json_type(json_extract(j, '$.body_text')) WHEN 'ARRAY' THEN json_array_length(j, '$.body_text') ELSE 0 END AS body,
+CASE json_type(json_extract(j, '$.metadata.authors')) WHEN 'ARRAY' THEN json_extract(j, '$.metadata.authors')::JSON[] ELSE []::JSON[] END AS a FROM v)
+SELECT source, count(*)::BIGINT AS n, count(*) FILTER (list_contains(keys, 'abstract'))::BIGINT AS with_abstract, count(*) FILTER (body = 0)::BIGINT AS empty_body, count(*) FILTER (len(a) = 0)::BIGINT AS no_authors, sum(len(a))::BIGINT AS authors,
+sum(len(list_filter(a, lambda x: json_type(json_extract(x, '$.affiliation')) = 'OBJECT' AND len(json_keys(json_extract(x, '$.affiliation'))) > 0)))::BIGINT AS affiliated,
+array_to_string(list_sort(list_distinct(flatten(list(keys)))), ',') AS top_keys FROM p GROUP BY source""")
+def json_profile(spark, d):
+    """What the JSON papers of two deliveries have (told apart by their number): abstracts, bodies, authors, affiliations, keys."""
+    good = readers.parsed_bodies(_read(spark, d, "raw_json"), "body").where("ok").withColumn("source", (F.col("rec_id") % 2).cast("string"))
+    return profile.paper_json_profile(good, "source", "body")
 
 
 @query("WITH k AS (SELECT unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL) SELECT key, count(*)::BIGINT AS n FROM k GROUP BY key")
@@ -592,6 +643,19 @@ def parquet_sink(spark, d):
     return spark.read.parquet(path)
 
 
+@query("SELECT row_id, cord_uid FROM paragraphs WHERE row_id % 2 = 0")
+def numbered_files(spark, d):
+    """Batches appended under stable numbers, read in numeric order, in groups and as a slice (the second half of the files)."""
+    path = scratch(spark, "parts")
+    rows = _read(spark, d, "paragraphs").select("row_id", "cord_uid")
+    at = writers.append_batch(rows.where("row_id % 2 = 1").coalesce(3), path, 0, rows_per_group=1_000)
+    end = writers.append_batch(rows.where("row_id % 2 = 0").coalesce(9), path, at, rows_per_group=1_000)
+    names = files.data_files(spark, path)
+    if [files.file_number(n)[0] for n in names] != list(range(end)) or files.read_in_groups(spark, names, 2).rdd.getNumPartitions() != min(2, end):
+        raise AssertionError(names)
+    return files.partition_slice(spark, path, at, end)
+
+
 @query(f"SELECT row_id, {_strip(_collapse('text'))} AS text FROM paragraphs WHERE text IS NOT NULL")
 def text_collapsed(spark, d):
     return _text(spark, d).where("text IS NOT NULL").select("row_id", strip(collapse(F.col("text"))).alias("text"))

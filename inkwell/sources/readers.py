@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.text import clean_str, strip
+from inkwell.sources.writers import write_parquet
 
 # --- fixed values: what counts as missing in the catalogue, and its columns ---
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -55,6 +56,13 @@ def read_catalogue(spark: SparkSession, path: str, columns: list[str] = CATALOGU
     return raw.select(*[F.when(~F.col(c).isin(NULL_TOKENS), F.col(c)).alias(c) for c in columns])
 
 
+def landed_catalogue(spark: SparkSession, path: str, target: str, columns: list[str] = CATALOGUE, partitions: int | None = None) -> DataFrame:
+    """The CSV catalogue written to Parquet once and read back: from then on it splits, prunes and filters."""
+    rows = read_catalogue(spark, path, columns)
+    write_parquet(rows.repartition(partitions) if partitions else rows, target)
+    return spark.read.parquet(target)
+
+
 def path_list(cell: Column) -> Column:
     """Paths of a ';'-joined cell, stripped, without empty ones; null gives an empty array."""
     return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ";"), strip), lambda p: p != "")
@@ -87,14 +95,23 @@ def author_rows(df: DataFrame, *keep: str) -> DataFrame:
 
 def catalogue_paragraphs(catalogue: DataFrame, papers: DataFrame) -> DataFrame:
     """Paragraphs of all files a catalogue row names, both sources, with its cord_uid. ``papers`` needs ``file``."""
+    return paragraph_rows(_named_papers(catalogue, papers, ("pdf", "pmc"), "body_text"), "cord_uid", "paper_id", "source")
+
+
+def catalogue_authors(catalogue: DataFrame, papers: DataFrame) -> DataFrame:
+    """Authors of all pdf files a catalogue row names, with its cord_uid; the other source has no affiliations."""
+    return author_rows(_named_papers(catalogue, papers, ("pdf",), "metadata"), "cord_uid", "paper_id")
+
+
+def _named_papers(catalogue: DataFrame, papers: DataFrame, sources: tuple[str, ...], part: str) -> DataFrame:
+    """Papers with the cord_uid and source of each catalogue row that names their file; only ``part`` of them is moved."""
     named = None
-    for source in ("pdf", "pmc"):
-        part = catalogue.select("cord_uid", F.lit(source).alias("source"), F.explode(path_list(F.col(f"{source}_json_files"))).alias("path"))
-        named = part if named is None else named.unionByName(part)
-    key = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
-    opened = papers.withColumn("path_key", key)
-    joined = named.withColumn("path_key", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).join(opened, "path_key")
-    return paragraph_rows(joined, "cord_uid", "paper_id", "source")
+    for source in sources:
+        rows = catalogue.select("cord_uid", F.lit(source).alias("source"), F.explode(path_list(F.col(f"{source}_json_files"))).alias("path"))
+        named = rows if named is None else named.unionByName(rows)
+    last_two = r"([^/]+/[^/]+)$"
+    opened = papers.select(F.regexp_extract("file", last_two, 1).alias("path_key"), "paper_id", part)
+    return named.select("cord_uid", "source", F.regexp_extract("path", last_two, 1).alias("path_key")).join(opened, "path_key")
 
 
 def read_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

@@ -49,7 +49,7 @@ def test_prefer_source_and_flags(spark):
     df = spark.createDataFrame([(1, "a", "PMC ", "References"), (2, "a", "pdf", None), (3, "b", "pdf", "Funding"), (4, None, "pdf", ""), (5, "c", None, "x")], "id int, cord_uid string, source string, section string")
     assert sorted(r.id for r in silver.prefer_source(df).collect()) == [1, 3, 4, 5]
     assert {r.id: r.is_reference_like for r in silver.paragraphs(df).collect()} == {1: True, 3: True, 4: False, 5: False}
-    assert "LeftAnti" in plan(silver.prefer_source(df))
+    assert "LeftSemi" in plan(silver.prefer_source(df))
 
 
 def test_richest_breaks_ties_always_alike(spark):
@@ -139,3 +139,25 @@ def test_no_own_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(type("S", (), {"sparkContext": Context})())
+
+
+def test_code_on_every_slot(spark):
+    from inkwell.operators import partitioning
+
+    assert len(partitioning.on_every_slot(spark, lambda: "here")) >= spark.sparkContext.defaultParallelism
+
+
+def test_prefer_source_keeps_null_keys_and_moves_no_text(spark):
+    rows = [("a", "PMC ", "t1"), ("a", "pdf", "t2"), ("b", "pdf", "t3"), ("b", None, "t4"), (None, "pdf", "t5"), (None, "pmc", "t6")]
+    df = spark.createDataFrame(rows, "cord_uid string, source string, text string")
+    assert {r.text for r in silver.prefer_source(df).collect()} == {"t1", "t3", "t4", "t5", "t6"}
+    assert silver.prefer_source(df.limit(0)).count() == 0
+
+
+def test_threads_and_curves(spark):
+    from inkwell.operators import profile
+
+    df = spark.createDataFrame([(4, 16, 2.0), (4, 15, None), (8, 16, 3.0)], "workers int, threads int, s double")
+    assert [r.t for r in df.select(profile.threads_per_worker("threads", "workers").alias("t")).collect()] == [4, 4, 2]
+    assert [tuple(r) for r in profile.curve(df, "workers", "s").orderBy("workers").collect()] == [(4, 2.0, 2.0, 2.0, 1), (8, 3.0, 3.0, 3.0, 0)]
+    assert [r.workers for r in profile.failed_points(df, "workers", "s").collect()] == [4]
