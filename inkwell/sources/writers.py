@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame
 def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None, rows_per_group: int | None = None, append: bool = False) -> None:
     """zstd Parquet; ``rows_per_file`` and ``rows_per_group`` keep files and row groups of skewed rows small.
 
-    A target in the input, or the input itself, is refused.
+    A target that is the input, lies in an input table's folder, or holds the input and would be overwritten, is refused.
     """
-    for source in _input_folders(df):
-        guard_output(source, path)
+    plain = lambda f: f.removeprefix("file://").removeprefix("file:")
+    inputs = [plain(f) for f in df.inputFiles()]
+    for folder in {os.path.dirname(f) for f in inputs if f.endswith(".parquet")}:
+        if not append or not folder.startswith(plain(path)):
+            guard_output(folder, path)
+    if not append and any(f.startswith(plain(path).rstrip("/") + "/") for f in inputs):
+        raise ValueError(f"writing {path} would delete the input")
     w = df.write.mode("append" if append else "overwrite").option("compression", "zstd")
     if rows_per_file:
         w = w.option("maxRecordsPerFile", rows_per_file)
@@ -27,11 +32,6 @@ def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None, ro
     w.parquet(path)
 
 
-def _input_folders(df: DataFrame) -> set[str]:
-    """Folders of the files the rows come from, as plain local paths where they are local."""
-    return {os.path.dirname(f).removeprefix("file://").removeprefix("file:") for f in df.inputFiles()}
-
-
 def append_batch(df: DataFrame, path: str, offset: int, **options: int) -> int:
     """One batch more in a flat folder, its files named ``part.<offset + k>.parquet``; gives the next offset.
 
