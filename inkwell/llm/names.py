@@ -1,7 +1,9 @@
 """Variant spellings of organisations: merge-and-rematch entity resolution.
 
-Work is done on distinct spellings. Each spelling is parsed into the kind of organisation (a set of institution words,
-abbreviations, translations and single typing errors resolved by WORDS), the place (what is left), its initials (type
+Work is done on distinct spellings. Each spelling is parsed into the kind of organisation (a set of institution words: those of
+WORDS, which also resolves abbreviations and translations, and those that the names themselves show to be general, as they
+stand with GENERIC_LEAST settlements and GENERIC_SHARE of them or more and in none of these settlements' names; single typing
+errors are resolved), the place (what is left), its initials (type
 initials with the first three letters of the place) and the settlement its rows name most often. Entities start as
 spellings with equal kind and place. In every round the entities' merged profiles (all their places, settlements and
 initials) enter blocking: by kind and place with up to two letters left out, by kind and settlement, and by initials.
@@ -21,9 +23,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import accent_fold
 from inkwell.session import written
 
 #: Institution words: as typed -> canonical words (fixed values).
@@ -43,6 +47,10 @@ ESTABLISHED = 3
 SUPPORT_RATIO = 3
 #: Least share of a spelling's rows with a settlement that must name one settlement to make it the spelling's place.
 SETTLED = 0.8
+#: Settlements, and share of all settlements, that a general word stands with; this bounds their number.
+GENERIC_LEAST, GENERIC_SHARE = 8, 0.02
+#: Spellings of an entity that are paired in one task.
+PAIR_ROWS = 2_000
 
 
 def fold(s: str) -> str:
@@ -90,10 +98,10 @@ def loose_word(token: str) -> str | None:
     return best[3] if best and best[0] <= 1 else None
 
 
-def parse(name: str, settlement: str = "") -> tuple[str, str, str, str]:
+def parse(name: str, settlement: str = "", generic: frozenset[str] = frozenset()) -> tuple[str, str, str, str]:
     """(kind, place, initials, acronym): kind is the sorted institution words; a bare acronym has neither kind nor place.
 
-    ``settlement`` (folded) tells words of the place from badly typed institution words.
+    ``settlement`` (folded) tells words of the place from badly typed institution words. ``generic``: further institution words.
     """
     here = settlement.split()
     text = re.sub(r"\s*\([^)]*\)\s*$", "", name)
@@ -110,6 +118,10 @@ def parse(name: str, settlement: str = "") -> tuple[str, str, str, str]:
         if t == "u" and k + 1 < len(tokens) and len(tokens[k + 1]) <= 3 and distance(tokens[k + 1], "of") <= 1:
             t = "univ"
         w = institution_word(t)
+        if w is None and t not in here and (g := t if t in generic else next((x for x in sorted(generic) if len(t) >= 6 and abs(len(x) - len(t)) <= 1 and distance(t, x) == 1), None)):
+            kind.add(g)
+            initials += g[0]
+            continue
         if w is None and here and not any(distance(t, x) <= max(1, len(x) // 3) for x in here):
             w = loose_word(t)
             if w is None and len(t) <= 3:
@@ -139,19 +151,29 @@ def left_out(s: str) -> list[str]:
     return sorted({s} | one | two)
 
 
+def generic_words(spelled: DataFrame) -> list[str]:
+    """Words that stand with many settlements and aren't part of their names, from (name, settle)."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(accent_fold(F.col(c))), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = spelled.where("settle IS NOT NULL").select("settle", F.explode(F.array_except(tokens("name"), tokens("settle"))).alias("w")).where(F.length("w") >= 4)
+    counts = rows.groupBy("w").agg(F.count_distinct("settle").alias("n"))
+    every = spelled.agg(F.count_distinct("settle")).first()[0]
+    found = counts.where(F.col("n") >= max(GENERIC_LEAST, int(GENERIC_SHARE * every)))
+    return sorted(r.w for r in found.collect() if institution_word(r.w) is None and r.w not in STOP)
+
+
 def profiles(df: DataFrame, name: str, settlement: str | None) -> DataFrame:
     """(name, n_rows, settle, kind, place, initials, acronym, variants): one row for each distinct spelling."""
     rows = df.select(F.col(name).alias("name"), (F.col(settlement) if settlement else F.lit(None)).cast("string").alias("settle")).where(r"name IS NOT NULL AND name RLIKE '(?U)[^\\s]'")
     counted = rows.groupBy("name", "settle").agg(F.count(F.lit(1)).alias("n"))
     said = F.when(F.col("settle").isNotNull(), F.col("n"))
     spelled = counted.groupBy("name").agg(F.sum("n").alias("n_rows"), F.max_by("settle", F.when(F.col("settle").isNotNull(), F.struct("n", "settle"))).alias("settle"), (F.max(said) / F.sum(said)).alias("settled"))
+    spelled = written(spelled, "spelled")
+    generic = frozenset(generic_words(spelled))
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
             settle = [" ".join(re.findall(r"[a-z0-9]+", fold(s))) if isinstance(s, str) else "" for s in pdf["settle"]]
-            parsed = [parse(x, s) for x, s in zip(pdf["name"], settle)]
+            parsed = [parse(x, s, generic) for x, s in zip(pdf["name"], settle)]
             places = []
             for (kind, place, _, _), s, sure in zip(parsed, settle, pdf["settled"] >= SETTLED):
                 # the place as the rows' settlement spells it, where they are close
@@ -230,6 +252,55 @@ def _moves(full: DataFrame, state: DataFrame) -> DataFrame | None:
 
 
 def name_pairs(links: DataFrame) -> DataFrame:
-    """(name_a, name_b): every two spellings of an entity, by code point; grows with the spellings of one organisation."""
-    a, b = links.select("entity", F.col("name").alias("name_a")), links.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    """(name_a, name_b): every two spellings of an entity, by code point; grows with the spellings of one organisation.
+
+    An entity with many spellings is dealt out to several tasks of PAIR_ROWS of them each, all beside all others.
+    """
+    sizes = links.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("parts"))
+    members = links.select("entity", "name").join(sizes, "entity")
+    a = members.select("entity", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = members.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"))
+    return a.join(b, ["entity", "part"]).where("name_a < name_b").select("name_a", "name_b")
+
+
+def linked_mentions(df: DataFrame, text: str, links: DataFrame) -> DataFrame:
+    """(mention, entity, name): each distinct text that names a linked organisation in one of its comma-separated parts.
+
+    A part counts as a spelling that it equals up to case, accents and edge punctuation; of several parts the first. Texts
+    that name none, null and blank ones give no row.
+    """
+    key = lambda c: F.regexp_replace(F.lower(accent_fold(c)), r"(?U)^[\s,;.\-]+|[\s,;.\-]+$", "")
+    parts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("mention")).distinct().select("mention", F.posexplode(F.split("mention", ",")).alias("at", "part"))
+    known = links.select(key(F.col("name")).alias("key"), "name", "entity", "n_rows").where("key <> ''").groupBy("key").agg(F.max_by(F.struct("entity", "name"), F.struct("n_rows", "name")).alias("k"))
+    found = parts.select("mention", "at", key(F.col("part")).alias("key")).join(known, "key").groupBy("mention").agg(F.min_by("k", "at").alias("k"))
+    return found.select("mention", "k.entity", "k.name")
+
+
+def misspelled(name: str, key: int) -> str:
+    """Another spelling of a name: two letters swapped, one left out or doubled in its longest word, or capitals and full stops; by ``key``."""
+    words = name.split(" ")
+    at = max(range(len(words)), key=lambda k: (len(words[k]), -k))
+    w, kind = words[at], key % 4
+    if len(w) < 6 or kind == 3:
+        return name.upper() + "."
+    k = 1 + (key // 4) % (len(w) - 3)
+    words[at] = w[:k] + w[k + 1] + w[k] + w[k + 2 :] if kind == 0 else w[:k] + w[k + 1 :] if kind == 1 else w[:k] + w[k] + w[k:]
+    return " ".join(words)
+
+
+@F.pandas_udf("string")
+def _misspelled(names: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([misspelled(n, k) for n, k in zip(names, keys)], dtype=object)
+
+
+def recall(df: DataFrame, name: str, settlement: str) -> DataFrame:
+    """(n_variants, n_linked, recall): a new misspelling of each spelling, without a settlement, is linked with it or not.
+
+    Misspellings that are spellings themselves take no part.
+    """
+    given = df.select(F.col(name).alias("name"), F.col(settlement).alias("settle")).where("name IS NOT NULL")
+    made = given.where("settle IS NOT NULL").select("name").distinct().select("name", _misspelled("name", F.pmod(F.xxhash64("name"), F.lit(1 << 20)).cast("int")).alias("variant"))
+    made = written(made.join(given.select(F.col("name").alias("variant")).distinct(), "variant", "left_anti"), "variants")
+    links = written(linked_names(given.unionByName(made.select(F.col("variant").alias("name"), F.lit(None).cast("string").alias("settle"))), "name", "settle").select("name", "entity"), "links")
+    pairs = made.join(links, "name").join(links.select(F.col("name").alias("variant"), F.col("entity").alias("other")), "variant")
+    return pairs.agg(F.count(F.lit(1)).alias("n_variants"), F.count_if(F.col("entity") == F.col("other")).alias("n_linked"), F.round(F.avg((F.col("entity") == F.col("other")).cast("int")), 4).alias("recall"))

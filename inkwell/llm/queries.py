@@ -156,6 +156,17 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_names(_read(spark, d, "authors"), "institution_norm", "settlement")
 
 
+def p5_affiliations(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct affiliation that names a linked organisation, with its entity."""
+    found = names.linked_mentions(_read(spark, d, "authors"), "affiliation", p5_entities(spark, d))
+    return found.select(F.col("mention").alias("affiliation"), "entity", "name")
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """New misspellings of the organisations' names: how many are linked with the name they come from."""
+    return names.recall(_read(spark, d, "authors"), "institution_norm", "settlement")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_mapped(spark, d).select("country", "iso3")
 
@@ -222,6 +233,8 @@ QUERIES = {
     "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_entities": p5_entities,
+    "p5_affiliations": p5_affiliations,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p6_mapped": p6_mapped,
     "p9_found": p9_found,

@@ -309,6 +309,29 @@ def test_spelling_without_place_is_blocked_by_settlement(spark):
     assert out["Univ."] == "Univ."  # of two towns
 
 
+def test_general_words_are_learned(spark):
+    towns = ["Bravik", "Oldmarsh", "Tavlin", "Penwarren", "Sarvany", "Cardavel", "Kestby", "Lamorra", "Voderford", "Pellano"]
+    rows = [(f"{kind} {t}", t) for t in towns for kind in ("Museum of", "Ministry")] + [("Minisrty Bravik", "Bravik"), ("Oldmarsh Museum", None), ("North Halvard Museum", "North Halvard")]
+    out = linked(spark, rows)
+    assert out["Museum of Bravik"] != out["Ministry Bravik"] == out["Minisrty Bravik"] and out["Oldmarsh Museum"] == out["Museum of Oldmarsh"]
+    df = spark.createDataFrame(rows, "name string, settle string")
+    assert names.generic_words(df) == ["ministry", "museum"] and names.generic_words(df.limit(0)) == []
+
+
+def test_mentions_and_many_spellings(spark, monkeypatch):
+    links = spark.createDataFrame([(f"n{k}", "e", 1) for k in range(30)] + [("Bravik Hospital", "h", 5), ("other", "o", 1)], "name string, entity string, n_rows long")
+    df = spark.createDataFrame([("Dept. of X, BRAVIK hospital., Bravik, Egypt", 1), ("Egypt", 1), (None, 1), ("", 1), ("other, n3", 1)], "affiliation string, entity int")
+    assert {r.mention: (r.entity, r.name) for r in names.linked_mentions(df, "affiliation", links).collect()} == {"Dept. of X, BRAVIK hospital., Bravik, Egypt": ("h", "Bravik Hospital"), "other, n3": ("o", "other")}
+    whole = sorted(map(tuple, names.name_pairs(links).collect()))
+    monkeypatch.setattr(names, "PAIR_ROWS", 4)
+    assert len(whole) == 435 and whole == sorted(map(tuple, names.name_pairs(links).collect()))
+
+
+def test_new_misspellings_are_linked(spark, data):
+    r = Q.p5_recall(spark, data).first()
+    assert r.n_variants >= 20 and r.recall >= 0.9
+
+
 def test_name_parts():
     assert names.parse("Acad. of Med. Scienaes North Halvard")[:2] == ("academy medical science", "north halvard")
     assert names.parse("Universität Tarrington")[:2] == ("university", "tarrington") and names.parse("U. of Tarrington")[2] == "UTAR"
