@@ -64,7 +64,7 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:[-‐][\p{L}]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}++(?:[-‐]\p{L}++)*+"), F.lit(0))
 
 
 def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int, list[int]]:
@@ -76,10 +76,11 @@ def vocabulary(texts: DataFrame, text: str) -> tuple[list[tuple[str, int]], int,
     n = texts.count()
     least = max(LEAST_COUNT, int(VOCABULARY_SHARE * n))
     w = F.col("w")
-    one = F.transform(w, lambda x: F.struct(x.alias("w"), F.lit(None).cast("long").alias("h")))
-    after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
-    two = F.zip_with(F.slice(w, 1, F.size(after)), after, lambda a, b: F.struct(F.lit(None).cast("string").alias("w"), F.xxhash64(a, b).alias("h")))
-    counted = texts.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).select(F.inline(F.concat(one, two))).groupBy("w", "h").count().where(F.col("count") >= least)
+    beside = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"))
+    found = texts.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).select(F.inline(beside).alias("a", "b"))
+    one = F.struct(F.col("a").alias("w"), F.lit(None).cast("long").alias("h"))
+    two = F.struct(F.lit(None).cast("string").alias("w"), F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")).alias("h"))
+    counted = found.select(F.inline(F.array(one, two))).where("w IS NOT NULL OR h IS NOT NULL").groupBy("w", "h").count().where(F.col("count") >= least)
     rows = counted.collect()
     return sorted((r.w.replace("‐", "-"), int(r["count"])) for r in rows if r.w is not None), least, sorted(r.h for r in rows if r.w is None)
 
