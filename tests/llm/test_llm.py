@@ -1,7 +1,10 @@
 """Operators for training text: nulls, empty tables, ties, repeated rows, clashing columns, and results against brute force."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -565,6 +568,11 @@ def test_garbled_rows(spark, model):
 # --- queries --------------------------------------------------------------------------------------------------------
 
 
+def test_importing_needs_no_session():
+    code = "import __spark_entry__ as e\nassert 'p5_recall' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_llm_query(spark, data, name):
     df = Q.QUERIES[name](spark, data)
