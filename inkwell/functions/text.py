@@ -6,7 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,11 @@ def sanitize(c: Column, unicode_form: bool = True) -> Column:
     """LaTeX blocks out, NFKC, lower case, punctuation folded; the order matters."""
     out = without_latex(c)
     return fold_punctuation(F.lower(nfkc(out) if unicode_form else out))
+
+
+def sanitized(df: DataFrame, text: str, name: str, *keep: str) -> DataFrame:
+    """``keep`` and the sanitized text as ``name``. Each step is a projection of its own, so none is worked out several times."""
+    out = df.select(*keep, without_latex(F.col(text)).alias(name))
+    for step in (nfkc, F.lower, fold_punctuation):
+        out = out.select(*keep, step(F.col(name)).alias(name))
+    return out

@@ -57,7 +57,11 @@ def _kept(tokens: Column, ignored: list[str], min_length: int) -> Column:
 
 def tokens(text: Column, ignored: list[str] | None = None, min_length: int = MIN_LENGTH) -> Column:
     """Words of a paragraph: Latin, accented Latin and Greek letters, digits inside, joined by '-' or '/'."""
-    return _kept(F.regexp_extract_all(sanitize(text), F.lit(TOKEN), F.lit(0)), STOPWORDS + ARTIFACTS if ignored is None else ignored, min_length)
+    return tokens_of_sanitized(sanitize(text), ignored, min_length)
+
+
+def tokens_of_sanitized(text: Column, ignored: list[str] | None = None, min_length: int = MIN_LENGTH) -> Column:
+    return _kept(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), STOPWORDS + ARTIFACTS if ignored is None else ignored, min_length)
 
 
 def plain_tokens(text: Column, stopwords: list[str] | None = None, min_length: int = 2, pattern: str = PLAIN_TOKEN) -> Column:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.words import tokens
+from inkwell.functions.text import sanitized
+from inkwell.functions.words import tokens, tokens_of_sanitized
 
 
 def word_rows(df: DataFrame, text: str, *keep: str, tokenizer=tokens) -> DataFrame:
+    if tokenizer is tokens:
+        return sanitized(df, text, "_text", *keep).select(*keep, F.explode(tokens_of_sanitized(F.col("_text"))).alias("word"))
     return df.select(*keep, F.explode(tokenizer(F.col(text))).alias("word"))
 
 
