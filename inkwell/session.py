@@ -58,13 +58,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed when the driver ends or by ``forget_scratch``."""
     path = f"{shared_folder(spark).rstrip('/')}/inkwell-{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def forget_scratch(spark: SparkSession) -> int:
+    """Remove all tables written so far, for long sessions whose results have been stored; gives their number."""
+    n = len(_scratch)
+    while _scratch:
+        _remove(spark, _scratch.pop())
+    return n
+
+
 def written(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
     """``df`` written once as zstd Parquet into the shared folder and read back; ``by``: a column with few values, one folder each.
 

@@ -161,3 +161,12 @@ def test_threads_and_curves(spark):
     assert [r.t for r in df.select(profile.threads_per_worker("threads", "workers").alias("t")).collect()] == [4, 4, 2]
     assert [tuple(r) for r in profile.curve(df, "workers", "s").orderBy("workers").collect()] == [(4, 2.0, 2.0, 2.0, 1), (8, 3.0, 3.0, 3.0, 0)]
     assert [r.workers for r in profile.failed_points(df, "workers", "s").collect()] == [4]
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from inkwell import session
+
+    kept = session.written(spark.range(3), "t")
+    assert kept.count() == 3 and session.forget_scratch(spark) >= 1
+    with pytest.raises(Exception):
+        kept.withColumn("x", kept.id + 1).collect()
