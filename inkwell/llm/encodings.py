@@ -369,3 +369,36 @@ def garbled_texts(docs: DataFrame, doc_id: str, text: str, model: ChainClassifie
 
     picked = docs.where(F.col(text).rlike(NON_ASCII)).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     return picked.mapInArrow(run, f"doc {kind}, chains array<string>, lost boolean, restored string")
+
+
+def recall(docs: DataFrame, doc_id: str, text: str, model: ChainClassifier) -> DataFrame:
+    """(chain, n_garbled, n_found, n_restored, recall): clean texts garbled on purpose, and how many are found and wholly restored.
+
+    The id's hash picks the chain and whether the whole text or one of its sentences is garbled. Texts that are garbled
+    already, and those the chain can't represent or leaves as they are, take no part.
+    """
+    sent = send(docs.sparkSession, model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m, names = received(sent), list(CHAINS)
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key &= 0x7FFFFFFF
+                chain, key = names[key % len(names)], key // len(names)
+                parts = sentences(t)
+                usable = [k for k, s in enumerate(parts) if not s.isascii()]
+                at = usable if key % 2 else usable[key // 2 % len(usable) :][:1] if usable else []
+                bad = {k: garble(parts[k], chain) for k in at}
+                if not bad or None in bad.values() or all(bad[k] == parts[k] for k in at) or repair_text(t, m)[1:] != ([], False):
+                    continue
+                fixed, found, lost = repair_text("".join(bad.get(k, s) for k, s in enumerate(parts)), m)
+                out.append((chain, bool(found or lost), fixed == t))
+            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in enumerate((pa.string(), pa.bool_(), pa.bool_()))], names=["chain", "found", "whole"])
+
+    tried = docs.where(F.col(text).rlike(NON_ASCII)).select(F.xxhash64(doc_id), text).mapInArrow(run, "chain string, found boolean, whole boolean")
+    return tried.groupBy("chain").agg(
+        F.count(F.lit(1)).alias("n_garbled"), F.count_if("found").alias("n_found"), F.count_if("whole").alias("n_restored"), F.round(F.avg(F.col("found").cast("int")), 4).alias("recall")
+    )

@@ -215,6 +215,12 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled_texts(spread(docs), "doc_id", "text", encodings.fit(docs, "doc_id", "text"))
 
 
+def p10_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Clean documents garbled on purpose, by chain: how many are found and wholly restored."""
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    return encodings.recall(spread(docs), "doc_id", "text", encodings.fit(docs, "doc_id", "text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_best_rows": p1_best_rows,
@@ -241,6 +247,7 @@ QUERIES = {
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
+    "p10_recall": p10_recall,
     "p7_found": p7_found,
     "p7_term_counts": p7_term_counts,
     "p7_spilled": p7_spilled,

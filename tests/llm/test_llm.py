@@ -568,6 +568,12 @@ def test_garbled_rows(spark, model):
 # --- queries --------------------------------------------------------------------------------------------------------
 
 
+def test_garbled_on_purpose_is_found(spark, data):
+    rows = [r for r in Q.p10_recall(spark, data).collect() if r.chain.startswith("utf-8")]
+    n = sum(r.n_garbled for r in rows)
+    assert n >= 20 and sum(r.n_found for r in rows) / n >= 0.9
+
+
 def test_importing_needs_no_session():
     code = "import __spark_entry__ as e\nassert 'p5_recall' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
