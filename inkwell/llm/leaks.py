@@ -354,7 +354,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     counts = {r["size"]: r["count"] for r in marks.groupBy("size").count().collect()}
     sizes = sorted(x for x in counts if x)
     if not sizes:
-        return docs.limit(0).select(F.col(doc_id).alias("doc")).join(items.limit(0).select(F.col(item_id).alias("item")), F.lit(True)).select("doc", "item", F.lit(0.0).alias("share"))
+        return spark.createDataFrame([], f"doc {kind}, item {items.schema[item_id].dataType.simpleString()}, share double")
     shortest = passages.agg(F.min(F.size("own"))).first()[0]
     known, shingled = _filter(marks.where("size > 0"), "key", sum(counts[x] for x in sizes)), _filter(marks.where("size = 0"), "key", counts.get(0, 0))
     sent = send(spark, (sizes, known, shingled, least_share * shortest / (SHINGLE + BRIDGE)))

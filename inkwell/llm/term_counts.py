@@ -162,6 +162,15 @@ def ascii_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z0-9])(?=[0-9]*[a-z])[a-z0-9]{2,}"), F.lit(0))
 
 
+def placed_by_record(base: DataFrame, total: int, parts: int) -> DataFrame:
+    """Rows (r, s, t) with a text, dealt to ``parts`` partitions by record r; records of more than half a partition's rows, and rows without one, also by s."""
+    hot_rows = base.where("r IS NOT NULL").groupBy("r").count().where(F.col("count") * 2 * parts > total).select("r")  # fewer than 2 * parts rows
+    hot = written(hot_rows, "hot").withColumn("is_hot", F.lit(True))
+    marked = base.where("t IS NOT NULL").join(F.broadcast(hot), "r", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    salt = F.when(F.col("is_hot") | F.col("r").isNull(), F.pmod("s", F.lit(parts * 2))).otherwise(F.lit(-1))
+    return marked.select("r", "is_hot", salt.alias("salt"), "t").repartition(parts, "r", "salt")
+
+
 def term_frequencies(
     df: DataFrame, text: str, record: str, spread_by: str | None = None, terms=ascii_terms, rare_at_most: int = 2, common_share: float = 0.5, spill_rows: int = SPILL_ROWS
 ) -> DataFrame:
@@ -174,11 +183,7 @@ def term_frequencies(
     base = df.select(F.col(record).cast("string").alias("r"), F.col(text).alias("t"), F.xxhash64(F.col(spread_by or text)).alias("s"))
     total = base.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    hot_rows = base.where("r IS NOT NULL").groupBy("r").count().where(F.col("count") * 2 * parts > total).select("r")  # fewer than 2 * parts rows
-    hot = written(hot_rows, "hot").withColumn("is_hot", F.lit(True))
-    marked = base.where("t IS NOT NULL").join(F.broadcast(hot), "r", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    salt = F.when(F.col("is_hot") | F.col("r").isNull(), F.pmod("s", F.lit(parts * 2))).otherwise(F.lit(-1))
-    placed = marked.select("r", "is_hot", salt.alias("salt"), "t").repartition(parts, "r", "salt")
+    placed = placed_by_record(base, total, parts)
     pairs = (
         placed.select("r", "is_hot", "salt", terms(F.col("t")).alias("w"))
         .where(F.size("w") > 0)

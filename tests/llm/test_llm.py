@@ -381,14 +381,15 @@ def test_terms_equal_a_plain_count(spark, spill_rows):
 def test_a_record_of_a_hundredth_of_the_rows_is_spread(spark):
     rows = [(k, "big" if k < 20 else f"d{k}", "same words here") for k in range(2_000)]
     df = spark.createDataFrame(rows, "row_id long, cord_uid string, text string")
+    base = df.select(F.col("cord_uid").alias("r"), F.xxhash64("row_id").alias("s"), F.col("text").alias("t"))
+    at = {parts: term_counts.placed_by_record(base, 2_000, parts).where("r = 'big'").select(F.spark_partition_id().alias("p")).distinct().count() for parts in (8, 128)}
+    assert at[8] == 1 and at[128] > 5
     spark.conf.set("spark.sql.shuffle.partitions", "128")
     try:
-        out = term_counts.term_frequencies(df, "text", "cord_uid", "row_id")
-        plan = out._jdf.queryExecution().toString()
-        got = {r.term: (r.n_occurrences, r.n_records) for r in out.collect()}
+        got = {r.term: (r.n_occurrences, r.n_records) for r in term_counts.term_frequencies(df, "text", "cord_uid", "row_id").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert got == {w: (2_000, 1_981) for w in ("same", "words", "here")} and plan
+    assert got == {w: (2_000, 1_981) for w in ("same", "words", "here")}
 
 
 def test_no_terms(spark):
