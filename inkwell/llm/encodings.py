@@ -164,11 +164,13 @@ class ChainClassifier:
             ends = np.zeros(len(b) + 1, dtype=np.int64)
             np.add.at(ends, offsets[first : last + 1] - offsets[first], 1)
             text = np.cumsum(ends[:-1]) - 1 + first
-            gap = b <= 32
-            mark = np.flatnonzero((b[:-2] == 0xE2) & (b[1:-1] == 0x80))  # quotation marks, dashes and the like
+            gap, sign = b <= 32, np.zeros(len(b), dtype=bool)
+            mark = np.flatnonzero((b[:-2] == 0xE2) & (b[1:-1] == 0x80))  # quotation marks, dashes and the like tell nothing
             for k in range(3):
-                gap[mark + k] = True
-            pair = np.flatnonzero(((b[:-1] > 127) | (b[1:] > 127)) & (text[:-1] == text[1:]) & ~(gap[:-1] & gap[1:])) if len(b) else b
+                sign[mark + k] = True
+            gap |= sign
+            touched = ((b[:-1] > 127) | (b[1:] > 127)) & ~(sign[:-1] | sign[1:])
+            pair = np.flatnonzero(touched & (text[:-1] == text[1:])) if len(b) else b
             if len(pair):
                 bucket = ((b[pair] * 257 + b[pair + 1]) * 40_503) % BUCKETS
                 word = (np.cumsum(gap) + text)[np.where(gap[pair], pair + 1, pair)]  # a pair with a gap belongs to the word beside it
@@ -178,11 +180,13 @@ class ChainClassifier:
             first = last
         return out
 
-    def suspect(self, s: str) -> bool:
+    def suspect(self, parts: list[str]) -> list[bool]:
+        """For each piece of a text whether it has a suspect word."""
         import numpy as np
 
-        data = np.frombuffer(s.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        return not s.isascii() and bool(self.suspects(data, np.array([0, len(data)]))[0])
+        encoded = [s.encode("utf-8", "surrogatepass") for s in parts]
+        data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+        return self.suspects(data, np.cumsum([0, *map(len, encoded)])).tolist()
 
     def ranked(self, s: str) -> list[tuple[str, float]]:
         import numpy as np
@@ -318,14 +322,13 @@ def repair_text(text: str, model: ChainClassifier) -> tuple[str, list[str], bool
     """(restored text, chains, whether characters are lost for good)."""
     if not text or text.isascii():
         return text, [], False
-    out, chains, lost = [], [], False
-    for s in sentences(text):
-        if not s.isascii():
-            lost = lost or "�" in s or bool(re.search(r"â€(?=[\s.,;:)]|$)", s))
-            if model.suspect(s):
-                s, undone = model.repair(s)
-                chains += undone
-        out.append(s)
+    out, chains, lost = sentences(text), [], False
+    for k, odd in enumerate(model.suspect(out)):
+        s = out[k]
+        lost = lost or "�" in s or bool(re.search(r"â€(?=[\s.,;:)]|$)", s))
+        if odd:
+            out[k], undone = model.repair(s)
+            chains += undone
     known = frozenset(chains) & WESTERN
     if known:
         out = [found[0] if not s.isascii() and not _mostly_cyrillic(s) and (found := model.western(s, known)) else s for s in out]
