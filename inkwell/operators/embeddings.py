@@ -39,13 +39,16 @@ def with_flags(pooled: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def coverage(papers: DataFrame, words: DataFrame, model: DataFrame) -> DataFrame:
-    """One row: usable titles and those with a known word, tokens and known tokens, vocabulary and its known words, and the shares."""
+    """One row: usable titles and those with a known word, tokens and known tokens, vocabulary and its known words, and the shares.
+
+    A share of nothing is null.
+    """
     known = words.select("cord_uid", "word").join(model.select("word", F.lit(1).alias("known")), "word", "left")
     per_word = known.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known"))
-    tokens = per_word.agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("tokens_matched"), F.count(F.lit(1)).alias("vocabulary"), F.count("known").alias("model_words"))
+    tokens = per_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("tokens_matched"), F.count(F.lit(1)).alias("vocabulary"), F.count("known").alias("model_words"))
     titles = papers.where("title_ok").agg(F.count(F.lit(1)).alias("titles"))
     embedded = known.where("known = 1").agg(F.count_distinct("cord_uid").alias("titles_embedded"))
-    share = lambda a, b: F.round(F.col(a) / F.col(b), 4)
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 4)
     one = titles.join(embedded).join(tokens)  # single rows
     return one.select("*", share("titles_embedded", "titles").alias("title_coverage"), share("tokens_matched", "tokens").alias("token_coverage"), share("model_words", "vocabulary").alias("vocabulary_coverage"))
 

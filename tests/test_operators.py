@@ -170,3 +170,19 @@ def test_written_tables_can_be_forgotten(spark):
     assert kept.count() == 3 and session.forget_scratch(spark) >= 1
     with pytest.raises(Exception):
         kept.withColumn("x", kept.id + 1).collect()
+
+
+def test_profiles_of_odd_json_and_of_nothing(spark):
+    from inkwell.operators import embeddings, profile
+
+    rows = [("a", None), (None, ""), ("a", "{"), ("a", "[1]"), ("a", '{"metadata":3,"body_text":{"a":1}}'), ("b", '{"body_text":[1,null,{"x":2}],"metadata":{"authors":[{"affiliation":{}},{"affiliation":{"i":1}},null,4]}}')]
+    df = spark.createDataFrame(rows, "source string, body string")
+    levels = lambda x: {tuple(r) for r in profile.json_level_keys(x, "body", {"top": "$", "meta": "$.metadata"}, {"p": "$.body_text"}).collect()}
+    assert levels(df) == {("meta", "authors", 1), ("p", "x", 1), ("top", "body_text", 2), ("top", "metadata", 2)} and levels(df.limit(0)) == set()
+    got = {r.source: tuple(r)[1:] for r in profile.paper_json_profile(df, "source", "body").collect()}
+    assert got == {"a": (4, 0, 4, 4, 0, 0, "body_text,metadata"), None: (1, 0, 1, 1, 0, 0, ""), "b": (1, 0, 0, 0, 4, 1, "body_text,metadata")}
+    empty = lambda schema: spark.createDataFrame([], schema)
+    one = embeddings.coverage(empty("cord_uid string, title_ok boolean"), empty("cord_uid string, word string"), empty("word string, vec array<float>")).first()
+    assert tuple(one) == (0, 0, 0, 0, 0, 0, None, None, None)
+    assert profile.pivot_means(empty("i int, c string, v double"), "i", "c", "v", ["a", "b"]).count() == 0
+    assert dimensions.country_dimension(spark.createDataFrame([("x",), (None,)], "country_raw string"), "country_raw", empty("iso3 string, name string, alt_names array<string>")).collect() == [("x", None, None)]
