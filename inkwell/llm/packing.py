@@ -176,7 +176,8 @@ def packed(df: DataFrame, item: str, text: str, size: str, capacity: int = 2_048
 def locality(pieces: DataFrame, docs: DataFrame, item: str, text: str) -> DataFrame:
     """(containers, in_container, any_two): mean cosine of two whole items' hashed vectors in one container and of any two.
 
-    By sums of unit vectors with partial aggregation; no pairs are formed. Items without words and cut items take no part.
+    By sums of unit vectors with partial aggregation; no pairs are formed. Items without words and cut items take no part; a
+    mean of no pairs is null.
     """
     from inkwell.llm.leaks import words
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -197,8 +198,9 @@ def locality(pieces: DataFrame, docs: DataFrame, item: str, text: str) -> DataFr
     placed = known.join(whole, "item").select("container", array_to_vector(F.col("v").cast("array<double>")).alias("v"))
     held = placed.groupBy("container").agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
     held = written(held, "sums")
-    square = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
-    inside = held.where("n > 1").select(((square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("c"), "n")
-    all_in = held.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).select(((square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("any_two"))
-    one = inside.agg(F.count(F.lit(1)).alias("containers"), F.round(F.sum(F.col("c") * F.col("n")) / F.sum("n"), 4).alias("in_container"))
-    return one.join(all_in).select("containers", "in_container", F.round("any_two", 4).alias("any_two"))
+    # of n unit vectors with the sum s: mean cosine of two different ones
+    mean = F.when(F.col("n") > 1, (F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x) - F.col("n")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)))
+    inside = held.where("n > 1").select(mean.alias("c"), "n")
+    all_in = held.groupBy(F.lit(1).alias("one")).agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).select(mean.alias("any_two"))
+    one = inside.agg(F.count(F.lit(1)).alias("containers"), F.round(F.try_divide(F.sum(F.col("c") * F.col("n")), F.sum("n")), 4).alias("in_container"))
+    return one.join(all_in, F.lit(True), "left").select("containers", "in_container", F.round("any_two", 4).alias("any_two"))

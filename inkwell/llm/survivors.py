@@ -156,8 +156,13 @@ def sources_of(df: DataFrame, source: str) -> list[str]:
     return [r.s for r in named.orderBy(F.desc("count"), "s").limit(MAX_SOURCES - 1).collect()]
 
 
+def _named(keys: list[str], taken: tuple[str, ...]) -> list[Column]:
+    """The numbered key columns under the keys' own names; a name that is taken gets the suffix ``_``."""
+    return [F.col(f"_{n}").alias(f"{k}_" if k in taken else k) for n, k in enumerate(keys)]
+
+
 def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str], updated: str | None = None, ignore: str | None = None, trust: dict[str, list[float]] | None = None) -> DataFrame:
-    """(keys, field, fact, asserted, able): each distinct value in a group with the sources that give it and could have.
+    """(_0, _1 ... for the keys, field, fact, asserted, able): each distinct value in a group with the sources that give it and could have.
 
     ``trust`` (by field and source) adds ``value``, the spelling of the most trusted source that gives it (of several the longest,
     then the alphabetically first), and ``last``, when it was given last. Two aggregations with partial sums; a hot group is reduced before the shuffle and never collected.
@@ -175,7 +180,7 @@ def facts(df: DataFrame, keys: list[str], fields: list[str], source: str, source
     cond = F.lit(True)
     for k in same:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return given.join(able, cond).select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "field", "fact", "asserted", "able", *(["value", "last"] if trust else []))
+    return given.join(able, cond).select(*group, "field", "fact", "asserted", "able", *(["value", "last"] if trust else []))
 
 
 def fit_sources(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str] | None = None, iterations: int = 30, tolerance: float = 1e-4, ignore: str | None = None) -> SourceQuality:
@@ -201,10 +206,13 @@ def _judged(df: DataFrame, keys: list[str], fields: list[str], source: str, q: S
 
 
 def judged_values(df: DataFrame, keys: list[str], fields: list[str], source: str, q: SourceQuality | None = None, ignore: str | None = None) -> DataFrame:
-    """(keys, field, value, probability, judged_true): every value of every group; several may be judged true."""
+    """(keys, field, value, probability, judged_true): every value of every group; several may be judged true.
+
+    A key that has the name of one of these columns gets the suffix ``_``.
+    """
     q = q or fit_sources(df, keys, fields, source, ignore=ignore)
     p = 1 / (1 + F.exp(-F.col("odds")))
-    return _judged(df, keys, fields, source, q, None, ignore).select(*keys, "field", "value", F.round(p, 6).alias("probability"), (p > 0.5).alias("judged_true"))
+    return _judged(df, keys, fields, source, q, None, ignore).select(*_named(keys, ("field", "value", "probability", "judged_true")), "field", "value", F.round(p, 6).alias("probability"), (p > 0.5).alias("judged_true"))
 
 
 def survivors(
@@ -219,7 +227,7 @@ def survivors(
     q = q or fit_sources(df, keys, fields, source, ignore=ignore)
     group = [f"_{n}" for n in range(len(keys))]
     named = [F.col(k).alias(g) for g, k in zip(group, keys)]
-    judged = _judged(df, keys, fields, source, q, updated, ignore).select(*named, "field", "value", F.round("odds", 9).alias("odds"), "last", F.lit(None).cast("long").alias("n"))
+    judged = _judged(df, keys, fields, source, q, updated, ignore).select(*group, "field", "value", F.round("odds", 9).alias("odds"), "last", F.lit(None).cast("long").alias("n"))
     rows = df.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).select(*group, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("odds"), F.lit(None).cast("timestamp").alias("last"), "n")
     aggs = [F.max("n").alias("_n")]
     for k, f in enumerate(fields):
@@ -234,7 +242,7 @@ def survivors(
         if f in several:
             best = F.when(F.size(f"_s{k}") > 0, F.transform(f"_s{k}", lambda x: x["v"])).when(best.isNotNull(), F.array(best)).otherwise(F.array().cast("array<string>"))
         kept.append(best.alias(f))
-    return out.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col("_n").alias("n_rows"), *kept)
+    return out.select(*_named(keys, ("n_rows",)), F.col("_n").alias("n_rows"), *kept)
 
 
 def best_records(df: DataFrame, keys: list[str], row_id: str, main: str, others: list[str], source: str, sources: list[str], updated: str, least_rows: int = 2, with_values: bool = True) -> DataFrame:

@@ -79,6 +79,13 @@ def test_survivors_are_chosen_by_the_model(spark):
     assert survivors.survivors(df.limit(0), ["k"], ["v"], "source", "t").count() == 0
 
 
+def test_survivors_with_clashing_names(spark):
+    df = spark.createDataFrame([("k", "pdf", "v", "x", 1)], "field string, source string, value string, odds string, n long")
+    assert [tuple(r) for r in survivors.survivors(df, ["field"], ["value"], "source").collect()] == [("k", 1, "v")]
+    judged = survivors.judged_values(df, ["field"], ["value"], "source")
+    assert judged.columns == ["field_", "field", "value", "probability", "judged_true"] and judged.first()[:3] == ("k", "value", "v")
+
+
 def test_a_field_may_keep_several_values(spark):
     """Authors named by several good sources are all kept, one named by a bad source alone isn't."""
     rng, rows = random.Random(5), []
@@ -427,6 +434,13 @@ def test_containers_hold_like_texts(spark):
     assert r.in_container > 2 * r.any_two and r.containers >= 120
 
 
+def test_locality_of_nothing(spark):
+    kind = "doc_id long, text string, n_tokens int"
+    for rows, n in (([], 0), ([(1, "a", 1), (2, None, None), (3, "", 0), (4, "x y " * 3_000, None)], 0)):
+        df = spark.createDataFrame(rows, kind)
+        assert tuple(packing.locality(packing.packed(df, "doc_id", "text", "n_tokens"), df, "doc_id", "text").first()) == (n, None, None)
+
+
 def test_hilbert_neighbours_touch():
     n = 3
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
@@ -575,6 +589,14 @@ def test_garbled_on_purpose_is_found(spark, data):
     assert n >= 20 and sum(r.n_found for r in rows) / n >= 0.9
 
 
+def test_recall_of_nothing(spark):
+    docs, a = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(None, None), ("x", None), (" ", "t")], "n string, s string")
+    lex = scans.lexicon_of(docs, "text")
+    assert lex.headers == frozenset() and scans.recall(docs, "doc_id", "text", lex).count() == 0
+    assert encodings.recall(docs, "doc_id", "text", encodings.fit(docs, "doc_id", "text")).count() == 0
+    assert tuple(names.recall(a, "n", "s").first()) == (0, 0, None)
+
+
 def test_importing_needs_no_session():
     code = "import __spark_entry__ as e\nassert 'p5_recall' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
