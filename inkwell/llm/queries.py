@@ -49,6 +49,11 @@ def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "field string, source string, sensitivity double, specificity double")
 
 
+def p1_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The pattern table that the quality model is fitted on: which sources assert a value, which could have, how often."""
+    return survivors.patterns(_read(spark, d, "paragraphs"), ["cord_uid", "para_idx"], ["text", "section"], "source", ignore=CITED)
+
+
 def p1_judged_values(spark: SparkSession, d: str) -> DataFrame:
     """Every text and section value of every paragraph with its probability; all that are true are kept."""
     rows = _read(spark, d, "paragraphs")
@@ -226,6 +231,7 @@ QUERIES = {
     "p1_best_rows": p1_best_rows,
     "p1_survivors": p1_survivors,
     "p1_source_quality": p1_source_quality,
+    "p1_patterns": p1_patterns,
     "p1_judged_values": p1_judged_values,
     "p2_found": p2_found,
     "p2_exact": p2_exact,
@@ -288,6 +294,14 @@ SQL = {
 SELECT cord_uid, para_idx, max(CASE WHEN rn = 1 THEN row_id END)::BIGINT AS text_row_id,
     max(CASE WHEN rs = 1 AND NOT sb THEN row_id ELSE -1 END)::BIGINT AS section_row_id
 FROM r GROUP BY cord_uid, para_idx HAVING count(*) >= 2
+""",
+    "p1_patterns": """
+WITH c AS (SELECT cord_uid, para_idx, coalesce(nullif(trim(lower(source), ' ' || chr(9) || chr(10) || chr(13) || chr(160)), ''), 'other') AS src, unnest([{'f': 'text', 'v': text}, {'f': 'section', 'v': section}]) AS x FROM paragraphs),
+v AS (SELECT cord_uid, para_idx, src, x.f AS field, lower(x.v) AS l, regexp_replace(regexp_replace(lower(x.v), '\\[\\d{1,3}\\]', '', 'g'), '[^\\p{L}\\p{N}]+', '', 'g') AS bare FROM c WHERE regexp_replace(x.v, '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]', '', 'g') <> ''),
+k AS (SELECT *, CASE WHEN bare <> '' THEN 'b' || bare ELSE 'r' || regexp_replace(l, '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]+', '', 'g') END AS fact FROM v),
+g AS (SELECT cord_uid, para_idx, field, fact, array_to_string(list_sort(list(DISTINCT src)), ',') AS asserted FROM k GROUP BY ALL),
+a AS (SELECT cord_uid, para_idx, field, array_to_string(list_sort(list(DISTINCT src)), ',') AS able FROM k GROUP BY ALL)
+SELECT g.field, asserted, able, count(*)::BIGINT AS n FROM g JOIN a ON g.cord_uid IS NOT DISTINCT FROM a.cord_uid AND g.para_idx IS NOT DISTINCT FROM a.para_idx AND g.field = a.field GROUP BY ALL
 """,
     "p1_best_rows": _P1 + """
 SELECT cord_uid, para_idx, count(*)::BIGINT AS n_rows, max(CASE WHEN rn = 1 THEN text END) AS text, max(CASE WHEN rs = 1 AND NOT sb THEN section END) AS section

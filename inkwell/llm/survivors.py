@@ -198,6 +198,15 @@ def fit_sources(df: DataFrame, keys: list[str], fields: list[str], source: str,
     return _fit_spark(patterns, q, fields, iterations, tolerance)
 
 
+def patterns(df: DataFrame, keys: list[str], fields: list[str], source: str, sources: list[str] | None = None, ignore: str | None = None) -> DataFrame:
+    """(field, asserted, able, n): what EM reads, with the sources' names, comma-separated in alphabetical order."""
+    sources = sources_of(df, source) if sources is None else sources
+    names = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(1 << k).cast("long").alias("b")) for k, s in enumerate([*sources, "other"])])
+    said = lambda mask: F.array_join(F.array_sort(F.transform(F.filter(names, lambda x: x["b"].bitwiseAND(F.col(mask)) != 0), lambda x: x["s"])), ",")
+    counted = facts(df, keys, fields, source, sources, ignore=ignore).groupBy("field", "asserted", "able").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("field", said("asserted").alias("asserted"), said("able").alias("able"), "n")
+
+
 def _judged(df: DataFrame, keys: list[str], fields: list[str], source: str, q: SourceQuality, updated: str | None, ignore: str | None) -> DataFrame:
     odds = F.lit(0.0)
     for f in fields:
