@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import clean_str, collapse, nfkc, strip, title_norm
+from inkwell.operators.partitioning import fits_broadcast, maybe_among
+from inkwell.session import written
 
 # --- fixed values ---
 DEAD_COLUMNS = ["mag_id", "arxiv_id", "who_covidence_id"]
@@ -67,14 +69,19 @@ def title_flags(df: DataFrame, title: str = "title") -> DataFrame:
 def prefer_source(df: DataFrame, key: str = "cord_uid", source: str = "source", preferred: str = "pmc") -> DataFrame:
     """Rows of the preferred source, and all rows of keys that have none. Null keys are kept.
 
-    The keys that lack the source come from an aggregation of two columns; other rows are kept by a semi join with them, so
-    where the keys are too many to send, Spark's run-time filter keeps the rows that fall away, and their texts, out of the shuffle.
+    The keys that lack the source come from an aggregation of two columns; other rows are kept by a semi join with them. Where
+    the keys may be too many to send, they are written and a filter of fixed size keeps nearly all rows that fall away, and
+    their texts, out of the join's shuffle.
     """
     is_preferred = F.coalesce(tidy_source(F.col(source)) == preferred, F.lit(False))
     has = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(is_preferred).alias("has"))
-    lacking = has.where(~F.col("has")).select(key)
-    others = df.where(~is_preferred)
-    return df.where(is_preferred).unionByName(others.join(lacking, key, "left_semi").select(*df.columns)).unionByName(others.where(F.col(key).isNull()))
+    lacking, others = has.where(~F.col("has")).select(key), df.where(~is_preferred)
+    if fits_broadcast(df.select(key)):
+        kept = others.join(lacking, key, "left_semi")
+    else:  # the keys are distinct; a semi join would be pushed below the filter
+        lacking = written(lacking, "lacking")
+        kept = maybe_among(others, key, lacking).join(lacking, key)
+    return df.where(is_preferred).unionByName(kept.select(*df.columns)).unionByName(others.where(F.col(key).isNull()))
 
 
 def paragraphs(df: DataFrame) -> DataFrame:
