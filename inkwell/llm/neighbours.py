@@ -9,8 +9,8 @@ table's buckets keep the same size whatever the number of rows; longer substring
 
 The tables are rows (substring and value, code) that are shuffled once by value and joined with themselves: what is moved is
 in proportion to rows x probes. Distances are counted in the join, so only near pairs leave it. Buckets of more than
-HOT_ROWS rows (near copies, hot topics) are left out of the join and scored whole, in blocks, by the float vectors, each row keeping
-its k best of each block. No number of candidates is capped.
+HOT_ROWS rows (near copies, hot topics) are left out of the join; the rows in any of them, each once, are scored with each other
+whole, in blocks, by the float vectors, each row keeping its k best of each block. No number of candidates is capped.
 
 Vectors that are equal after scaling form a class that is searched once. Null and zero vectors take no part, nor do vectors
 with nulls, NaN or another length than the usual one. Ties go to the smaller id. Repeated ids are taken once, with the smallest vector.
@@ -146,12 +146,12 @@ def filed(m: int, bits: int) -> Column:
     return F.flatten(F.transform("parts", lambda v, k: F.transform(masks, lambda x: F.shiftleft(k.cast("long"), 32).bitwiseOR(v.bitwiseXOR(x)))))
 
 
-def _hot_keys(classes: DataFrame, m: int, bits: int, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, from the counts of the values themselves; of keys with the same rows one is enough."""
-    own = classes.select(F.posexplode("parts").alias("k", "v"), F.col("same").alias("s")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+def _hot_keys(classes: DataFrame, bits: int, hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, from the counts of the values themselves."""
+    own = classes.select(F.posexplode("parts").alias("k", "v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     masks = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << k for k in range(bits))]])
-    near = own.select(F.explode(F.transform(masks, lambda x: F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").bitwiseXOR(x)))).alias("key"), "n", "s")
-    return near.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where(F.col("n") > hot_rows)
+    near = own.select(F.explode(F.transform(masks, lambda x: F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").bitwiseXOR(x)))).alias("key"), "n")
+    return near.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).select("key")
 
 
 def nearest(df: DataFrame, uid: str, vec: str, k: int = 3, sample_rows: int = SAMPLE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -180,10 +180,10 @@ def nearest(df: DataFrame, uid: str, vec: str, k: int = 3, sample_rows: int = SA
 
     words = -(-m * bits // 64)
     entries = classes.select("same", *[F.col("code")[w].alias(f"c{w}") for w in range(words)], F.explode(filed(m, bits)).alias("key"))
-    hot = written(_hot_keys(classes, m, bits, hot_rows), "hot")
+    hot = written(_hot_keys(classes, bits, hot_rows), "hot")
     some_hot = not hot.isEmpty()
     if some_hot:
-        entries = entries.join(hot.select("key"), "key", "left_anti")
+        entries = entries.join(hot, "key", "left_anti")
     a, b = entries.alias("a"), entries.alias("b")
     apart = sum((F.bit_count(F.col(f"a.c{w}").bitwiseXOR(F.col(f"b.c{w}"))) for w in range(words)), F.lit(0))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.same") < F.col("b.same")) & (apart <= int(CUT * m * bits)))
@@ -220,10 +220,12 @@ def nearest(df: DataFrame, uid: str, vec: str, k: int = 3, sample_rows: int = SA
 
 
 def _hot_links(classes: DataFrame, hot: DataFrame, m: int, bits: int, k: int) -> DataFrame:
-    """(a, b, cosine): within each full bucket the k best of every row of each block, blocks of BLOCK_ROWS rows, every two of them a task."""
-    keys = hot.dropDuplicates(["n", "s"]).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    held = classes.select("same", "unit", F.explode(filed(m, bits)).alias("key")).join(keys, "key").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
-    shipped = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("same", "unit", "key", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    """(a, b, cosine): of the rows in full buckets the k best of every row of each block, blocks of BLOCK_ROWS rows, every two of them a task."""
+    full = classes.select("same", F.explode(filed(m, bits)).alias("key")).join(hot, "key", "left_semi").select("same").distinct()
+    full = written(classes.select("same", "unit").join(full, "same", "left_semi"), "full")
+    blocks = max(1, -(-full.count() // BLOCK_ROWS))
+    held = full.withColumn("block", F.pmod(F.xxhash64("same"), F.lit(blocks)).cast("int"))
+    shipped = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select("same", "unit", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
     def search(pdf):
         import numpy as np
@@ -244,4 +246,4 @@ def _hot_links(classes: DataFrame, hot: DataFrame, m: int, bits: int, k: int) ->
         keep = _first_k(one, score, k)
         return pd.DataFrame({"a": one[keep], "b": two[keep], "cosine": score[keep]})
 
-    return shipped.groupBy("key", "i", "j").applyInPandas(search, "a long, b long, cosine double")
+    return shipped.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(search, "a long, b long, cosine double")

@@ -137,8 +137,9 @@ def test_equal_odd_and_missing_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], "id string, vec array<float>"), "id", "vec").count() == 0
 
 
-def test_full_buckets_are_scored_whole(spark):
+def test_full_buckets_are_scored_whole(spark, monkeypatch):
     """Near copies and the rest, with buckets of any size taken as full ones: the same neighbours."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 90)
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(size=(1, 24)) + 0.01 * rng.normal(size=(300, 24)), rng.normal(size=(100, 24))]).astype(np.float32)
     df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "id long, vec array<float>")
